@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,18 +17,23 @@ def percent(part: Column, whole: Column) -> Column:
     return ratio(part, whole) * 100.0
 
 
-def skewness(c: Column) -> Column:
-    """Bias-corrected skewness: null below three values, 0 for a constant."""
-    n = F.count(c).cast("double")
-    corrected = F.skewness(c) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
-    return F.when(n < 3, None).when(F.min(c) == F.max(c), 0.0).otherwise(corrected)
-
+def sample_shape(
+    n: int, constant: bool, s2: float | None, s3: float | None, s4: float | None
+) -> tuple[float | None, float | None]:
+    """Bias-corrected skewness and excess kurtosis from sums of powers about the mean.
 
-def kurtosis(c: Column) -> Column:
-    """Bias-corrected excess kurtosis: null below four values, 0 for a constant."""
-    n = F.count(c).cast("double")
-    corrected = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)
-    return F.when(n < 4, None).when(F.min(c) == F.max(c), 0.0).otherwise(corrected)
+    Skewness needs three values and kurtosis four; both are 0 for a constant.
+    """
+    if s2 is None or n < 3:
+        return None, None
+    if constant or s2 == 0:
+        return 0.0, 0.0 if n >= 4 else None
+    g1 = (s3 / n) / (s2 / n) ** 1.5
+    skew = g1 * math.sqrt(n * (n - 1.0)) / (n - 2)
+    if n < 4:
+        return skew, None
+    g2 = (s4 / n) / (s2 / n) ** 2 - 3.0
+    return skew, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1) * g2 + 6)
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -8,16 +8,16 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.functions.families import columns_of
 from tabassay.functions.stats import correlation
-from tabassay.operators.frames import to_frame
+from tabassay.operators.frames import AGGREGATES_PER_SCAN, aggregate, to_frame
 from tabassay.operators.profile import doubles
 
-PAIRS_PER_SCAN = 300
-MANY_COLUMNS = 40
+MANY_COLUMNS = 16
+COLUMNS_PER_SCAN = 16
 STRONG = 0.7
 
 PAIR_SCHEMA = "feature1 string, feature2 string, correlation double"
@@ -34,46 +34,110 @@ def _dense_block(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], f
     return out
 
 
+class _Sums:
+    """Centred sums over the rows where two columns are present, each needed once.
+
+    A column without missing values adds nothing to a mask, so most pairs of a complete
+    table cost one product sum each and stay inside one compiled aggregate.
+    """
+
+    def __init__(self, df: DataFrame, names: Sequence[str]):
+        cols = doubles(df, names)
+        self.slots = {n: f"c{i}" for i, n in enumerate(names)}
+        self.narrow = df.select(*[cols[n].alias(s) for n, s in self.slots.items()])
+        exprs = [F.count(F.lit(1)).alias("rows")]
+        for s in self.slots.values():
+            exprs += [
+                F.count(s).alias(f"n_{s}"),
+                F.avg(s).alias(f"mean_{s}"),
+                F.min(s).alias(f"min_{s}"),
+                F.max(s).alias(f"max_{s}"),
+            ]
+        self.base: dict[str, float] = aggregate(self.narrow, exprs)
+        self.exprs: dict[str, Column] = {}
+        self.values: dict[str, float] = {}
+
+    def complete(self, name: str) -> bool:
+        return self.base["n_" + self.slots[name]] == self.base["rows"]
+
+    def varies(self, name: str) -> bool:
+        s = self.slots[name]
+        return self.base["n_" + s] > 0 and self.base["min_" + s] < self.base["max_" + s]
+
+    def _sum(self, power: str, s: str, other: str) -> str:
+        """Sum of ``s`` centred, to a power, where ``other`` is present too."""
+        free = self.base["n_" + other] == self.base["rows"]
+        key = f"{power}_{s}" if free else f"{power}_{s}_{other}"
+        if key not in self.exprs:
+            d = F.col(s) - F.lit(self.base["mean_" + s])
+            d = {"n": F.when(F.col(s).isNotNull(), 1.0), "s": d, "q": d * d}[power]
+            d = d if free else F.when(F.col(other).isNotNull(), d)
+            self.exprs[key] = F.sum(d).alias(key)
+        return key
+
+    def want(self, a: str, b: str) -> tuple[str, ...]:
+        """Names of the sums that make up one correlation."""
+        x, y = self.slots[a], self.slots[b]
+        both = f"p_{x}_{y}"
+        dx = F.col(x) - F.lit(self.base["mean_" + x])
+        dy = F.col(y) - F.lit(self.base["mean_" + y])
+        self.exprs[both] = F.sum(dx * dy).alias(both)
+        n = self._sum("n", y, x) if self.complete(a) else self._sum("n", x, y)
+        return (
+            n,
+            self._sum("s", x, y), self._sum("s", y, x),
+            self._sum("q", x, y), self._sum("q", y, x),
+            both,
+        )
+
+    def compute(self) -> None:
+        self.values.update(aggregate(self.narrow, list(self.exprs.values())))
+
+
 def correlations(
-    df: DataFrame, columns: Sequence[str]
+    df: DataFrame, pairs: Sequence[tuple[str, str]]
 ) -> tuple[dict[tuple[str, str], float | None], dict[str, bool]]:
-    """Correlation of every column pair, and which columns vary.
+    """Correlation of the given pairs, and which columns vary.
 
-    Up to ``MANY_COLUMNS`` columns the pairs are aggregates of one scan. Beyond that the
-    columns without missing values go through the matrix form, and only pairs with a
-    missing value somewhere are aggregated pair by pair.
+    Many complete columns go through one tree aggregation of their products. All other
+    pairs are sums about the column means. Where a column hardly varies on the rows a
+    pair shares, the sums cancel, and the pair is computed again the stable way.
     """
-    names = list(columns)
-    slots = {n: f"c{i}" for i, n in enumerate(names)}
-    cols = doubles(df, names)
-    narrow = df.select(*[cols[n].alias(slots[n]) for n in names])
-    found: dict[tuple[str, str], float | None] = {}
-    pairs = list(combinations(names, 2))
-    spread = [(F.min(s) < F.max(s)).alias(f"varies_{s}") for s in slots.values()]
-    varies: dict[str, bool] = {}
-    if len(names) > MANY_COLUMNS:
-        complete = [
-            F.bool_and(F.col(s).isNotNull()).alias(f"complete_{s}") for s in slots.values()
-        ]
-        row = narrow.agg(*spread, *complete).first()
-        varies = {n: bool(row[f"varies_{s}"]) for n, s in slots.items()}
-        dense = [n for n, s in slots.items() if row[f"complete_{s}"]]
-        if len(dense) > 1:
-            back = {s: n for n, s in slots.items()}
-            block = _dense_block(narrow, [slots[n] for n in dense])
-            for (a, b), r in block.items():
-                a, b = back[a], back[b]
-                found[(a, b)] = r if varies[a] and varies[b] else None
-            pairs = [p for p in pairs if p not in found]
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[start : start + PAIRS_PER_SCAN]
-        exprs = [
-            correlation(F.col(slots[a]), F.col(slots[b])).alias(f"r_{i}")
-            for i, (a, b) in enumerate(chunk)
-        ]
-        row = narrow.agg(*exprs, *([] if varies else spread)).first()
-        if not varies:
-            varies = {n: bool(row[f"varies_{s}"]) for n, s in slots.items()}
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    sums = _Sums(df, names)
+    varies = {n: sums.varies(n) for n in names}
+    found: dict[tuple[str, str], float | None] = {
+        p: None for p in pairs if not (varies[p[0]] and varies[p[1]])
+    }
+    dense = [n for n in names if varies[n] and sums.complete(n)]
+    open_pairs = [p for p in pairs if p not in found]
+    if len(dense) > MANY_COLUMNS and len(open_pairs) > 4 * AGGREGATES_PER_SCAN:
+        block = _dense_block(sums.narrow, [sums.slots[n] for n in dense])
+        back = {s: n for n, s in sums.slots.items()}
+        known = {frozenset((back[a], back[b])): r for (a, b), r in block.items()}
+        found.update({p: known[frozenset(p)] for p in open_pairs if frozenset(p) in known})
+    parts = {p: sums.want(*p) for p in open_pairs if p not in found}
+    sums.compute()
+    unstable = []
+    for p, keys in parts.items():
+        n, sx, sy, qx, qy, sxy = (sums.values[k] or 0.0 for k in keys)
+        if n < 1:
+            found[p] = None
+            continue
+        vx, vy = qx / n - (sx / n) ** 2, qy / n - (sy / n) ** 2
+        if min(vx / qx if qx else 0.0, vy / qy if qy else 0.0) * n < 1e-9:
+            unstable.append(p)
+            continue
+        r = (sxy / n - (sx / n) * (sy / n)) / math.sqrt(vx * vy)
+        found[p] = r if math.isfinite(r) else None
+    for start in range(0, len(unstable), COLUMNS_PER_SCAN):
+        chunk = unstable[start : start + COLUMNS_PER_SCAN]
+        row = sums.narrow.agg(
+            *[
+                correlation(F.col(sums.slots[a]), F.col(sums.slots[b])).alias(f"r_{i}")
+                for i, (a, b) in enumerate(chunk)
+            ]
+        ).first()
         found.update({p: row[f"r_{i}"] for i, p in enumerate(chunk)})
     return found, varies
 
@@ -83,7 +147,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     names = columns_of(df, "numeric") if columns is None else list(columns)
     if len(names) < 2:
         raise ValueError("not enough numeric columns for correlation analysis")
-    found, varies = correlations(df, names)
+    found, varies = correlations(df, list(combinations(names, 2)))
     rows = [(n, n, 1.0 if varies[n] else None) for n in names]
     for (a, b), r in found.items():
         rows += [(a, b, r), (b, a, r)]
@@ -108,16 +172,10 @@ def strong_correlations(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def target_correlations(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """Rows ``(feature, correlation)`` against one target, from one scan per 300 features."""
-    cols = doubles(df, [target, *features])
-    found = {}
-    for start in range(0, len(features), PAIRS_PER_SCAN):
-        chunk = list(features)[start : start + PAIRS_PER_SCAN]
-        row = df.agg(
-            *[correlation(cols[f], cols[target]).alias(f"r_{i}") for i, f in enumerate(chunk)]
-        ).first()
-        found.update({f: row[f"r_{i}"] for i, f in enumerate(chunk)})
-    return to_frame(df.sparkSession, list(found.items()), "feature string, correlation double")
+    """Rows ``(feature, correlation)`` against one target."""
+    found, _ = correlations(df, [(f, target) for f in features])
+    rows = [(f, found[(f, target)]) for f in features]
+    return to_frame(df.sparkSession, rows, "feature string, correlation double")
 
 
 def feature_target_rank(

@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+AGGREGATES_PER_SCAN = 90  # buffers beyond about 100 would leave compiled code
+
+
+def aggregate(
+    df: DataFrame, exprs: Sequence[Column], per_scan: int = AGGREGATES_PER_SCAN
+) -> dict[str, Any]:
+    """Values of aliased aggregates by alias; very many are spread over several scans."""
+    out: dict[str, Any] = {}
+    for start in range(0, len(exprs), per_scan):
+        out.update(df.agg(*exprs[start : start + per_scan]).first().asDict())
+    return out
+
 
 def to_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small frame from driver-side statistics (one row per column, model or rule)."""

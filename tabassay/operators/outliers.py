@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabassay.functions.families import columns_of
 from tabassay.functions.missing import quoted
 from tabassay.functions.stats import percent
 from tabassay.operators.frames import one_row_per, to_frame
-from tabassay.operators.profile import Facts, doubles, numeric_facts
+from tabassay.operators.profile import Facts, doubles
+from tabassay.operators.selection import exact_quantiles
 
 Bounds = Mapping[str, tuple[float, float]]
 
@@ -28,6 +30,14 @@ def outlier_bounds(facts: Facts) -> dict[str, tuple[float, float]]:
     return out
 
 
+def fitted_bounds(df: DataFrame) -> dict[str, tuple[float, float]]:
+    """Fences of every numeric column of ``df`` from its exact quartiles."""
+    quantiles, _ = exact_quantiles(df, doubles(df, columns_of(df, "numeric")), (0.25, 0.75))
+    return outlier_bounds(
+        Facts({n: {"q25": q[0.25], "q75": q[0.75]} for n, q in quantiles.items()})
+    )
+
+
 def _outside(df: DataFrame, bounds: Bounds) -> dict[str, Column]:
     cols = doubles(df, list(bounds))
     return {n: (c < bounds[n][0]) | (c > bounds[n][1]) for n, c in cols.items()}
@@ -67,7 +77,7 @@ def outliers_of(df: DataFrame, bounds: Bounds, row: DataFrame) -> DataFrame:
 def outliers(df: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Fences, outlier count and share of all rows, per numeric column with spread."""
     if bounds is None:
-        bounds = outlier_bounds(numeric_facts(df, shape=False))
+        bounds = fitted_bounds(df)
     row = df.agg(F.count(F.lit(1)).alias("rows"), *outlier_aggregates(df, bounds))
     return outliers_of(df, bounds, row)
 
@@ -77,7 +87,7 @@ def outlier_ids(
 ) -> DataFrame:
     """The first ``limit`` outlying row keys per column, in key order."""
     if bounds is None:
-        bounds = outlier_bounds(numeric_facts(df.drop(key), shape=False))
+        bounds = fitted_bounds(df.drop(key))
     kind = df.schema[key].dataType.simpleString()
     if not bounds:
         return to_frame(df.sparkSession, [], f"column_name string, row_key {kind}, rnk int")

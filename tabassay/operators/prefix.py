@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.functions.missing import quoted
+from tabassay.operators.selection import sketch_quantiles
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 4096
+MAX_CHUNKS = 2048
 
 _CHUNK, _CARRY = "__chunk", "__carry_"
 
@@ -40,8 +41,7 @@ def chunk_edges(
     """Cut points that split ``df`` into chunks of about ``rows_per_chunk`` rows."""
     fractions = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
     row = df.agg(
-        F.count(position).alias("n"),
-        F.percentile_approx(position, fractions, 4 * MAX_CHUNKS).alias("cuts"),
+        F.count(position).alias("n"), sketch_quantiles(position, fractions).alias("cuts")
     ).first()
     chunks = min(MAX_CHUNKS, -(-row["n"] // rows_per_chunk))
     if chunks <= 1:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from tabassay.functions.families import columns_of
 from tabassay.functions.missing import is_missing, quoted
 from tabassay.functions.scalars import as_double
-from tabassay.functions.stats import kurtosis, percent, skewness
-from tabassay.operators.frames import one_row_per, to_frame
+from tabassay.functions.stats import percent, sample_shape
+from tabassay.operators.frames import aggregate, one_row_per, to_frame
 from tabassay.operators.selection import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -25,6 +25,10 @@ _FIXED_WIDTH = {
     T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
 }
 
+_MOMENTS = {
+    "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+}
+
 PROFILE_SCHEMA = (
     "column_name string, mean double, median double, std double, min double, max double, "
     "q25 double, q75 double, skewness double, kurtosis double, count bigint"
@@ -51,30 +55,38 @@ def numeric_facts(
 ) -> Facts:
     """Count, moments, extremes and exact quartiles of every numeric column.
 
-    One scan takes the moments with the quantile sketches; two more place the quartiles.
+    One scan takes mean, deviation and extremes; the quartiles take three more, the
+    second of which also sums the third and fourth powers about the mean.
     """
     names = columns_of(df, "numeric") if columns is None else list(columns)
     cols = doubles(df, names)
-    extra: dict[str | None, list[Column]] = {None: list(table_aggregates)}
-    for i, (name, c) in enumerate(cols.items()):
-        extra[name] = [
-            F.count(c).alias(f"count:{i}"),
-            F.avg(c).alias(f"mean:{i}"),
-            F.stddev_samp(c).alias(f"std:{i}"),
-            F.min(c).alias(f"min:{i}"),
-            F.max(c).alias(f"max:{i}"),
+    moments = [
+        f(c).alias(f"{metric}:{i}")
+        for i, c in enumerate(cols.values())
+        for metric, f in _MOMENTS.items()
+    ]
+    table = aggregate(df, list(table_aggregates)) if table_aggregates else {}
+    values = aggregate(df, moments, 12 * len(_MOMENTS))
+    powers = []
+    for i, c in enumerate(cols.values()):
+        if not shape or values[f"mean:{i}"] is None:
+            continue
+        d = c - values[f"mean:{i}"]
+        powers += [
+            F.sum(d * d).alias(f"power2:{i}"),
+            F.sum(d * d * d).alias(f"power3:{i}"),
+            F.sum(d * d * d * d).alias(f"power4:{i}"),
         ]
-        if shape:
-            extra[name] += [
-                skewness(c).alias(f"skewness:{i}"),
-                kurtosis(c).alias(f"kurtosis:{i}"),
-            ]
-    quantiles, values = exact_quantiles(df, cols, QUARTILES, extra)
-    facts = Facts(table={k: v for k, v in values.items() if ":" not in k})
+    counts = {n: values[f"count:{i}"] for i, n in enumerate(names)}
+    quantiles, ridden = exact_quantiles(df, cols, QUARTILES, counts, powers)
+    values.update(ridden)
+    facts = Facts(table=table)
     for i, name in enumerate(names):
-        metrics = {k.split(":")[0]: v for k, v in values.items() if k.endswith(f":{i}")}
-        q25, median, q75 = (quantiles[name][p] for p in QUARTILES)
-        facts.numeric[name] = metrics | {"q25": q25, "median": median, "q75": q75}
+        m = {k.split(":")[0]: v for k, v in values.items() if k.endswith(f":{i}")}
+        sums = [m.pop(f"power{p}", None) for p in (2, 3, 4)]
+        m["skewness"], m["kurtosis"] = sample_shape(m["count"], m["min"] == m["max"], *sums)
+        m["q25"], m["median"], m["q75"] = (quantiles[name][p] for p in QUARTILES)
+        facts.numeric[name] = m
     return facts
 
 

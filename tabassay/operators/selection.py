@@ -1,13 +1,14 @@
 """Exact order statistics and quantiles without sorting or gathering a column.
 
-``percentile`` keeps every distinct value of a column in one task. Here a bounded
-sketch (``percentile_approx``) proposes a narrow bracket round each wanted rank, one
-counting aggregate says exactly how many rows lie below, on and inside it, and the step
-repeats inside the bracket until few rows are left to order. A wrong sketch costs a
-further round, never a wrong answer: ranks are placed by exact counts only.
-
-Every round is one scan with map-side aggregation, and only counts and bracket edges
-come back to the driver. Rounds needed: one below 10^8 rows, two up to about 10^12.
+``percentile`` keeps every distinct value of a column in one task. Here a bounded KLL
+sketch proposes a narrow bracket round each wanted rank, a counting aggregate says
+exactly how many rows lie before each edge, and the step repeats inside the bracket
+until at most ``FINAL_ROWS`` rows are left, which ``percentile`` then orders. A wrong
+sketch costs a further round, never a wrong answer: ranks are placed by exact counts.
+
+Every round is a scan of a few columns with map-side aggregation; only counts and
+bracket edges come back to the driver. One round serves about 10^7 rows and each further
+round about 200 times as many.
 """
 
 from __future__ import annotations
@@ -15,23 +16,29 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-FINAL_ROWS = 100_000  # most rows ordered in one task, per bracket
-COLUMNS_PER_SCAN = 48
+from tabassay.operators.frames import aggregate
+
+SKETCH_SIZE = 4096
+SLACK = 0.002  # bracket half-width, well above the rank error of a sketch of that size
+FINAL_ROWS = 50_000  # most rows one task orders, per bracket
+SKETCHES_PER_SCAN = 32
+
+Edge = tuple[float, bool]  # a value, and whether rows equal to it count as before the edge
 
 
 @dataclass
 class _Bracket:
-    """The open interval ``(low, high)`` of one column; ``below`` rows are <= ``low``."""
+    """Rows of one column after edge ``low`` and before edge ``high``."""
 
     column: str
-    low: float | None
-    high: float | None
+    low: Edge | None
+    high: Edge | None
     below: int
     inside: int
     ranks: list[int] = field(default_factory=list)
@@ -39,107 +46,120 @@ class _Bracket:
     def holds(self, c: Column) -> Column:
         cond = c.isNotNull()
         if self.low is not None:
-            cond = cond & (c > self.low)
+            value, passed = self.low
+            cond = cond & ((c > value) if passed else (c >= value))
         if self.high is not None:
-            cond = cond & (c < self.high)
+            value, within = self.high
+            cond = cond & ((c <= value) if within else (c < value))
         return cond
 
+    def rows(self, c: Column) -> Column:
+        return c if self.low is None and self.high is None else F.when(self.holds(c), c)
+
 
 def _batches(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
-def _edges(bracket: _Bracket, accuracy: int) -> list[float]:
-    """Fractions of the bracket's rows that should enclose its wanted ranks."""
-    slack = 3.0 / accuracy
-    out: list[float] = []
-    for rank in bracket.ranks:
-        at = (rank - bracket.below) / max(bracket.inside - 1, 1)
-        out += [max(0.0, at - slack), min(1.0, at + slack)]
+def sketch_quantiles(c: Column, fractions: Sequence[float], size: int = SKETCH_SIZE) -> Column:
+    """Approximate values at the given fractions; null when there is no value."""
+    sketch = F.kll_sketch_agg_double(c, size)
+    wanted = F.array(*[F.lit(float(f)) for f in fractions])
+    return F.when(F.count(c) > 0, F.kll_sketch_get_quantile_double(sketch, wanted))
+
+
+def _propose(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    brackets: list[_Bracket],
+    size: int,
+    slack: float,
+) -> list[list[tuple[float, float]]]:
+    """A pair of values round each wanted rank, from one sketch per bracket."""
+    out = []
+    for batch in _batches(brackets, SKETCHES_PER_SCAN):
+        exprs = []
+        for i, b in enumerate(batch):
+            at = [(rank - b.below) / (b.inside - 1) for rank in b.ranks]
+            ends = [min(1.0, max(0.0, f + d)) for f in at for d in (-slack, slack)]
+            v = b.rows(columns[b.column])
+            exprs.append(sketch_quantiles(v, ends, size).alias(str(i)))
+        row = df.agg(*exprs).first()
+        for i in range(len(batch)):
+            ends = row[str(i)]
+            out.append(list(dict.fromkeys(zip(ends[::2], ends[1::2]))))
     return out
 
 
-def _split(
-    df: DataFrame, columns: Mapping[str, Column], work: list[tuple[_Bracket, list[float]]]
-) -> tuple[list[_Bracket], dict[tuple[str, int], float]]:
-    """Cut brackets at the given values and place each rank by exact counts."""
+def _edges(pairs: list[tuple[float, float]], thorough: bool) -> list[Edge]:
+    """Edges to count before: the open interval, or also its two ends one by one."""
+    out: set[Edge] = set()
+    for a, b in pairs:
+        if thorough or a == b:
+            out |= {(a, False), (a, True), (b, False), (b, True)}
+        else:
+            out |= {(a, True), (b, False)}
+    return sorted(out)
+
+
+def _place(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    work: list[tuple[_Bracket, list[Edge]]],
+    riders: list[Column],
+) -> tuple[list[_Bracket], dict[tuple[str, int], float], dict[str, Any]]:
+    """Cut brackets at the edges and place each rank by exact counts."""
+    exprs = []
+    for i, (b, edges) in enumerate(work):
+        c = columns[b.column]
+        v = b.rows(c)
+        for j, (value, passed) in enumerate(edges):
+            exprs.append(F.count_if((v <= value) if passed else (v < value)).alias(f"e_{i}_{j}"))
+    counts = aggregate(df, [*exprs, *riders])
     found: dict[tuple[str, int], float] = {}
     narrower: list[_Bracket] = []
-    for batch in _batches(work, COLUMNS_PER_SCAN):
-        exprs = []
-        for i, (bracket, cuts) in enumerate(batch):
-            c = columns[bracket.column]
-            for j, cut in enumerate(cuts):
-                exprs.append(F.count_if(bracket.holds(c) & (c < cut)).alias(f"lt_{i}_{j}"))
-                exprs.append(F.count_if(bracket.holds(c) & (c == cut)).alias(f"eq_{i}_{j}"))
-        counts = df.agg(*exprs).first()
-        for i, (bracket, cuts) in enumerate(batch):
-            below = [counts[f"lt_{i}_{j}"] for j in range(len(cuts))]
-            equal = [counts[f"eq_{i}_{j}"] for j in range(len(cuts))]
-            parts: dict[int, _Bracket] = {}
-            for rank in bracket.ranks:
-                at = rank - bracket.below
-                slot = 0
-                while slot < len(cuts) and at >= below[slot] + equal[slot]:
-                    slot += 1
-                if slot < len(cuts) and at >= below[slot]:
-                    found[(bracket.column, rank)] = cuts[slot]
-                    continue
-                if slot not in parts:
-                    passed = below[slot - 1] + equal[slot - 1] if slot else 0
-                    upto = below[slot] if slot < len(cuts) else bracket.inside
-                    parts[slot] = _Bracket(
-                        bracket.column,
-                        cuts[slot - 1] if slot else bracket.low,
-                        cuts[slot] if slot < len(cuts) else bracket.high,
-                        bracket.below + passed,
-                        upto - passed,
-                    )
-                parts[slot].ranks.append(rank)
-            narrower += parts.values()
-    return narrower, found
+    for i, (b, edges) in enumerate(work):
+        before = [counts.pop(f"e_{i}_{j}") for j in range(len(edges))]
+        parts: dict[int, _Bracket] = {}
+        for rank in b.ranks:
+            slot = sum(rank - b.below >= n for n in before)
+            low = edges[slot - 1] if slot else b.low
+            high = edges[slot] if slot < len(edges) else b.high
+            if low and high and low[0] == high[0]:
+                found[(b.column, rank)] = low[0]
+                continue
+            if slot not in parts:
+                passed = before[slot - 1] if slot else 0
+                upto = before[slot] if slot < len(edges) else b.inside
+                parts[slot] = _Bracket(b.column, low, high, b.below + passed, upto - passed)
+            parts[slot].ranks.append(rank)
+        narrower += parts.values()
+    return narrower, found, counts
+
+
+def _exact_fraction(rank: int, last: int) -> float:
+    """A fraction whose product with ``last`` is exactly ``rank``."""
+    f = rank / last if last else 0.0
+    for candidate in (f, math.nextafter(f, 0.0), math.nextafter(f, 1.0)):
+        if candidate * last == rank:
+            return candidate
+    return f
 
 
 def _order_few(
     df: DataFrame, columns: Mapping[str, Column], brackets: list[_Bracket]
 ) -> dict[tuple[str, int], float]:
-    """Order the few rows inside each bracket and read the wanted ranks off."""
+    """Read the wanted ranks off the few rows inside each bracket."""
     found: dict[tuple[str, int], float] = {}
-    for batch in _batches(brackets, COLUMNS_PER_SCAN):
-        holds = [b.holds(columns[b.column]) for b in batch]
-        anywhere = holds[0]
-        for h in holds[1:]:
-            anywhere = anywhere | h
-        hits = F.array(
-            *[
-                F.when(h, F.struct(F.lit(i).alias("id"), columns[b.column].alias("value")))
-                for i, (b, h) in enumerate(zip(batch, holds))
-            ]
-        )
-        histogram = (
-            df.filter(anywhere)
-            .select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("hit"))
-            .groupBy("hit.id", "hit.value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        upto = F.sum("n").over(
-            Window.partitionBy("id")
-            .orderBy("value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        wanted = F.lit(False)
+    for batch in _batches(brackets, SKETCHES_PER_SCAN):
+        exprs = []
+        for i, b in enumerate(batch):
+            at = [_exact_fraction(rank - b.below, b.inside - 1) for rank in b.ranks]
+            exprs.append(F.percentile(b.rows(columns[b.column]), at).alias(f"v_{i}"))
+        anywhere = reduce(lambda x, y: x | y, [b.holds(columns[b.column]) for b in batch])
+        row = df.filter(anywhere).agg(*exprs).first()
         for i, b in enumerate(batch):
-            for rank in b.ranks:
-                at = rank - b.below
-                wanted = wanted | (
-                    (F.col("id") == i) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)
-                )
-        rows = histogram.withColumn("upto", upto).filter(wanted).collect()
-        for row in rows:
-            b = batch[row["id"]]
-            for rank in b.ranks:
-                if row["upto"] - row["n"] <= rank - b.below < row["upto"]:
-                    found[(b.column, rank)] = float(row["value"])
+            found.update({(b.column, rank): v for rank, v in zip(b.ranks, row[f"v_{i}"])})
     return found
 
 
@@ -148,107 +168,64 @@ def select_ranks(
     columns: Mapping[str, Column],
     counts: Mapping[str, int],
     ranks: Mapping[str, Sequence[int]],
-    cuts: Mapping[str, Sequence[float]] | None = None,
+    riders: list[Column] | None = None,
     *,
-    accuracy: int = SKETCH_ACCURACY,
+    sketch_size: int = SKETCH_SIZE,
+    slack: float = SLACK,
     final_rows: int = FINAL_ROWS,
-) -> dict[tuple[str, int], float]:
+) -> tuple[dict[tuple[str, int], float], dict[str, Any]]:
     """The values at the given 0-based ranks of each column's non-null values.
 
-    ``cuts`` may bring edges from a sketch that was taken together with the counts.
+    ``riders`` are aliased aggregates that share the first counting scan.
     """
+    riders, ridden = list(riders or []), {}
     found: dict[tuple[str, int], float] = {}
     brackets = [
         _Bracket(c, None, None, 0, counts[c], sorted(set(ranks[c]))) for c in columns if ranks[c]
     ]
-    first = True
+    thorough = False
     while wide := [b for b in brackets if b.inside > final_rows]:
         narrow = [b for b in brackets if b.inside <= final_rows]
-        proposals: list[list[float]] = []
-        if first and cuts is not None:
-            proposals = [list(cuts[b.column]) for b in wide]
-        else:
-            for batch in _batches(wide, COLUMNS_PER_SCAN):
-                row = df.agg(
-                    *[
-                        F.percentile_approx(
-                            F.when(b.holds(columns[b.column]), columns[b.column]),
-                            _edges(b, accuracy),
-                            accuracy,
-                        ).alias(str(i))
-                        for i, b in enumerate(batch)
-                    ]
-                ).first()
-                proposals += [row[str(i)] for i in range(len(batch))]
-        first = False
-        work = [(b, sorted(set(p))) for b, p in zip(wide, proposals)]
-        narrower, placed = _split(df, columns, work)
+        pairs = _propose(df, columns, wide, sketch_size, slack)
+        work = [(b, _edges(p, thorough)) for b, p in zip(wide, pairs)]
+        narrower, placed, values = _place(df, columns, work, riders)
+        ridden.update(values)
         found.update(placed)
-        brackets = narrow + narrower
+        brackets, riders, thorough = narrow + narrower, [], True
+    if riders:
+        ridden.update(aggregate(df, riders))
     if brackets:
         found.update(_order_few(df, columns, brackets))
-    return found
+    return found, ridden
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column],
     probs: Sequence[float],
-    extra: Mapping[str | None, Sequence[Column]] | None = None,
-    *,
-    accuracy: int = SKETCH_ACCURACY,
-    final_rows: int = FINAL_ROWS,
+    counts: Mapping[str, int] | None = None,
+    riders: list[Column] | None = None,
+    **options: Any,
 ) -> tuple[dict[str, dict[float, float | None]], dict[str, Any]]:
-    """Linearly interpolated quantiles per column, null where a column has no value.
-
-    ``extra`` aliased aggregates ride along in the first scan, those of a column with
-    that column and those under ``None`` with the first columns; their values come back
-    by alias.
-    """
-    extra = extra or {}
-    slack = 3.0 / accuracy
-    fractions = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
-    counts: dict[str, int] = {}
-    cuts: dict[str, list[float]] = {}
-    values: dict[str, Any] = {}
-    for k, batch in enumerate(_batches(list(columns), COLUMNS_PER_SCAN) or [[]]):
-        exprs = list(extra.get(None, ())) if k == 0 else []
-        for i, name in enumerate(batch):
-            exprs += extra.get(name, ())
-            exprs.append(F.count(columns[name]).alias(f"n__{i}"))
-            exprs.append(
-                F.percentile_approx(columns[name], fractions, accuracy).alias(f"cut__{i}")
-            )
-        if not exprs:
-            continue
-        row = df.agg(*exprs).first().asDict()
-        for i, name in enumerate(batch):
-            counts[name] = row.pop(f"n__{i}")
-            cuts[name] = row.pop(f"cut__{i}") or []
-        values.update(row)
+    """Linearly interpolated quantiles per column, null where a column has no value."""
+    if counts is None:
+        row = aggregate(df, [F.count(c).alias(str(i)) for i, c in enumerate(columns.values())])
+        counts = {n: row[str(i)] for i, n in enumerate(columns)}
     places = {c: {p: p * (counts[c] - 1) for p in probs} for c in columns if counts[c]}
     ranks = {
-        c: sorted({r for at in places[c].values() for r in (math.floor(at), math.ceil(at))})
-        if c in places
-        else []
+        c: sorted({r for at in places.get(c, {}).values() for r in (math.floor(at), math.ceil(at))})
         for c in columns
     }
-    found = select_ranks(
-        df, columns, counts, ranks, cuts, accuracy=accuracy, final_rows=final_rows
-    )
+    found, ridden = select_ranks(df, columns, counts, ranks, riders, **options)
     out: dict[str, dict[float, float | None]] = {}
     for c in columns:
-        out[c] = {}
-        for p in probs:
-            if c not in places:
-                out[c][p] = None
-                continue
-            at = places[c][p]
+        out[c] = dict.fromkeys(probs)
+        for p, at in places.get(c, {}).items():
             low, high = found[(c, math.floor(at))], found[(c, math.ceil(at))]
             out[c][p] = low if low == high else low + (high - low) * (at - math.floor(at))
-    return out, values
+    return out, ridden
 
 
-def kth_smallest(df: DataFrame, c: Column, k: int, count: int, **options: int) -> float:
-    """The value with exactly ``k`` smaller-or-equal predecessors in sorted order."""
-    return select_ranks(df, {"c": c}, {"c": count}, {"c": [k]}, **options)[("c", k)]
+def kth_smallest(df: DataFrame, c: Column, k: int, count: int, **options: Any) -> float:
+    """The value with exactly ``k`` rows before it in sorted order."""
+    return select_ranks(df, {"c": c}, {"c": count}, {"c": [k]}, **options)[0][("c", k)]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabassay.functions.families import require_column
 from tabassay.functions.missing import quoted
-from tabassay.operators.selection import select_ranks
+from tabassay.operators.selection import kth_smallest
 
 # The multiplier and modulus of the key hash, shared with the SQL checks.
 MULTIPLIER = 2654435761
@@ -38,7 +38,7 @@ def lowest_hashed(df: DataFrame, key: str, n: int, total: int, seed: int = 42) -
     if n >= total:
         return F.lit(True)
     h = key_hash(df, key, seed)
-    edge = int(select_ranks(df, {"h": h.cast("double")}, {"h": total}, {"h": [n - 1]})[("h", n - 1)])
+    edge = int(kth_smallest(df, h.cast("double"), n - 1, total))
     row = df.agg(F.count_if(h < edge).alias("below"), F.count_if(h == edge).alias("equal")).first()
     wanted = n - row["below"]
     if wanted == row["equal"]:

@@ -23,12 +23,12 @@ def _frames(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("final_rows,accuracy", [(100_000, 10_000), (60, 40)])
-def test_quantiles_equal_pandas_on_every_path(spark, final_rows, accuracy):
+@pytest.mark.parametrize("options", [{}, {"final_rows": 60, "sketch_size": 8, "slack": 0.05}])
+def test_quantiles_equal_pandas_on_every_path(spark, options):
     pdf, df = _frames(spark)
     cols = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in pdf}
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
-    got, _ = exact_quantiles(df, cols, probs, final_rows=final_rows, accuracy=accuracy)
+    got, _ = exact_quantiles(df, cols, probs, **options)
     for c in pdf:
         for p in probs:
             want = pdf[c].quantile(p)
