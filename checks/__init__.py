@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profile_checks", "prepare_checks", "evaluation_checks"]
+MODULES = ["profile_checks", "prepare_checks", "evaluation_checks", "model_checks"]
 
 
 def all_checks() -> dict:

@@ -282,7 +282,7 @@ CHECKS = {
     "threshold_eval": (
         lambda s, d: rounded(metrics.threshold_evaluation(scored_events(s, d), 0.3)),
         _with(
-            f"""SELECT {r("0.3")} AS threshold, tn, fp, fn, tp, total,
+            f"""SELECT CAST(0.3 AS DOUBLE) AS threshold, tn, fp, fn, tp, total,
             {_round_list(METRICS)}, class_0_count, class_1_count, class_distribution,
             {r("auc_roc")} AS auc_roc FROM ev, areas""",
             extra=f"{HIST}, areas AS ({AREAS}), conf AS ({_confusion(0.3)}), ev AS ({EVALUATION})",
@@ -291,7 +291,7 @@ CHECKS = {
     "threshold_eval_by_model": (
         lambda s, d: rounded(metrics.threshold_evaluation(scored_ties(s, d), 0.5, ["model_id"])),
         _with(
-            f"""SELECT model_id, {r("0.5")} AS threshold, tn, fp, fn, tp, total,
+            f"""SELECT model_id, CAST(0.5 AS DOUBLE) AS threshold, tn, fp, fn, tp, total,
             {_round_list(METRICS)}, class_0_count, class_1_count, class_distribution,
             {r("auc_roc")} AS auc_roc FROM ev JOIN areas USING (model_id)""",
             SCORED_TIES,

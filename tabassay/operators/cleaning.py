@@ -43,31 +43,31 @@ def all_null_columns(df: DataFrame) -> list[str]:
     return [n for i, n in enumerate(df.columns) if row[str(i)] == 0]
 
 
-def high_cardinality_columns(
-    df: DataFrame, columns: Sequence[str] | None = None, limit: int = MAX_LEVELS
-) -> list[str]:
-    """String columns with more than ``limit`` distinct values.
+def _distinct_sketch(c: str) -> Column:
+    return F.approx_count_distinct(quoted(c), 0.02)
 
-    A sketch settles the clear cases in one scan; only columns near the limit, which are
-    small, are counted exactly.
-    """
-    names = columns_of(df, "string") if columns is None else list(columns)
-    if not names:
-        return []
-    row = aggregate(
-        df,
-        [F.approx_count_distinct(quoted(c), 0.02).alias(str(i)) for i, c in enumerate(names)],
-    )
+
+def _settle_close(df: DataFrame, estimates: Mapping[str, int], limit: int) -> list[str]:
+    """Columns over the limit; those estimated near it, which are small, counted exactly."""
     close = [
-        c
-        for i, c in enumerate(names)
-        if _CLEARLY_FEW * limit <= row[str(i)] <= _CLEARLY_MANY * limit
+        c for c, n in estimates.items() if _CLEARLY_FEW * limit <= n <= _CLEARLY_MANY * limit
     ]
     exact = {}
     if close:
-        found = df.agg(*[F.count_distinct(quoted(c)).alias(str(i)) for i, c in enumerate(close)])
-        exact = {c: found.first()[i] for i, c in enumerate(close)}
-    return [c for i, c in enumerate(names) if exact.get(c, row[str(i)]) > limit]
+        row = aggregate(
+            df, [F.count_distinct(quoted(c)).alias(str(i)) for i, c in enumerate(close)]
+        )
+        exact = {c: row[str(i)] for i, c in enumerate(close)}
+    return [c for c, n in estimates.items() if exact.get(c, n) > limit]
+
+
+def high_cardinality_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, limit: int = MAX_LEVELS
+) -> list[str]:
+    """String columns with more than ``limit`` distinct values, from a sketch per column."""
+    names = columns_of(df, "string") if columns is None else list(columns)
+    row = aggregate(df, [_distinct_sketch(c).alias(str(i)) for i, c in enumerate(names)])
+    return _settle_close(df, {c: row[str(i)] for i, c in enumerate(names)}, limit)
 
 
 @dataclass
@@ -83,20 +83,30 @@ class Cleaned:
 def clean(
     df: DataFrame, target: str, keep: Sequence[str] = (), limit: int = MAX_LEVELS
 ) -> Cleaned:
-    """Drop datetime, all-null and high-cardinality string columns, never the target."""
+    """Drop datetime, all-null and high-cardinality string columns, never the target.
+
+    One aggregate decides about all columns.
+    """
     require_column(df, target)
     kept = {target, *keep}
     steps: list[tuple[str, str]] = []
     dates = [c for c in columns_of(df, "datetime") if c not in kept]
-    steps += [("datetime", c) for c in dates]
     rest = df.drop(*dates)
-    empty = [c for c in all_null_columns(rest) if c not in kept]
+    judged = [f for f in rest.schema if f.name not in kept]
+    texts = [c for c in columns_of(rest, "string") if c not in kept]
+    row = aggregate(
+        rest,
+        [
+            *[F.count(F.when(~is_missing(f), 1)).alias(f"n:{f.name}") for f in judged],
+            *[_distinct_sketch(c).alias(f"d:{c}") for c in texts],
+        ],
+    )
+    empty = [f.name for f in judged if row[f"n:{f.name}"] == 0]
+    wide = _settle_close(rest, {c: row[f"d:{c}"] for c in texts}, limit)
+    steps += [("datetime", c) for c in dates]
     steps += [("all_null", c) for c in empty]
-    rest = rest.drop(*empty)
-    strings = [c for c in columns_of(rest, "string") if c not in kept]
-    wide = high_cardinality_columns(rest, strings, limit)
     steps += [("high_cardinality", c) for c in wide]
-    rest = rest.drop(*wide)
+    rest = rest.drop(*empty, *wide)
     issues = to_frame(df.sparkSession, steps, "step string, column_name string")
     return Cleaned(rest, issues, len(df.columns), len(rest.columns))
 
