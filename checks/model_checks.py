@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PolynomialExpansion
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.tables import div, r, rounded, table, union
@@ -14,6 +12,7 @@ from tabassay.operators import registry as reg
 from tabassay.operators import runlog as log
 from tabassay.operators.business import running_share
 from tabassay.operators.explain import linear_contributions, model_contributions
+from tabassay.operators.features import polynomial
 from tabassay.plans import training as tr
 from tabassay.session import fresh_dir
 from tabassay.sources import sinks
@@ -347,9 +346,15 @@ CHECKS = {
         ),
     ),
     "polynomial_values": (
-        lambda s, d: _expanded(s, d),
-        f"""SELECT l_orderkey, {r("l_quantity")} AS x1, {r("l_quantity * l_quantity")} AS x2,
-        {r("l_tax")} AS x3, {r("l_quantity * l_tax")} AS x4, {r("l_tax * l_tax", 4)} AS x5
+        lambda s, d: rounded(
+            polynomial(
+                table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_tax"),
+                ["l_quantity", "l_tax"], 2,
+            ).drop("l_quantity", "l_tax")
+        ),
+        f"""SELECT l_orderkey, {r("l_quantity")} AS poly_1,
+        {r("l_quantity * l_quantity")} AS poly_2, {r("l_tax")} AS poly_3,
+        {r("l_quantity * l_tax")} AS poly_4, {r("l_tax * l_tax")} AS poly_5
         FROM lineitem""",
     ),
     "csv_roundtrip": (
@@ -413,21 +418,10 @@ CHECKS = {
         FROM ({JOB_STATE})""",
     ),
     "job_list": (
-        lambda s, d: log.job_list(_state(s, d), "user_id", "error").select(
+        lambda s, d: log.job_list(_state(s, d), "user_id", status="error").select(
             "user_id", "status", "elapsed_seconds"
         ),
         f"SELECT user_id, status, elapsed_seconds FROM ({JOB_STATE}) WHERE status = 'error'",
     ),
 }
 
-
-def _expanded(spark, d):
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_tax")
-    vectors = VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="v").transform(rows)
-    poly = PolynomialExpansion(degree=2, inputCol="v", outputCol="p").transform(vectors)
-    values = vector_to_array(F.col("p"))
-    return rounded(
-        poly.select("l_orderkey", *[values[i].alias(f"x{i + 1}") for i in range(5)])
-    )

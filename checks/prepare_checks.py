@@ -168,6 +168,15 @@ CHECKS = {
         lambda s, d: cl.split_features_target(table(s, d, "part"), "p_retailprice")[0],
         "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part",
     ),
+    "attach_labels": (
+        lambda s, d: cl.attach_labels(
+            table(s, d, "documents").select("doc_id", "lang", "source", "n_chars"),
+            table(s, d, "labels"),
+            "doc_id",
+        ),
+        """SELECT doc_id, lang, source, n_chars, quality, toxic
+        FROM documents JOIN labels USING (doc_id)""",
+    ),
     "drop_null_rows": (
         lambda s, d: cl.drop_null_rows(events_nulls(s, d), ["event_type", "value"]),
         _nulls("SELECT * FROM e WHERE event_type IS NOT NULL AND value IS NOT NULL"),

@@ -140,8 +140,9 @@ def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
     if name == "svm":
         common["featuresCol"] = KERNEL_VECTOR
         made: Estimator = LinearSVC(
-            maxIter=min(effort.iterations, 100), regParam=penalty, standardization=False, **common
-        )
+            maxIter=min(effort.iterations, 100), tol=1e-4, regParam=penalty,
+            standardization=False, **common,
+        )
     else:
         made = GBTClassifier(
             maxIter=effort.rounds, stepSize=0.1, maxDepth=6 if name == "xgboost" else 3,
@@ -175,7 +176,7 @@ def _regressor(name: str, shape: TrainShape, effort: Effort) -> Estimator:
         common["featuresCol"] = KERNEL_VECTOR
         return LinearRegression(
             loss="huber", regParam=1.0 / max(shape.rows, 1), standardization=False,
-            maxIter=min(effort.iterations, 100), **common,
+            maxIter=min(effort.iterations, 100), tol=1e-4, **common,
         )
     return GBTRegressor(
         maxIter=effort.rounds, stepSize=0.1, maxDepth=6 if name == "xgboost" else 3,

@@ -111,6 +111,13 @@ def clean(
     return Cleaned(rest, issues, len(df.columns), len(rest.columns))
 
 
+def attach_labels(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Rows that have a label, joined on the row key; Spark picks the join by size."""
+    require_column(features, key)
+    require_column(labels, key)
+    return features.join(labels, key, "inner")
+
+
 def split_features_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     require_column(df, target)
     return df.drop(target), df.select(quoted(target))

@@ -30,45 +30,40 @@ def score_histogram(
 
 
 def cumulative(histogram: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
-    """True and false positives when every score of at least ``p`` is called positive."""
+    """True and false positives when every score of at least ``p`` is called positive.
+
+    ``tp_total`` and ``fp_total`` are all positives and negatives of the model.
+    """
     return running(
         histogram,
         by,
         [F.col("p").desc()],
         -F.col("p"),
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
+        group_totals=True,
         **options,
     )
 
 
-def _with_totals(points: DataFrame, histogram: DataFrame, by: Sequence[str]) -> DataFrame:
-    totals = histogram.groupBy(*by).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
-    )
-    return points.join(totals, list(by)) if by else points.crossJoin(totals)
-
-
 def roc_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
     """One point per distinct score: threshold, false and true positive rate."""
-    histogram = score_histogram(scored, by)
-    points = _with_totals(cumulative(histogram, by, **options), histogram, by)
+    points = cumulative(score_histogram(scored, by), by, **options)
     return points.select(
         *by,
         F.col("p").alias("threshold"),
-        ratio(F.col("fp"), F.col("negatives")).alias("fpr"),
-        ratio(F.col("tp"), F.col("positives")).alias("tpr"),
+        ratio(F.col("fp"), F.col("fp_total")).alias("fpr"),
+        ratio(F.col("tp"), F.col("tp_total")).alias("tpr"),
     )
 
 
 def pr_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
     """One point per distinct score: threshold, precision and recall."""
-    histogram = score_histogram(scored, by)
-    points = _with_totals(cumulative(histogram, by, **options), histogram, by)
+    points = cumulative(score_histogram(scored, by), by, **options)
     return points.select(
         *by,
         F.col("p").alias("threshold"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        ratio(F.col("tp"), F.col("positives")).alias("recall"),
+        ratio(F.col("tp"), F.col("tp_total")).alias("recall"),
     )
 
 

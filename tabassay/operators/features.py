@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Transformer
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,16 @@ def fit_features(
     return plan
 
 
+def polynomial(df: DataFrame, columns: Sequence[str], degree: int) -> DataFrame:
+    """Add ``poly_1..`` holding all products of the columns up to ``degree``."""
+    made = VectorAssembler(inputCols=list(columns), outputCol="__base").transform(df)
+    expand = PolynomialExpansion(degree=degree, inputCol="__base", outputCol="__poly")
+    values = vector_to_array(F.col("__poly"))
+    count = math.comb(len(columns) + degree, degree) - 1
+    added = [values[i].alias(f"poly_{i + 1}") for i in range(count)]
+    return expand.transform(made).select(*[quoted(c) for c in df.columns], *added)
+
+
 def fill_absent_inputs(df: DataFrame, inputs: dict[str, str]) -> DataFrame:
     """Add inputs a scoring table lacks: 0, false, or a string that is no level."""
     blank = {"double": F.lit(0.0), "boolean": F.lit(False), "string": F.lit("")}

@@ -31,16 +31,9 @@ def rank_folds(
     """
     by = [stratify] if stratify else []
     placed = ordered_position(
-        df, by, [quoted(key)], order_position(df, key), "__place", **options
+        df, by, [quoted(key)], order_position(df, key), "__place", group_totals=True, **options
     )
-    sizes = df.groupBy(*[quoted(b).alias("__class") for b in by]).agg(
-        F.count(F.lit(1)).alias("__size")
-    )
-    if by:
-        placed = placed.join(sizes, quoted(stratify).eqNullSafe(F.col("__class")))
-    else:
-        placed = placed.crossJoin(sizes)
-    place, size = F.col("__place") - 1, F.col("__size")
+    place, size = F.col("__place") - 1, F.col("__place_total")
     small = F.floor(size / k)
     large_rows = (size % k) * (small + 1)
     fold = F.when(place < large_rows, F.floor(place / (small + 1))).otherwise(

@@ -16,6 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, UnivariateFeatureSelector
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,14 +215,14 @@ class Trial:
         return math.sqrt(sum((s - self.mean) ** 2 for s in self.scores) / len(self.scores))
 
 
-def _run_trials(tasks: Sequence[Any], parallelism: int) -> None:
+def _run_trials(spark: SparkSession, tasks: Sequence[Any], parallelism: int) -> None:
     """Run independent fits side by side; each is itself a distributed job."""
     if parallelism <= 1:
         for task in tasks:
             task()
         return
     with ThreadPoolExecutor(parallelism) as pool:
-        list(pool.map(lambda t: inheritable_thread_target(t)(), tasks))
+        list(pool.map(lambda t: inheritable_thread_target(spark)(t)(), tasks))
 
 
 def cross_validate(
@@ -241,6 +242,7 @@ def cross_validate(
     ``train`` holds ``label`` and ``fold``. Imputation, encoding and scaling are fitted
     inside each fold, once for all algorithms, and the assembled rows are reused.
     """
+    spark = train.sparkSession
     trials = {n: Trial(n) for n in names}
     kernel = any(_needs_kernel(alg.resolve(n, problem_type)) for n in names)
     for k in range(folds):
@@ -274,9 +276,8 @@ def cross_validate(
                 trial.error = str(problem).splitlines()[0][:500]
             trial.seconds += time.time() - start
 
-        _run_trials(
-            [lambda t=t: run(t) for t in trials.values() if t.error is None], parallelism
-        )
+        open_trials = [t for t in trials.values() if t.error is None]
+        _run_trials(spark, [lambda t=t: run(t) for t in open_trials], parallelism)
         vectors.unpersist()
         held_vectors.unpersist()
     return list(trials.values())
@@ -315,7 +316,9 @@ def tune(
             value = score_of(fitted[0].transform(held), problem_type)
             scores[i].append(-math.inf if value is None else value)
 
-        _run_trials([lambda i=i: run(i) for i in scores], parallelism)
+        _run_trials(
+            matrix.vectors.sparkSession, [lambda i=i: run(i) for i in scores], parallelism
+        )
         part.unpersist()
         held.unpersist()
     means = {i: sum(s) / len(s) for i, s in scores.items()}
@@ -359,6 +362,13 @@ def feature_importance(model: FittedModel, limit: int = 20) -> DataFrame:
     return to_frame(spark, rows, IMPORTANCE_SCHEMA)
 
 
+def one_vs_rest_chances(raw: Column) -> Column:
+    """Margins of one-vs-rest machines as logistic chances that sum to one."""
+    single = F.transform(vector_to_array(raw), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+    total = F.aggregate(single, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(single, lambda p: F.try_divide(p, total))
+
+
 def predict(model: FittedModel, df: DataFrame) -> DataFrame:
     """All columns of ``df`` with prediction, probability per class and confidence.
 
@@ -368,7 +378,12 @@ def predict(model: FittedModel, df: DataFrame) -> DataFrame:
     kept = [quoted(c) for c in df.columns if c not in ("prediction", "probability", "confidence")]
     if model.problem_type == "regression":
         return scored.select(*kept, F.col("prediction"))
-    if "probability" in scored.columns:
+    if "probability" not in scored.columns and "rawPrediction" in scored.columns:
+        chance = one_vs_rest_chances(F.col("rawPrediction"))
+        names = F.array(*[F.lit(c) for c in model.classes])
+        chances = F.map_from_arrays(names, F.transform(chance, lambda p: F.round(p, 4)))
+        sure = F.round(F.array_max(chance), 4)
+    elif "probability" in scored.columns:
         chances = probability_map(model.classes, F.col("probability"))
         sure = confidence(F.col("probability"))
     else:
@@ -382,9 +397,7 @@ def predict(model: FittedModel, df: DataFrame) -> DataFrame:
     )
 
 
-def labelled_predictions(
-    model: FittedModel, df: DataFrame
-) -> DataFrame:
+def labelled_predictions(model: FittedModel, df: DataFrame) -> DataFrame:
     """Numeric ``label`` and ``prediction`` of labelled rows, for the metrics."""
     require_column(df, model.target)
     label = label_column(model.target, model.problem_type, model.classes)

@@ -21,7 +21,7 @@ from tabassay.operators.selection import sketch_quantiles
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 2048
 
-_CHUNK, _CARRY = "__chunk", "__carry_"
+_CHUNK, _CARRY, TOTAL = "__chunk", "__carry_", "_total"
 
 
 def order_position(df: DataFrame, name: str) -> Column:
@@ -57,23 +57,19 @@ def running(
     sums: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
     *,
+    group_totals: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add running sums and maxima, from the first row of each group up to this one.
 
     ``order`` must be a total order inside each group, and ``position`` a double that
-    does not decrease along it.
+    does not decrease along it. ``group_totals`` also adds ``<sum>_total`` per group.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     by = list(by)
     edges = chunk_edges(df, position, rows_per_chunk)
-    upto_here = (Window.unboundedPreceding, Window.currentRow)
     if not edges and by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto_here)
-        return df.withColumns(
-            {n: F.sum(c).over(w) for n, c in sums.items()}
-            | {n: F.max(c).over(w) for n, c in maxima.items()}
-        )
+        return _within(df, by, order, sums, maxima, group_totals)
     splits = [float("-inf"), *edges, float("inf")]
     chunked = df.withColumn("__position", position)
     if edges:
@@ -83,28 +79,23 @@ def running(
         chunked = chunked.withColumn(_CHUNK, F.lit(0.0))
     chunked = chunked.drop("__position")
 
-    w = Window.partitionBy(*by, _CHUNK).orderBy(*order).rowsBetween(*upto_here)
-    within = chunked.withColumns(
-        {n: F.sum(c).over(w) for n, c in sums.items()}
-        | {n: F.max(c).over(w) for n, c in maxima.items()}
-    )
     if not edges:
-        return within.drop(_CHUNK)
+        return _within(chunked, [_CHUNK], order, sums, maxima, group_totals).drop(_CHUNK)
+    within = _within(chunked, [*by, _CHUNK], order, sums, maxima)
 
     totals = chunked.groupBy(*by, _CHUNK).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max(c).alias(n) for n, c in maxima.items()],
     )
-    earlier = (
-        (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-        .orderBy(_CHUNK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    wholes = [n + TOTAL for n in sums] if group_totals else []
     carry = totals.select(
         *[F.col(f"`{b}`").alias(f"__by_{i}") for i, b in enumerate(by)],
         F.col(_CHUNK).alias("__carry_chunk"),
         *[F.sum(n).over(earlier).alias(_CARRY + n) for n in sums],
         *[F.max(n).over(earlier).alias(_CARRY + n) for n in maxima],
+        *[F.sum(n.removesuffix(TOTAL)).over(group).alias(n) for n in wholes],
     )
     match = F.col(_CHUNK) == F.col("__carry_chunk")
     for i, b in enumerate(by):
@@ -114,7 +105,24 @@ def running(
         {n: F.col(n) + F.coalesce(F.col(_CARRY + n), F.lit(0)) for n in sums}
         | {n: F.greatest(F.col(n), F.col(_CARRY + n)) for n in maxima}
     )
-    return finished.select(*df.columns, *sums, *maxima)
+    return finished.select(*df.columns, *sums, *maxima, *wholes)
+
+
+def _within(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, Column],
+    maxima: Mapping[str, Column],
+    group_totals: bool = False,
+) -> DataFrame:
+    group = Window.partitionBy(*by)
+    w = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {n: F.sum(c).over(w) for n, c in sums.items()}
+    added |= {n: F.max(c).over(w) for n, c in maxima.items()}
+    if group_totals:
+        added |= {n + TOTAL: F.sum(c).over(group) for n, c in sums.items()}
+    return df.withColumns(added)
 
 
 def ordered_position(
@@ -123,7 +131,7 @@ def ordered_position(
     order: Sequence[Column],
     position: Column,
     name: str = "position",
-    **options: int,
+    **options,
 ) -> DataFrame:
     """Add the 1-based place of each row inside its ordered group."""
     return running(df, by, order, position, sums={name: F.lit(1)}, **options)

@@ -10,10 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EVENTS = T.StructType.fromDDL(
-    "model_id string, event_ts timestamp, event string, name string, algorithm string, "
-    "problem_type string, score double, metric string, model_path string"
+EVENTS = T.StructType(
+    [
+        T.StructField("model_id", T.StringType()),
+        T.StructField("event_ts", T.TimestampType()),
+        T.StructField("event", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("algorithm", T.StringType()),
+        T.StructField("problem_type", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("metric", T.StringType()),
+        T.StructField("model_path", T.StringType()),
+    ]
 )
+# Fixed value: where a deployed model answers.
 ENDPOINT = "/api/predictions/realtime/"
 
 

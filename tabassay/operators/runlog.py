@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabassay.functions.missing import quoted
-from tabassay.functions.scalars import clamp_percent, elapsed_seconds
+from tabassay.functions.scalars import clamp_percent, elapsed_seconds, label_from_name
 from tabassay.operators.prefix import order_position, running
 
 
@@ -54,7 +57,40 @@ def latest_state(
     )
 
 
-def job_list(state: DataFrame, job: str, status: str | None = None) -> DataFrame:
-    """Jobs newest first, optionally of one status."""
-    found = state if status is None else state.filter(F.col("status") == status)
-    return found.orderBy(F.col("created_at").desc(), quoted(job))
+def phase_state(log: DataFrame) -> DataFrame:
+    """Last status and message per job and phase, with a readable label."""
+    phases = log.filter(F.col("phase").isNotNull())
+    return phases.groupBy("job_id", "phase", label_from_name(F.col("phase")).alias("label")).agg(
+        F.max_by("status", "event_ts").alias("status"),
+        F.max_by("message", "event_ts").alias("message"),
+    )
+
+
+def job_list(state: DataFrame, job: str, **equals: str) -> DataFrame:
+    """Jobs newest first, filtered by equality, say ``status="failed"``."""
+    for column, value in equals.items():
+        state = state.filter(quoted(column) == value)
+    return state.orderBy(F.col("created_at").desc(), quoted(job))
+
+
+LOG = (
+    "job_id string, job_type string, event_ts timestamp, status string, progress double, "
+    "phase string, algorithm string, score double, level string, message string"
+)
+
+
+class RunLog:
+    """Appends the events of one job to a log table, a few rows per write."""
+
+    def __init__(self, spark: SparkSession, path: str, job_id: str, job_type: str):
+        self._spark, self._path, self._job = spark, path, (job_id, job_type)
+
+    def add(self, status: str, **info: Any) -> None:
+        """One event: ``progress``, ``phase``, ``algorithm``, ``score``, ``level``, ``message``."""
+        schema = T.StructType.fromDDL(LOG)
+        known = dict(zip(("job_id", "job_type"), self._job))
+        row = {**known, "event_ts": datetime.now(), "status": status, "level": "INFO", **info}
+        data = [tuple(row.get(f.name) for f in schema)]
+        self._spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(
+            self._path
+        )

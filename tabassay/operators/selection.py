@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a column in one task. Here a bounded KLL
 sketch proposes a narrow bracket round each wanted rank, a counting aggregate says
 exactly how many rows lie before each edge, and the step repeats inside the bracket
-until at most ``FINAL_ROWS`` rows are left, which ``percentile`` then orders. A wrong
+until at most ``FINAL_ROWS`` rows are left, which are then sorted. A wrong
 sketch costs a further round, never a wrong answer: ranks are placed by exact counts.
 
 Every round is a scan of a few columns with map-side aggregation; only counts and
@@ -137,29 +137,27 @@ def _place(
     return narrower, found, counts
 
 
-def _exact_fraction(rank: int, last: int) -> float:
-    """A fraction whose product with ``last`` is exactly ``rank``."""
-    f = rank / last if last else 0.0
-    for candidate in (f, math.nextafter(f, 0.0), math.nextafter(f, 1.0)):
-        if candidate * last == rank:
-            return candidate
-    return f
-
-
 def _order_few(
     df: DataFrame, columns: Mapping[str, Column], brackets: list[_Bracket]
 ) -> dict[tuple[str, int], float]:
-    """Read the wanted ranks off the few rows inside each bracket."""
+    """Read the wanted ranks off the few rows inside each bracket, at most ``FINAL_ROWS``."""
     found: dict[tuple[str, int], float] = {}
     for batch in _batches(brackets, SKETCHES_PER_SCAN):
-        exprs = []
-        for i, b in enumerate(batch):
-            at = [_exact_fraction(rank - b.below, b.inside - 1) for rank in b.ranks]
-            exprs.append(F.percentile(b.rows(columns[b.column]), at).alias(f"v_{i}"))
         anywhere = reduce(lambda x, y: x | y, [b.holds(columns[b.column]) for b in batch])
-        row = df.filter(anywhere).agg(*exprs).first()
+        ordered = df.filter(anywhere).agg(
+            *[
+                F.sort_array(F.collect_list(b.rows(columns[b.column]))).alias(f"v_{i}")
+                for i, b in enumerate(batch)
+            ]
+        )
+        picks = [
+            F.get(F.col(f"v_{i}"), F.lit(rank - b.below)).alias(f"{i}_{rank}")
+            for i, b in enumerate(batch)
+            for rank in b.ranks
+        ]
+        row = ordered.select(*picks).first()
         for i, b in enumerate(batch):
-            found.update({(b.column, rank): v for rank, v in zip(b.ranks, row[f"v_{i}"])})
+            found.update({(b.column, rank): row[f"{i}_{rank}"] for rank in b.ranks})
     return found
 
 

@@ -20,6 +20,7 @@ from tabassay.operators.cleaning import Cleaned, clean, require_rows
 from tabassay.operators.features import fit_features
 from tabassay.operators.folds import hash_folds, rank_folds
 from tabassay.operators.frames import to_frame
+from tabassay.operators.runlog import RunLog
 from tabassay.session import enable_checkpoints
 from tabassay.sources.sampling import split
 
@@ -63,6 +64,11 @@ class TrainingConfig:
     exact_folds: bool = False
     effort: alg.Effort = field(default_factory=alg.Effort)
     parallelism: int = 4
+    run_log: RunLog | None = None
+
+    def note(self, status: str, **info: Any) -> None:
+        if self.run_log is not None:
+            self.run_log.add(status, **info)
 
 
 @dataclass
@@ -170,8 +176,10 @@ def automl(
     config = config or TrainingConfig()
     config.cv_folds = cv_folds
     spark = df.sparkSession
+    config.note("running", phase="data_validation", progress=5.0)
     ready = prepare(df, target, problem_type, key, config)
     scaling = scaling_method if use_feature_engineering else None
+    config.note("running", phase="algorithm_selection", progress=30.0)
     names = list(algorithms or alg.candidates(problem_type))
     for n in names:
         alg.resolve(n, problem_type)
@@ -180,13 +188,21 @@ def automl(
         scaling, config.effort, parallelism=config.parallelism,
     )
     board = leaderboard_frame(spark, trials, problem_type)
+    for t in trials:
+        config.note(
+            "running", phase="algorithm_selection", algorithm=t.algorithm, score=t.mean,
+            level="ERROR" if t.error else "INFO", message=t.error,
+        )
     best = None
     for t in trials:
         if t.mean is not None and (best is None or t.mean > best.mean):
             best = t
     if best is None:
+        config.note("failed", phase="model_training", level="ERROR")
         raise NoAlgorithmSucceeded(board, len(names))
+    config.note("running", phase="model_training", progress=85.0, algorithm=best.algorithm)
     model = _refit(ready, best.algorithm, target, problem_type, scaling, config)[0]
+    config.note("completed", phase="evaluation", progress=100.0, algorithm=best.algorithm)
     return AutoMLResult(
         leaderboard=board,
         best_algorithm=best.algorithm,
@@ -271,6 +287,7 @@ def train(
     alg.resolve(algorithm, problem_type)
     ready = prepare(df, target, problem_type, key, config)
     scaling = config.scaling_method if config.use_feature_engineering else None
+    config.note("running", phase="training", progress=50.0, algorithm=algorithm)
     start = time.time()
     model, params = _refit(
         ready, algorithm, target, problem_type, scaling, config, config.tune_hyperparameters
@@ -286,6 +303,9 @@ def train(
             ready.train, ready.columns, [algorithm], problem_type, ready.classes,
             config.cv_folds, scaling, config.effort, params, config.parallelism,
         )[0]
+    config.note(
+        "completed", phase="evaluation", progress=100.0, algorithm=algorithm, score=on_test
+    )
     row = (
         algorithm, problem_type, _round(on_train), _round(on_test), _round(trial.mean),
         _round(trial.std), ready.train_size, ready.test_size, len(model.features),

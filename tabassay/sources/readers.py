@@ -6,9 +6,21 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabassay.functions.missing import NA_TOKENS, normalize_missing
+from tabassay.functions.missing import NA_TOKENS, normalize_missing, quoted
+from tabassay.operators.frames import aggregate
+
+
+# Types tried in order, and the form a text must have for the later ones.
+_KINDS = {
+    "bigint": None,
+    "double": None,
+    "boolean": r"^(?i)(true|false)$",
+    "date": r"^\d{4}-\d{2}-\d{2}$",
+    "timestamp_ntz": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}",
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -30,22 +42,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def _infer(strings: DataFrame) -> DataFrame:
     """Give each all-string column the narrowest type every value converts to."""
-    from pyspark.sql import functions as F
-
-    from tabassay.functions.missing import quoted
-
-    order = ("bigint", "double", "boolean", "date", "timestamp_ntz")
     exprs = []
     for i, name in enumerate(strings.columns):
         c = quoted(name)
         exprs.append(F.count(c).alias(f"n_{i}"))
-        for kind in order:
-            exprs.append(F.count(c.try_cast(kind)).alias(f"{kind}_{i}"))
-    row = strings.agg(*exprs).first()
+        for kind, pattern in _KINDS.items():
+            fits = c.try_cast(kind)
+            fits = F.when(c.rlike(pattern), fits) if pattern else fits
+            exprs.append(F.count(fits).alias(f"{kind}_{i}"))
+    row = aggregate(strings, exprs)
     out = []
     for i, name in enumerate(strings.columns):
         total = row[f"n_{i}"]
-        kind = next((k for k in order if total and row[f"{k}_{i}"] == total), "string")
+        kind = next((k for k in _KINDS if total and row[f"{k}_{i}"] == total), "string")
         out.append(quoted(name).cast(kind).alias(name))
     return strings.select(*out)
 
