@@ -69,6 +69,7 @@ ALIASES = {
 
 KERNEL_ALGORITHMS = {"svm", "svr"}
 SEED = 42
+MAX_DIRECT_FEATURES = 4096  # the normal equations take no more
 
 
 @dataclass(frozen=True)
@@ -89,6 +90,7 @@ class TrainShape:
     rows: int
     classes: int = 2
     label_std: float = 1.0
+    features: int = 1
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -156,10 +158,15 @@ def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
 def _regressor(name: str, shape: TrainShape, effort: Effort) -> Estimator:
     common = {"featuresCol": VECTOR, "labelCol": "label"}
     if name in ("linear", "ridge"):
-        # Spark divides the label by its deviation, so the ridge penalty carries it too.
-        penalty = shape.label_std / max(shape.rows, 1) if name == "ridge" else 0.0
+        # Spark divides the label by its deviation, so the ridge penalty carries it too:
+        # the population one when it solves directly, the sample one when it iterates.
+        direct = shape.features <= MAX_DIRECT_FEATURES
+        spread = shape.label_std
+        if not direct and shape.rows > 1:
+            spread *= (shape.rows / (shape.rows - 1)) ** 0.5
+        penalty = spread / max(shape.rows, 1) if name == "ridge" else 0.0
         return LinearRegression(
-            solver="normal", elasticNetParam=0.0, regParam=penalty, standardization=False, **common
+            solver="normal" if direct else "l-bfgs", maxIter=effort.iterations, elasticNetParam=0.0, regParam=penalty, standardization=False, **common
         )
     if name == "lasso":
         return LinearRegression(

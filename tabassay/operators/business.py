@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.functions.stats import percent, ratio
@@ -52,20 +52,29 @@ def business_impact(
     )
 
 
-def threshold_sweep(
-    scored: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
-) -> DataFrame:
-    """Outcome counts and profit at every candidate threshold.
-
-    All thresholds are counted in one aggregate of the rows: no join, no extra rows.
-    """
+def sweep_aggregates(inside: Column | None = None) -> list[Column]:
+    """Positives, and hits at every candidate threshold: no join, no extra rows."""
     positive = F.col("y") == 1
+    if inside is not None:
+        positive = F.when(inside, positive)
     exprs = [F.count_if(positive).alias("positives")]
     for i, t in enumerate(THRESHOLDS):
         hit = F.col("p") >= t
         exprs.append(F.count_if(positive & hit).alias(f"tp_{i}"))
         exprs.append(F.count_if(~positive & hit).alias(f"fp_{i}"))
-    row = scored.groupBy(*by).agg(*exprs)
+    return exprs
+
+
+def threshold_sweep(
+    scored: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
+) -> DataFrame:
+    """Outcome counts and profit at every candidate threshold, from one aggregate."""
+    return sweep_of(scored.groupBy(*by).agg(*sweep_aggregates()), prices, by)
+
+
+def sweep_of(
+    row: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
+) -> DataFrame:
     structs = [
         F.struct(
             *[F.col(b) for b in by],

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.stats import ratio
-from tabassay.operators.prefix import running
+from tabassay.operators.prefix import ROWS_PER_CHUNK, chunk_edges, running
 
 
 def score_histogram(
@@ -29,25 +29,27 @@ def score_histogram(
     )
 
 
-def cumulative(histogram: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
+def cumulative(
+    scored: DataFrame, by: Sequence[str] = (), rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
     """True and false positives when every score of at least ``p`` is called positive.
 
-    ``tp_total`` and ``fp_total`` are all positives and negatives of the model.
+    One row per distinct score; ``tp_total`` and ``fp_total`` are all positives and
+    negatives of the model. Chunk edges come from the rows, before any shuffle.
     """
     return running(
-        histogram,
+        score_histogram(scored, by),
         by,
         [F.col("p").desc()],
         -F.col("p"),
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
         group_totals=True,
-        **options,
+        edges=chunk_edges(scored, -F.col("p").cast("double"), rows_per_chunk),
     )
 
 
-def roc_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
-    """One point per distinct score: threshold, false and true positive rate."""
-    points = cumulative(score_histogram(scored, by), by, **options)
+def roc_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """ROC points from cumulative ones: threshold, false and true positive rate."""
     return points.select(
         *by,
         F.col("p").alias("threshold"),
@@ -56,9 +58,8 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> Data
     )
 
 
-def pr_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
-    """One point per distinct score: threshold, precision and recall."""
-    points = cumulative(score_histogram(scored, by), by, **options)
+def pr_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision-recall points from cumulative ones: threshold, precision and recall."""
     return points.select(
         *by,
         F.col("p").alias("threshold"),
@@ -67,6 +68,14 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataF
     )
 
 
+def roc_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
+    return roc_of(cumulative(scored, by, **options), by)
+
+
+def pr_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
+    return pr_of(cumulative(scored, by, **options), by)
+
+
 def areas_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve and average precision from cumulative points.
 
@@ -92,4 +101,4 @@ def areas_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def auc_ap(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:
-    return areas_of(cumulative(score_histogram(scored, by), by, **options), by)
+    return areas_of(cumulative(scored, by, **options), by)

@@ -22,13 +22,16 @@ def aggregate(
 
 
 def to_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small frame from driver-side statistics (one row per column, model or rule)."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small frame from driver-side statistics (one row per column, model or rule).
+
+    One partition, so that joins and groupings of such frames need no shuffle.
+    """
+    return spark.createDataFrame(list(rows), schema).coalesce(1)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute a result of at most a few rows per column once, for repeated use."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
 
 
 def one_row_per(row: DataFrame, structs: Sequence[Column]) -> DataFrame:

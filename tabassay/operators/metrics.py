@@ -14,15 +14,20 @@ from tabassay.functions.stats import ratio
 from tabassay.operators.curves import auc_ap
 
 
-def confusion_aggregates(threshold: float, label: str = "y", score: str = "p") -> list[Column]:
-    """Counts of the four outcomes; a score equal to the threshold is positive."""
-    y, hit = F.col(label) == 1, F.col(score) >= threshold
+def confusion_aggregates(threshold: float, inside: Column | None = None) -> list[Column]:
+    """Counts of the four outcomes; a score equal to the threshold is positive.
+
+    ``inside`` restricts the count to some rows, so that several parts share a scan.
+    """
+    y, hit = F.col("y") == 1, F.col("p") >= threshold
+    if inside is not None:
+        y, hit = F.when(inside, y), F.when(inside, hit)
     return [
         F.count_if(~y & ~hit).alias("tn"),
         F.count_if(~y & hit).alias("fp"),
         F.count_if(y & ~hit).alias("fn"),
         F.count_if(y & hit).alias("tp"),
-        F.count(y & hit).alias("total"),
+        F.count_if(y.isNotNull() & hit.isNotNull()).alias("total"),
     ]
 
 
@@ -67,11 +72,16 @@ def imbalance_columns() -> dict[str, Column]:
 
 
 def threshold_evaluation(
-    scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), areas: DataFrame | None = None
+    scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()
 ) -> DataFrame:
     """Confusion counts, metrics with ROC AUC, rates and class balance at a threshold."""
-    counts = confusion(scored, threshold, by)
-    areas = auc_ap(scored, by) if areas is None else areas
+    return evaluation_of(confusion(scored, threshold, by), auc_ap(scored, by), threshold, by)
+
+
+def evaluation_of(
+    counts: DataFrame, areas: DataFrame, threshold: float, by: Sequence[str] = ()
+) -> DataFrame:
+    """The same from confusion counts and areas."""
     joined = counts.join(areas, list(by), "left") if by else counts.crossJoin(areas)
     columns = metric_columns() | {"auc_roc": F.col("auc_roc")} | rate_columns()
     return joined.select(
@@ -83,22 +93,29 @@ def threshold_evaluation(
 
 
 def confusion_grid(
-    predicted: DataFrame, label: str = "label", prediction: str = "prediction"
+    predicted: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows per (actual, predicted) class pair."""
     return predicted.groupBy(
-        F.col(label).alias("actual"), F.col(prediction).alias("predicted")
+        *by, F.col(label).alias("actual"), F.col(prediction).alias("predicted")
     ).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def per_class_report(
-    predicted: DataFrame, label: str = "label", prediction: str = "prediction"
+    predicted: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Precision, recall, F1 and support of every class against the rest."""
-    grid = confusion_grid(predicted, label, prediction)
+    grid = confusion_grid(predicted, label, prediction, by)
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("cnt")).otherwise(0)
     none = F.lit(0).cast("bigint")
     sides = grid.select(
+        *by,
         F.inline(
             F.array(
                 F.struct(
@@ -110,13 +127,14 @@ def per_class_report(
                     F.col("cnt").alias("called"), none.alias("hits"),
                 ),
             )
-        )
+        ),
     )
-    sums = sides.groupBy("class").agg(
+    sums = sides.groupBy(*by, "class").agg(
         F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hits").alias("hits")
     )
     zero = F.lit(0.0)
     return sums.select(
+        *by,
         "class",
         F.coalesce(ratio(F.col("hits"), F.col("called")), zero).alias("precision"),
         F.coalesce(ratio(F.col("hits"), F.col("support")), zero).alias("recall"),
@@ -126,13 +144,16 @@ def per_class_report(
 
 
 def classification_metrics(
-    predicted: DataFrame, label: str = "label", prediction: str = "prediction"
+    predicted: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1."""
-    report = per_class_report(predicted, label, prediction)
+    report = per_class_report(predicted, label, prediction, by)
     weight, total = F.col("support").cast("double"), F.sum("support")
     # A class is recalled as often as it is hit, so weighted recall is the accuracy.
-    return report.agg(
+    return report.groupBy(*by).agg(
         ratio(F.sum(weight * F.col("recall")), total).alias("accuracy"),
         ratio(F.sum(weight * F.col("precision")), total).alias("precision"),
         ratio(F.sum(weight * F.col("recall")), total).alias("recall"),
@@ -141,18 +162,23 @@ def classification_metrics(
 
 
 def regression_metrics(
-    predicted: DataFrame, label: str = "label", prediction: str = "prediction"
+    predicted: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """R2, absolute and squared errors, and the mean absolute percentage error."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     y, p = F.when(p.isNotNull(), y), F.when(y.isNotNull(), p)
     error = y - p
-    return predicted.agg(
+    sums = predicted.groupBy(*by).agg(
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
         F.var_pop(y).alias("__var"),
         F.avg(F.abs(F.try_divide(error, y))).alias("mape"),
-    ).select(
+    )
+    return sums.select(
+        *by,
         (1.0 - F.try_divide(F.col("mse"), F.col("__var"))).alias("r2"),
         "mae",
         "mse",
@@ -171,10 +197,8 @@ def log_loss(y: Column, p: Column) -> Column:
 OVERFITTING = ((0.02, "none"), (0.05, "mild"), (0.10, "moderate"))
 
 
-def learning_curve(
-    scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), split: str = "split"
-) -> DataFrame:
-    """Loss and accuracy of train and test rows, their gap and how severe it is."""
+def learning_aggregates(threshold: float = 0.5, split: str = "split") -> list[Column]:
+    """Loss and accuracy of the train and the test rows."""
     y, p = F.col("y"), F.col("p")
     exprs = []
     for part in ("test", "train"):
@@ -184,13 +208,23 @@ def learning_curve(
             F.avg(F.when(inside, log_loss(y, p))).alias(f"{part}_loss"),
             F.avg(F.when(inside, right)).alias(f"{part}_accuracy"),
         ]
+    return exprs
+
+
+def learning_curve(
+    scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), split: str = "split"
+) -> DataFrame:
+    """Loss and accuracy of train and test rows, their gap and how severe it is."""
+    return learning_curve_of(scored.groupBy(*by).agg(*learning_aggregates(threshold, split)), by)
+
+
+def learning_curve_of(row: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     gap = F.coalesce(F.col("train_accuracy") - F.col("test_accuracy"), F.lit(0.0))
     status = F.when(F.col("gap") <= OVERFITTING[0][0], OVERFITTING[0][1])
     for limit, name in OVERFITTING[1:]:
         status = status.when(F.col("gap") <= limit, name)
     return (
-        scored.groupBy(*by)
-        .agg(*exprs)
+        row.select(*by, "test_loss", "test_accuracy", "train_loss", "train_accuracy")
         .withColumn("gap", gap)
         .withColumn("overfitting_status", status.otherwise("severe"))
     )

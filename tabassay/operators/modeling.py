@@ -86,10 +86,12 @@ def label_column(target: str, problem_type: str, classes: Sequence[str]) -> Colu
     return (F.array_position(known, quoted(target).cast("string")) - 1).cast("double")
 
 
-def train_shape(train: DataFrame, problem_type: str, classes: Sequence[str]) -> alg.TrainShape:
+def train_shape(
+    train: DataFrame, problem_type: str, classes: Sequence[str], features: int = 1
+) -> alg.TrainShape:
     row = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
     spread = row["s"] if problem_type == "regression" and row["s"] else 1.0
-    return alg.TrainShape(row["n"], max(len(classes), 2), spread)
+    return alg.TrainShape(row["n"], max(len(classes), 2), spread, features)
 
 
 def _needs_kernel(algorithm: str) -> bool:
@@ -260,7 +262,7 @@ def cross_validate(
         for stage in matrix.stages:
             held_vectors = stage.transform(held_vectors)
         held_vectors = held_vectors.select(*vectors.columns).persist()
-        shape = train_shape(vectors, problem_type, classes)
+        shape = train_shape(vectors, problem_type, classes, len(matrix.names))
 
         def run(trial: Trial, vectors=vectors, held_vectors=held_vectors, shape=shape) -> None:
             start = time.time()

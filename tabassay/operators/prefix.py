@@ -38,15 +38,16 @@ def order_position(df: DataFrame, name: str) -> Column:
 def chunk_edges(
     df: DataFrame, position: Column, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> list[float]:
-    """Cut points that split ``df`` into chunks of about ``rows_per_chunk`` rows."""
-    fractions = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
-    row = df.agg(
-        F.count(position).alias("n"), sketch_quantiles(position, fractions).alias("cuts")
-    ).first()
-    chunks = min(MAX_CHUNKS, -(-row["n"] // rows_per_chunk))
+    """Cut points that split ``df`` into chunks of about ``rows_per_chunk`` rows.
+
+    Counting comes first because it reads no column; small tables need no sketch.
+    """
+    chunks = min(MAX_CHUNKS, -(-df.count() // rows_per_chunk))
     if chunks <= 1:
         return []
-    return sorted({row["cuts"][i * MAX_CHUNKS // chunks - 1] for i in range(1, chunks)})
+    fractions = [i / chunks for i in range(1, chunks)]
+    cuts = df.agg(sketch_quantiles(position, fractions).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
 
 
 def running(
@@ -58,16 +59,18 @@ def running(
     maxima: Mapping[str, Column] | None = None,
     *,
     group_totals: bool = False,
+    edges: Sequence[float] | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add running sums and maxima, from the first row of each group up to this one.
 
     ``order`` must be a total order inside each group, and ``position`` a double that
     does not decrease along it. ``group_totals`` also adds ``<sum>_total`` per group.
+    ``edges`` brings chunk edges found elsewhere.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     by = list(by)
-    edges = chunk_edges(df, position, rows_per_chunk)
+    edges = chunk_edges(df, position, rows_per_chunk) if edges is None else list(edges)
     if not edges and by:
         return _within(df, by, order, sums, maxima, group_totals)
     splits = [float("-inf"), *edges, float("inf")]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tabassay.operators import business as biz
 from tabassay.operators import curves, metrics, readiness
-from tabassay.operators.cleaning import require_rows
 from tabassay.operators.frames import settle
 from tabassay.plans.eda import _long
 
@@ -69,14 +68,25 @@ def evaluate_model(
 ) -> Evaluation:
     """Judge a scored set ``(y, p, split, features..)``; only test rows are judged.
 
-    Train rows, when there are any, serve the learning curve.
+    Train rows, when there are any, serve the learning curve. One scan counts outcomes,
+    all thresholds and losses; the score histogram and the feature correlations follow.
     """
-    test = scored.filter(F.col(split) == "test")
-    require_rows(test)
-    areas = settle(curves.auc_ap(test))
-    evaluation = settle(metrics.threshold_evaluation(test, threshold, areas=areas))
+    is_test = F.col(split) == "test"
+    test = scored.filter(is_test)
+    row = settle(
+        scored.agg(
+            *metrics.confusion_aggregates(threshold, is_test),
+            *biz.sweep_aggregates(is_test),
+            *metrics.learning_aggregates(threshold, split),
+        )
+    )
+    if row.first()["total"] == 0:
+        raise ValueError("the input holds no test rows")
+    points = curves.cumulative(test)
+    areas = settle(curves.areas_of(points))
+    evaluation = settle(metrics.evaluation_of(row, areas, threshold))
     impact = biz.business_impact(evaluation, prices)
-    curve = settle(metrics.learning_curve(scored, threshold, split=split))
+    curve = settle(metrics.learning_curve_of(row))
     importance = settle(readiness.importance_with_correlation(test, features))
     top = readiness.importance_summary(importance)
     severity = curve.select(readiness.overfitting_severity().alias("overfitting_severity"))
@@ -85,13 +95,13 @@ def evaluate_model(
     return Evaluation(
         evaluation=evaluation,
         business_impact=impact,
-        roc_curve=curves.roc_curve(test),
-        pr_curve=curves.pr_curve(test),
+        roc_curve=curves.roc_of(points),
+        pr_curve=curves.pr_of(points),
         areas=areas,
         learning_curve=curve,
         feature_importance=importance,
         importance_summary=top,
-        optimal_threshold=biz.optimal_threshold(settle(biz.threshold_sweep(test, prices))),
+        optimal_threshold=biz.optimal_threshold(biz.sweep_of(row, prices)),
         criteria=criteria,
         production_readiness=readiness.readiness_summary(criteria),
     )

@@ -16,10 +16,10 @@ from tabassay.functions.families import require_column
 from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
 from tabassay.operators import modeling as mod
-from tabassay.operators.cleaning import Cleaned, clean, require_rows
+from tabassay.operators.cleaning import Cleaned, clean
 from tabassay.operators.features import fit_features
 from tabassay.operators.folds import hash_folds, rank_folds
-from tabassay.operators.frames import to_frame
+from tabassay.operators.frames import settle, to_frame
 from tabassay.operators.runlog import RunLog
 from tabassay.session import enable_checkpoints
 from tabassay.sources.sampling import split
@@ -93,36 +93,48 @@ def prepare(
     require_column(df, key)
     if problem_type not in alg.ALIASES:
         raise ValueError(f"unknown problem type '{problem_type}'")
-    require_rows(df)
     enable_checkpoints(df.sparkSession)
     cleaned = clean(df, target, keep=[key])
     columns = [c for c in cleaned.data.columns if c not in (target, key)]
     classes = mod.class_names(cleaned.data, target) if problem_type == "classification" else []
     label = mod.label_column(target, problem_type, classes)
     labelled = cleaned.data.withColumn("label", F.nanvl(label, F.lit(None).cast("double")))
-    train, test = split(
-        labelled.filter(F.col("label").isNotNull()), key, 0.2, exact=config.exact_split
-    )
+    usable = labelled.filter(F.col("label").isNotNull())
+    train, test = split(usable, key, 0.2, exact=config.exact_split)
     folds = max(config.cv_folds, 1)
     if config.exact_folds:
         stratify = "label" if problem_type == "classification" else None
         train = rank_folds(train, key, folds, stratify)
     else:
         train = hash_folds(train, key, folds)
-    without = labelled.agg(F.count_if(F.col("label").isNull())).first()[0]
+    sizes = labelled.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("label").alias("labelled")
+    ).first()
+    if sizes["labelled"] == 0:
+        raise ValueError(f"no row has a value for the target '{target}'")
+    in_test = test.count()
     return Prepared(
-        cleaned, columns, classes, train, test, without, train.count(), test.count()
-    )
+        cleaned, columns, classes, train, test,
+        sizes["rows"] - sizes["labelled"], sizes["labelled"] - in_test, in_test,
+    )
 
 
-def final_metrics(model: mod.FittedModel, test: DataFrame) -> DataFrame:
-    """Rounded test metrics: weighted class metrics or regression errors."""
-    predicted = mod.labelled_predictions(model, test)
+def part_metrics(model: mod.FittedModel, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Weighted class metrics or regression errors of the train and the test part."""
+    parts = [
+        mod.labelled_predictions(model, rows).withColumn("part", F.lit(name))
+        for name, rows in (("train", train), ("test", test))
+    ]
+    predicted = parts[0].unionByName(parts[1])
     if model.problem_type == "classification":
-        found = metrics.classification_metrics(predicted)
-    else:
-        found = metrics.regression_metrics(predicted).drop("mape")
-    return found.select(*[F.round(c, 4).alias(c) for c in found.columns])
+        return settle(metrics.classification_metrics(predicted, by=["part"]))
+    return settle(metrics.regression_metrics(predicted, by=["part"]).drop("mape"))
+
+
+def final_metrics(parts: DataFrame) -> DataFrame:
+    """Rounded metrics of the test part."""
+    test = parts.filter(F.col("part") == "test").drop("part")
+    return test.select(*[F.round(c, 4).alias(c) for c in test.columns])
 
 
 def leaderboard_frame(
@@ -208,7 +220,7 @@ def automl(
         best_algorithm=best.algorithm,
         best_score=best.mean,
         model=model,
-        metrics=final_metrics(model, ready.test),
+        metrics=final_metrics(part_metrics(model, ready.train, ready.test)),
         feature_importance=mod.feature_importance(model),
         issues=ready.cleaned.issues,
         train_size=ready.train_size,
@@ -234,7 +246,9 @@ def _refit(
     )
     matrix.vectors.persist()
     try:
-        shape = mod.train_shape(matrix.vectors, problem_type, ready.classes)
+        shape = mod.train_shape(
+            matrix.vectors, problem_type, ready.classes, len(matrix.names)
+        )
         params: dict[str, Any] = {}
         if tuned:
             try:
@@ -293,10 +307,10 @@ def train(
         ready, algorithm, target, problem_type, scaling, config, config.tune_hyperparameters
     )
     seconds = time.time() - start
-    on_train, on_test = (
-        mod.score_of(mod.labelled_predictions(model, part), problem_type)
-        for part in (ready.train, ready.test)
-    )
+    parts = part_metrics(model, ready.train, ready.test)
+    score = "accuracy" if problem_type == "classification" else "r2"
+    scores = {r["part"]: r[score] for r in parts.collect()}
+    on_train, on_test = scores.get("train"), scores.get("test")
     trial = mod.Trial(algorithm)
     if config.cv_folds > 1:
         trial = mod.cross_validate(
@@ -314,7 +328,7 @@ def train(
     return TrainingResult(
         model=model,
         scores=to_frame(df.sparkSession, [row], SCORES_SCHEMA),
-        metrics=final_metrics(model, ready.test),
+        metrics=final_metrics(parts),
         feature_importance=mod.feature_importance(model),
         issues=ready.cleaned.issues,
         best_params=params,

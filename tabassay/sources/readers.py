@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,17 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet(spark, path)
 
 
+def find_dataset(spark: SparkSession, folder: str, dataset_id: str) -> DataFrame:
+    """Read a dataset by id: the bare name, then as ``.csv``, then as ``.parquet``."""
+    for suffix in ("", ".csv", ".parquet"):
+        try:
+            return read_any(spark, f"{folder.rstrip('/')}/{dataset_id}{suffix}")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"no dataset '{dataset_id}' in {folder}")
+
+
 def from_rows(
     spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: T.StructType | str | None = None
 ) -> DataFrame:

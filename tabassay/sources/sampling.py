@@ -27,32 +27,50 @@ def key_hash(df: DataFrame, key: str, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(MODULUS))
 
 
-def lowest_hashed(df: DataFrame, key: str, n: int, total: int, seed: int = 42) -> Column:
-    """A condition true for exactly the ``n`` rows lowest by (hash, key).
+def _hash_edge(df: DataFrame, h: Column, n: int, total: int) -> tuple[int, int, int]:
+    """The hash of the n-th lowest row, and the rows below it and on it.
 
-    The hash of the last row taken is found by counting, so no row is sorted or moved.
-    Keys that share that hash are settled by a second cut on the key itself.
+    It is found by counting, so no row is sorted or moved.
     """
-    if n <= 0:
-        return F.lit(False)
-    if n >= total:
-        return F.lit(True)
-    h = key_hash(df, key, seed)
     edge = int(kth_smallest(df, h.cast("double"), n - 1, total))
     row = df.agg(F.count_if(h < edge).alias("below"), F.count_if(h == edge).alias("equal")).first()
-    wanted = n - row["below"]
-    if wanted == row["equal"]:
+    return edge, row["below"], row["equal"]
+
+
+def lowest_hashed(df: DataFrame, key: str, n: int, total: int, seed: int = 42) -> Column:
+    """A condition true for the ``n`` rows lowest by (hash, key).
+
+    Rows that share a key stay together, so ``n`` is met exactly when keys are unique.
+    """
+    if n <= 0 or n >= total:
+        return F.lit(n > 0)
+    h = key_hash(df, key, seed)
+    edge, below, equal = _hash_edge(df, h, n, total)
+    if n - below == equal:
         return h <= edge
-    tied = df.filter(h == edge).select(quoted(key).alias("k"))
-    last = tied.groupBy("k").count().orderBy("k").limit(wanted).agg(F.max("k")).first()[0]
+    tied = df.filter(h == edge).select(quoted(key).alias("k")).distinct()
+    last = tied.orderBy("k").limit(n - below).agg(F.max("k")).first()[0]
     return (h < edge) | ((h == edge) & (quoted(key) <= F.lit(last)))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by key hash, or all rows when there are no more than ``n``."""
+    """Exactly ``n`` rows chosen by key hash, or all rows when there are no more than ``n``.
+
+    Only rows on the last hash are ordered; with unique keys that is hardly ever two.
+    """
     require_column(df, key)
     total = df.count()
-    return df if total <= n else df.filter(lowest_hashed(df, key, n, total, seed))
+    if total <= n:
+        return df
+    if n <= 0:
+        return df.limit(0)
+    h = key_hash(df, key, seed)
+    edge, below, equal = _hash_edge(df, h, n, total)
+    if n - below == equal:
+        return df.filter(h <= edge)
+    plain = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    tied = df.filter(h == edge).orderBy(quoted(key), F.xxhash64(*plain)).limit(n - below)
+    return df.filter(h < edge).unionByName(tied)
 
 
 def in_test_split(df: DataFrame, key: str, percent: int = 20, seed: int = 42) -> Column:

@@ -9,7 +9,7 @@ from tabassay.operators.features import fit_features
 from tabassay.operators.folds import rank_folds
 from tabassay.operators.profile import column_types
 from tabassay.sources.manifest import list_datasets, register
-from tabassay.sources.readers import from_rows, read_any, read_csv
+from tabassay.sources.readers import find_dataset, from_rows, read_any, read_csv
 from tabassay.sources.sampling import sample_rows, split
 
 
@@ -96,7 +96,8 @@ def test_samples_are_exact_and_repeatable(spark, n):
 
 def test_sample_with_copied_and_string_keys(spark):
     copies = spark.range(300).select((F.col("id") % 3).alias("k"))
-    assert sample_rows(copies, "k", 100).count() == 100
+    for n in (50, 100, 170):
+        assert sample_rows(copies, "k", n).count() == n
     words = spark.range(300).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("k"))
     assert sample_rows(words, "k", 50).count() == 50
 
@@ -121,6 +122,9 @@ def test_csv_types_and_tokens(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "date", "boolean"]
     assert [r["c"] for r in df.collect()] == ["x", None, None]
     assert read_any(spark, str(path)).count() == 3
+    assert find_dataset(spark, str(tmp_path), "t").count() == 3
+    with pytest.raises(FileNotFoundError):
+        find_dataset(spark, str(tmp_path), "absent")
     for bad in ("t.json", "t.xlsx"):
         with pytest.raises(ValueError):
             read_csv(spark, str(tmp_path / bad))
