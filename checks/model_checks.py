@@ -19,7 +19,7 @@ from tabassay.sources import sinks
 from tabassay.sources.readers import read_csv
 from tabassay.streaming.scoring import score_arrivals
 
-EFFORT = alg.Effort(trees=10, rounds=10, tree_depth=5, iterations=100, kernel_width=32)
+EFFORT = alg.Effort(trees=10, rounds=10, tree_depth=5, iterations=25, kernel_width=16)
 
 
 def class_rows(spark, d):

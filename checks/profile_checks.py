@@ -119,7 +119,7 @@ def _outliers_sql(source: str, columns: list[str], digits: int = 4) -> str:
             f"""SELECT '{c}' AS column_name, {r("lo", digits)} AS lower_bound,
             {r("hi", digits)} AS upper_bound,
             count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS outlier_count,
-            {r(f"100.0 * {div(f'count(*) FILTER (WHERE {c} < lo OR {c} > hi)', 'count(*)')}")}
+            {r(f"100.0 * {div(f'count(*) FILTER (WHERE {c} < lo OR {c} > hi)', 'count(*)')}", digits)}
               AS outlier_percentage
             FROM {source}, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
               FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3
@@ -497,12 +497,12 @@ CHECKS = {
           FROM ({_counts_sql("part", PART_STRINGS)})) WHERE rnk <= 10""",
     ),
     "outliers": (
-        lambda s, d: rounded(out.outliers(events_nulls(s, d).drop("event_id"))),
-        _nulls(_outliers_sql("e", ["user_id", "value"])),
+        lambda s, d: rounded(out.outliers(events_nulls(s, d).drop("event_id")), 6),
+        _nulls(_outliers_sql("e", ["user_id", "value"], 6)),
     ),
     "outliers_lineitem": (
-        lambda s, d: rounded(out.outliers(table(s, d, "lineitem").select(*MEASURES))),
-        _outliers_sql("lineitem", MEASURES),
+        lambda s, d: rounded(out.outliers(table(s, d, "lineitem").select(*MEASURES)), 6),
+        _outliers_sql("lineitem", MEASURES, 6),
     ),
     "outlier_ids": (
         lambda s, d: out.outlier_ids(events_nulls(s, d), "event_id"),

@@ -21,7 +21,7 @@ from tabassay.operators.selection import sketch_quantiles
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 2048
 
-_CHUNK, _CARRY, TOTAL = "__chunk", "__carry_", "_total"
+_CHUNK, _KEY, _CARRY, TOTAL = "__chunk", "__key", "__carry_", "_total"
 
 
 def order_position(df: DataFrame, name: str) -> Column:
@@ -84,26 +84,28 @@ def running(
 
     if not edges:
         return _within(chunked, [_CHUNK], order, sums, maxima, group_totals).drop(_CHUNK)
-    within = _within(chunked, [*by, _CHUNK], order, sums, maxima)
+    # One struct key: the windows, the totals and the join all hash by it, and groups
+    # without a name stay equal to themselves.
+    chunked = chunked.withColumn(
+        _KEY, F.struct(*[quoted(b) for b in by], F.col(_CHUNK).cast("int").alias(_CHUNK))
+    )
+    within = _within(chunked, [_KEY], order, sums, maxima)
 
-    totals = chunked.groupBy(*by, _CHUNK).agg(
+    totals = chunked.groupBy(_KEY).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max(c).alias(n) for n, c in maxima.items()],
     )
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    earlier = group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    parts = [F.col(_KEY)[b] for b in by] or [F.lit(0)]
+    group = Window.partitionBy(*parts)
+    earlier = group.orderBy(F.col(_KEY)[_CHUNK]).rowsBetween(Window.unboundedPreceding, -1)
     wholes = [n + TOTAL for n in sums] if group_totals else []
     carry = totals.select(
-        *[F.col(f"`{b}`").alias(f"__by_{i}") for i, b in enumerate(by)],
-        F.col(_CHUNK).alias("__carry_chunk"),
+        _KEY,
         *[F.sum(n).over(earlier).alias(_CARRY + n) for n in sums],
         *[F.max(n).over(earlier).alias(_CARRY + n) for n in maxima],
         *[F.sum(n.removesuffix(TOTAL)).over(group).alias(n) for n in wholes],
     )
-    match = F.col(_CHUNK) == F.col("__carry_chunk")
-    for i, b in enumerate(by):
-        match = match & F.col(f"`{b}`").eqNullSafe(F.col(f"__by_{i}"))
-    joined = within.join(carry, match, "left")
+    joined = within.join(carry, _KEY, "left")
     finished = joined.withColumns(
         {n: F.col(n) + F.coalesce(F.col(_CARRY + n), F.lit(0)) for n in sums}
         | {n: F.greatest(F.col(n), F.col(_CARRY + n)) for n in maxima}

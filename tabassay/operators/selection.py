@@ -68,40 +68,56 @@ def sketch_quantiles(c: Column, fractions: Sequence[float], size: int = SKETCH_S
     return F.when(F.count(c) > 0, F.kll_sketch_get_quantile_double(sketch, wanted))
 
 
+def _targets(b: _Bracket, slack: float) -> list[tuple[float, float]]:
+    """Fractions of the bracket's rows to enclose; neighbouring ranks share one pair."""
+    groups: list[list[int]] = []
+    for rank in b.ranks:
+        if groups and rank - groups[-1][0] <= max(1, slack * b.inside / 2):
+            groups[-1].append(rank)
+        else:
+            groups.append([rank])
+    last = b.inside - 1
+    return [((g[0] - b.below) / last, (g[-1] - b.below) / last) for g in groups]
+
+
 def _propose(
     df: DataFrame,
     columns: Mapping[str, Column],
     brackets: list[_Bracket],
     size: int,
     slack: float,
-) -> list[list[tuple[float, float]]]:
-    """A pair of values round each wanted rank, from one sketch per bracket."""
+) -> list[list[Edge]]:
+    """Edges round the wanted ranks, from one sketch per bracket.
+
+    Usually the open interval between two values. Where the sketch shows that a value
+    repeats a lot, the edges on both sides of it are counted too, so that a rank inside
+    such a run is found at once.
+    """
     out = []
     for batch in _batches(brackets, SKETCHES_PER_SCAN):
         exprs = []
         for i, b in enumerate(batch):
-            at = [(rank - b.below) / (b.inside - 1) for rank in b.ranks]
-            ends = [min(1.0, max(0.0, f + d)) for f in at for d in (-slack, slack)]
+            wanted = [
+                min(1.0, max(0.0, f))
+                for low, high in _targets(b, slack)
+                for f in (low - 2 * slack, low - slack, high + slack, high + 2 * slack)
+            ]
             v = b.rows(columns[b.column])
-            exprs.append(sketch_quantiles(v, ends, size).alias(str(i)))
+            exprs.append(sketch_quantiles(v, wanted, size).alias(str(i)))
         row = df.agg(*exprs).first()
         for i in range(len(batch)):
-            ends = row[str(i)]
-            out.append(list(dict.fromkeys(zip(ends[::2], ends[1::2]))))
+            values, edges = row[str(i)], set()
+            for k in range(0, len(values), 4):
+                before, low, high, after = values[k : k + 4]
+                edges |= {(low, True), (high, False)}
+                if before == low or low == high:
+                    edges.add((low, False))
+                if after == high or low == high:
+                    edges.add((high, True))
+            out.append(sorted(edges))
     return out
 
 
-def _edges(pairs: list[tuple[float, float]], thorough: bool) -> list[Edge]:
-    """Edges to count before: the open interval, or also its two ends one by one."""
-    out: set[Edge] = set()
-    for a, b in pairs:
-        if thorough or a == b:
-            out |= {(a, False), (a, True), (b, False), (b, True)}
-        else:
-            out |= {(a, True), (b, False)}
-    return sorted(out)
-
-
 def _place(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -181,15 +197,13 @@ def select_ranks(
     brackets = [
         _Bracket(c, None, None, 0, counts[c], sorted(set(ranks[c]))) for c in columns if ranks[c]
     ]
-    thorough = False
     while wide := [b for b in brackets if b.inside > final_rows]:
         narrow = [b for b in brackets if b.inside <= final_rows]
-        pairs = _propose(df, columns, wide, sketch_size, slack)
-        work = [(b, _edges(p, thorough)) for b, p in zip(wide, pairs)]
+        work = list(zip(wide, _propose(df, columns, wide, sketch_size, slack)))
         narrower, placed, values = _place(df, columns, work, riders)
         ridden.update(values)
         found.update(placed)
-        brackets, riders, thorough = narrow + narrower, [], True
+        brackets, riders = narrow + narrower, []
     if riders:
         ridden.update(aggregate(df, riders))
     if brackets:

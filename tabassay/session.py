@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -50,5 +51,10 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def enable_checkpoints(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` and the iterative learners at the shared folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    if context.getCheckpointDir() is not None:
+        return
+    local = context.master.startswith("local")
+    if spark.conf.get(CHECKPOINT_DIR, None) or local:
         context.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
+    else:
+        warnings.warn(f"{CHECKPOINT_DIR} is not set; long lineages are kept", stacklevel=2)
