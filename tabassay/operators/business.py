@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabassay.functions.stats import percent, ratio
-from tabassay.operators.frames import one_row_per
 
 # The 19 candidate thresholds 0.05, 0.10, ... 0.95.
 THRESHOLDS = tuple(i / 20 for i in range(1, 20))
@@ -26,9 +25,7 @@ class Prices:
     volume: float = 10000.0
 
 
-def business_impact(
-    counts: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
-) -> DataFrame:
+def impact_columns(prices: Prices = Prices()) -> dict[str, Column]:
     """Costs, revenue and profit of confusion counts scaled up to the volume.
 
     The return is profit over cost in percent, null when nothing is spent.
@@ -37,31 +34,37 @@ def business_impact(
     fp_cost = F.col("fp") * prices.cost_false_positive * scale
     fn_cost = F.col("fn") * prices.cost_false_negative * scale
     revenue = F.col("tp") * prices.revenue_true_positive * scale
-    return counts.select(
-        *by,
-        F.lit(float(prices.cost_false_positive)).alias("cost_per_false_positive"),
-        F.lit(float(prices.cost_false_negative)).alias("cost_per_false_negative"),
-        fp_cost.alias("total_false_positive_cost"),
-        fn_cost.alias("total_false_negative_cost"),
-        (fp_cost + fn_cost).alias("total_cost"),
-        F.lit(float(prices.revenue_true_positive)).alias("revenue_per_true_positive"),
-        revenue.alias("total_revenue_from_tp"),
-        (revenue - fp_cost - fn_cost).alias("net_profit"),
-        ratio(F.col("tp") + F.col("fp"), F.col("total")).alias("approval_rate"),
-        percent(revenue - fp_cost - fn_cost, fp_cost + fn_cost).alias("roi_improvement_percent"),
-    )
+    profit = revenue - fp_cost - fn_cost
+    return {
+        "cost_per_false_positive": F.lit(float(prices.cost_false_positive)),
+        "cost_per_false_negative": F.lit(float(prices.cost_false_negative)),
+        "total_false_positive_cost": fp_cost,
+        "total_false_negative_cost": fn_cost,
+        "total_cost": fp_cost + fn_cost,
+        "revenue_per_true_positive": F.lit(float(prices.revenue_true_positive)),
+        "total_revenue_from_tp": revenue,
+        "net_profit": profit,
+        "approval_rate": ratio(F.col("tp") + F.col("fp"), F.col("total")),
+        "roi_improvement_percent": percent(profit, fp_cost + fn_cost),
+    }
+
+
+def business_impact(
+    counts: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
+) -> DataFrame:
+    """The money behind confusion counts, one row per row of counts."""
+    return counts.select(*by, *[c.alias(n) for n, c in impact_columns(prices).items()])
 
 
 def sweep_aggregates(inside: Column | None = None) -> list[Column]:
     """Positives, and hits at every candidate threshold: no join, no extra rows."""
-    positive = F.col("y") == 1
-    if inside is not None:
-        positive = F.when(inside, positive)
+    y = F.col("y") if inside is None else F.when(inside, F.col("y"))
+    positive, negative = y == 1, y != 1
     exprs = [F.count_if(positive).alias("positives")]
     for i, t in enumerate(THRESHOLDS):
         hit = F.col("p") >= t
         exprs.append(F.count_if(positive & hit).alias(f"tp_{i}"))
-        exprs.append(F.count_if(~positive & hit).alias(f"fp_{i}"))
+        exprs.append(F.count_if(negative & hit).alias(f"fp_{i}"))
     return exprs
 
 
@@ -75,22 +78,17 @@ def threshold_sweep(
 def sweep_of(
     row: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
 ) -> DataFrame:
-    structs = [
-        F.struct(
-            *[F.col(b) for b in by],
-            F.lit(t).alias("threshold"),
-            F.col(f"tp_{i}").alias("tp"),
-            F.col(f"fp_{i}").alias("fp"),
-            (F.col("positives") - F.col(f"tp_{i}")).alias("fn"),
-        )
-        for i, t in enumerate(THRESHOLDS)
-    ]
+    rows = ", ".join(
+        f"{t!r}D, tp_{i}, fp_{i}, positives - tp_{i}" for i, t in enumerate(THRESHOLDS)
+    )
     profit = (
         F.col("tp") * prices.revenue_true_positive
         - F.col("fp") * prices.cost_false_positive
         - F.col("fn") * prices.cost_false_negative
     )
-    return one_row_per(row, structs).withColumn("profit", profit.cast("double"))
+    return row.selectExpr(
+        *[f"`{b}`" for b in by], f"stack({len(THRESHOLDS)}, {rows}) AS (threshold, tp, fp, fn)"
+    ).withColumn("profit", profit.cast("double"))
 
 
 def optimal_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.stats import ratio
@@ -76,28 +76,33 @@ def pr_curve(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataF
     return pr_of(cumulative(scored, by, **options), by)
 
 
-def areas_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve and average precision from cumulative points.
+def area_aggregates() -> list[Column]:
+    """Sums over cumulative points that make up the areas and the class totals."""
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    return [
+        F.sum("pos").alias("positives"),
+        F.sum("neg").alias("negatives"),
+        F.sum(neg * (F.col("tp") - pos / 2)).alias("__wins"),
+        F.sum(pos * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("__precision"),
+    ]
+
+
+def area_columns() -> dict[str, Column]:
+    """ROC AUC, ties between classes counting half, and average precision.
 
-    Ties between classes count half. Both are null when a class is absent.
+    Both are null when a class is absent.
     """
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    return (
-        points.groupBy(*by)
-        .agg(
-            F.sum("pos").alias("positives"),
-            F.sum("neg").alias("negatives"),
-            F.sum(neg * (F.col("tp") - pos / 2)).alias("__wins"),
-            F.sum(pos * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("__precision"),
-        )
-        .select(
-            *by,
-            ratio(
-                F.col("__wins"), F.col("positives").cast("double") * F.col("negatives")
-            ).alias("auc_roc"),
-            ratio(F.col("__precision"), F.col("positives")).alias("average_precision"),
-        )
-    )
+    both = F.col("positives").cast("double") * F.col("negatives")
+    return {
+        "auc_roc": ratio(F.col("__wins"), both),
+        "average_precision": ratio(F.col("__precision"), F.col("positives")),
+    }
+
+
+def areas_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve and average precision from cumulative points."""
+    sums = points.groupBy(*by).agg(*area_aggregates())
+    return sums.select(*by, *[c.alias(n) for n, c in area_columns().items()])
 
 
 def auc_ap(scored: DataFrame, by: Sequence[str] = (), **options: int) -> DataFrame:

@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_ARROW = {
+    T.StringType: pa.string(),
+    T.LongType: pa.int64(),
+    T.IntegerType: pa.int32(),
+    T.DoubleType: pa.float64(),
+    T.BooleanType: pa.bool_(),
+}
 
 AGGREGATES_PER_SCAN = 90  # buffers beyond about 100 would leave compiled code
 
@@ -21,17 +31,23 @@ def aggregate(
     return out
 
 
-def to_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+def to_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """A small frame from driver-side statistics (one row per column, model or rule).
 
-    One partition, so that joins and groupings of such frames need no shuffle.
+    Through Arrow it becomes a local relation, so selecting from it starts no job.
     """
-    return spark.createDataFrame(list(rows), schema).coalesce(1)
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not all(type(f.dataType) in _ARROW for f in fields):
+        return spark.createDataFrame(list(rows), fields).coalesce(1)
+    arrays = [
+        pa.array([row[i] for row in rows], _ARROW[type(f.dataType)]) for i, f in enumerate(fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names))
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute a result of at most a few rows per column once, for repeated use."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+    return to_frame(df.sparkSession, [tuple(r) for r in df.collect()], df.schema)
 
 
 def one_row_per(row: DataFrame, structs: Sequence[Column]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.stats import ratio
-from tabassay.operators.curves import auc_ap
+from tabassay.operators.curves import area_aggregates, area_columns, cumulative
 
 
 def confusion_aggregates(threshold: float, inside: Column | None = None) -> list[Column]:
@@ -71,25 +71,39 @@ def imbalance_columns() -> dict[str, Column]:
     }
 
 
-def threshold_evaluation(
-    scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()
-) -> DataFrame:
-    """Confusion counts, metrics with ROC AUC, rates and class balance at a threshold."""
-    return evaluation_of(confusion(scored, threshold, by), auc_ap(scored, by), threshold, by)
+def evaluation_columns(threshold: float) -> dict[str, Column]:
+    """Everything said about a model at a threshold, from its counts and ROC AUC."""
+    counts = {n: F.col(n) for n in ("tn", "fp", "fn", "tp", "total")}
+    scores = metric_columns() | {"auc_roc": F.col("auc_roc")} | rate_columns()
+    return {"threshold": F.lit(threshold)} | counts | scores | imbalance_columns()
 
 
-def evaluation_of(
-    counts: DataFrame, areas: DataFrame, threshold: float, by: Sequence[str] = ()
+def threshold_evaluation(
+    scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), **options: int
 ) -> DataFrame:
-    """The same from confusion counts and areas."""
-    joined = counts.join(areas, list(by), "left") if by else counts.crossJoin(areas)
-    columns = metric_columns() | {"auc_roc": F.col("auc_roc")} | rate_columns()
-    return joined.select(
-        *by,
-        F.lit(threshold).alias("threshold"),
-        "tn", "fp", "fn", "tp", "total",
-        *[c.alias(n) for n, c in (columns | imbalance_columns()).items()],
-    )
+    """Confusion counts, metrics with ROC AUC, rates and class balance at a threshold.
+
+    Outcomes and areas are sums over the same score histogram, so the rows are read once.
+    """
+    hit, zero = F.col("p") >= threshold, F.lit(0).cast("bigint")
+    sums = (
+        cumulative(scored, by, **options)
+        .groupBy(*by)
+        .agg(
+            *area_aggregates(),
+            F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias("tp"),
+            F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias("fp"),
+        )
+    )
+    counted = sums.withColumns(
+        {
+            "fn": F.col("positives") - F.col("tp"),
+            "tn": F.col("negatives") - F.col("fp"),
+            "total": F.col("positives") + F.col("negatives"),
+            "auc_roc": area_columns()["auc_roc"],
+        }
+    )
+    return counted.select(*by, *[c.alias(n) for n, c in evaluation_columns(threshold).items()])
 
 
 def confusion_grid(

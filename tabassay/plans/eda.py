@@ -80,23 +80,20 @@ class EdaReport:
 
 def _long(df: DataFrame, section: str, item: str | None) -> DataFrame:
     """Unpivot a small result; numbers go to ``value`` and strings to ``text``."""
-    structs = []
+    rows = []
     for f in df.schema:
         if f.name == item:
             continue
-        is_text = isinstance(f.dataType, T.StringType)
-        structs.append(
-            F.struct(
-                F.lit(section).alias("section"),
-                (F.col(item) if item else F.lit("")).alias("item"),
-                F.lit(f.name).alias("metric"),
-                F.lit(None).cast("double").alias("value")
-                if is_text
-                else F.col(f.name).cast("double").alias("value"),
-                F.col(f.name).alias("text") if is_text else F.lit(None).cast("string").alias("text"),
-            )
-        )
-    return one_row_per(df, structs)
+        name = f"`{f.name}`"
+        value, text = f"CAST({name} AS DOUBLE)", "CAST(NULL AS STRING)"
+        if isinstance(f.dataType, T.StringType):
+            value, text = "CAST(NULL AS DOUBLE)", name
+        rows.append(f"'{f.name}', {value}, {text}")
+    return df.selectExpr(
+        f"'{section}' AS section",
+        f"{item or "''"} AS item",
+        f"stack({len(rows)}, {', '.join(rows)}) AS (metric, value, text)",
+    )
 
 
 def analyze(df: DataFrame, key: str | None = None, target: str | None = None) -> EdaReport:

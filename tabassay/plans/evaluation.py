@@ -46,17 +46,11 @@ class Evaluation:
         return reduce(DataFrame.unionByName, parts)
 
 
-def metric_rows(parts: Sequence[DataFrame]) -> DataFrame:
-    """One-row results as rows ``(metric, value)``, numbers only."""
-    out = []
-    for df in parts:
-        numbers = [n for n, t in df.dtypes if t != "string"]
-        out.append(
-            df.select(*[F.col(n).cast("double").alias(n) for n in numbers]).unpivot(
-                [], numbers, "metric", "value"
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+def metric_rows(row: DataFrame) -> DataFrame:
+    """A one-row result as rows ``(metric, value)``, numbers only."""
+    numbers = [n for n, t in row.dtypes if t != "string"]
+    pairs = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in numbers)
+    return row.selectExpr(f"stack({len(numbers)}, {pairs}) AS (metric, value)")
 
 
 def evaluate_model(
@@ -73,35 +67,36 @@ def evaluate_model(
     """
     is_test = F.col(split) == "test"
     test = scored.filter(is_test)
-    row = settle(
-        scored.agg(
-            *metrics.confusion_aggregates(threshold, is_test),
-            *biz.sweep_aggregates(is_test),
-            *metrics.learning_aggregates(threshold, split),
-        )
+    row = scored.agg(
+        *metrics.confusion_aggregates(threshold, is_test),
+        *biz.sweep_aggregates(is_test),
+        *metrics.learning_aggregates(threshold, split),
     )
-    if row.first()["total"] == 0:
-        raise ValueError("the input holds no test rows")
     points = curves.cumulative(test)
-    areas = settle(curves.areas_of(points))
-    evaluation = settle(metrics.evaluation_of(row, areas, threshold))
-    impact = biz.business_impact(evaluation, prices)
-    curve = settle(metrics.learning_curve_of(row))
+    facts = settle(row.crossJoin(curves.areas_of(points)))
+    if facts.first()["total"] == 0:
+        raise ValueError("the input holds no test rows")
+    columns = metrics.evaluation_columns(threshold)
+    impact = biz.impact_columns(prices)
+    curve = settle(metrics.learning_curve_of(facts))
     importance = settle(readiness.importance_with_correlation(test, features))
     top = readiness.importance_summary(importance)
-    severity = curve.select(readiness.overfitting_severity().alias("overfitting_severity"))
-    judged = metric_rows([evaluation, impact, curve, severity, top])
+    judged = metric_rows(
+        facts.select(*[c.alias(n) for n, c in (columns | impact).items()])
+        .crossJoin(curve.withColumn("overfitting_severity", readiness.overfitting_severity()))
+        .crossJoin(top)
+    )
     criteria = settle(readiness.readiness(judged))
     return Evaluation(
-        evaluation=evaluation,
-        business_impact=impact,
+        evaluation=facts.select(*[c.alias(n) for n, c in columns.items()]),
+        business_impact=biz.business_impact(facts, prices),
         roc_curve=curves.roc_of(points),
         pr_curve=curves.pr_of(points),
-        areas=areas,
+        areas=facts.select("auc_roc", "average_precision"),
         learning_curve=curve,
         feature_importance=importance,
         importance_summary=top,
-        optimal_threshold=biz.optimal_threshold(biz.sweep_of(row, prices)),
+        optimal_threshold=biz.optimal_threshold(biz.sweep_of(facts, prices)),
         criteria=criteria,
         production_readiness=readiness.readiness_summary(criteria),
     )
