@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabassay.functions.missing import quoted
 from tabassay.operators.prefix import order_position, ordered_position
@@ -26,13 +27,18 @@ def rank_folds(
 ) -> DataFrame:
     """Contiguous folds in key order, within each class when stratified.
 
-    Sizes differ by at most one. Places come from chunked running counts, so a class
+    Text keys are taken in the order of their hash, which spreads over all chunks. Sizes differ by at most one. Places come from chunked running counts, so a class
     that holds most of the rows is not gathered into one task.
     """
     by = [stratify] if stratify else []
+    order, position = [quoted(key)], None
+    if isinstance(df.schema[key].dataType, (T.StringType, T.BinaryType)):
+        hashed = F.xxhash64(quoted(key))
+        order, position = [hashed, quoted(key)], hashed.cast("double")
     placed = ordered_position(
-        df, by, [quoted(key)], order_position(df, key), "__place", group_totals=True, **options
-    )
+        df, by, order, order_position(df, key) if position is None else position, "__place",
+        group_totals=True, **options,
+    )
     place, size = F.col("__place") - 1, F.col("__place_total")
     small = F.floor(size / k)
     large_rows = (size % k) * (small + 1)

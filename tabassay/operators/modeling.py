@@ -64,19 +64,11 @@ class FittedModel:
 
 def class_names(df: DataFrame, target: str) -> list[str]:
     """The sorted classes of a label; their number is checked before they are used."""
-    rows = (
-        df.select(quoted(target).alias("c")).filter(F.col("c").isNotNull()).distinct()
-        .limit(MAX_CLASSES + 1).collect()
-    )
+    found = df.select(quoted(target).alias("value"), quoted(target).cast("string").alias("name"))
+    rows = found.filter(F.col("value").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"target '{target}' has more than {MAX_CLASSES} classes")
-    values = sorted(r["c"] for r in rows)
-    kind = df.schema[target].dataType.simpleString()
-    return [_class_text(v, kind) for v in values]
-
-
-def _class_text(value: Any, kind: str) -> str:
-    return str(value).lower() if kind == "boolean" else str(value)
+    return [r["name"] for r in sorted(rows, key=lambda r: r["value"])]
 
 
 def label_column(target: str, problem_type: str, classes: Sequence[str]) -> Column:

@@ -32,7 +32,9 @@ def order_position(df: DataFrame, name: str) -> Column:
         return day + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c)
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
-    return c.cast("double")
+    if isinstance(dtype, (T.NumericType, T.TimestampType)):
+        return c.cast("double")
+    raise ValueError(f"cannot order by '{name}': {dtype.simpleString()} is no number or time")
 
 
 def chunk_edges(

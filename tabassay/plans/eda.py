@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.functions.families import columns_of, require_column
+from tabassay.functions.missing import normalize_missing
 from tabassay.operators import correlation as corr
 from tabassay.operators import outliers as out
 from tabassay.operators import profile as prof
@@ -109,6 +110,7 @@ def analyze(df: DataFrame, key: str | None = None, target: str | None = None) ->
     if key is not None:
         require_column(df, key)
     spark = df.sparkSession
+    df = normalize_missing(df)
     body = df.drop(key) if key else df
     facts = prof.numeric_facts(
         body,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.families import require_column
+from tabassay.functions.missing import normalize_missing
 from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
 from tabassay.operators import modeling as mod
@@ -94,7 +95,7 @@ def prepare(
     if problem_type not in alg.ALIASES:
         raise ValueError(f"unknown problem type '{problem_type}'")
     enable_checkpoints(df.sparkSession)
-    cleaned = clean(df, target, keep=[key])
+    cleaned = clean(normalize_missing(df), target, keep=[key])
     columns = [c for c in cleaned.data.columns if c not in (target, key)]
     classes = mod.class_names(cleaned.data, target) if problem_type == "classification" else []
     label = mod.label_column(target, problem_type, classes)

@@ -119,6 +119,19 @@ def test_more_than_two_classes(spark):
     assert sum(row["probability"].values()) == pytest.approx(1, abs=3e-4)
 
 
+def test_odd_labels(spark):
+    rows = [(i, float(i % 2), 1e20 if i % 2 else (float("nan") if i % 10 == 0 else 0.5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, x double, target double")
+    result = tr.train(df, "target", "decision_tree", "classification", "id", config())
+    assert result.model.classes == ["0.5", "1.0E20"]
+    row = result.scores.first()
+    assert row["rows_without_label"] == 20 and row["test_score"] == 1.0
+    flags = df.select("id", "x", (F.col("x") > 0).alias("target"))
+    assert tr.train(flags, "target", "logistic", "classification", "id", config()).model.classes == [
+        "false", "true",
+    ]
+
+
 def test_svr_learns(numbers):
     _, df = numbers
     scores = tr.train(df, "y", "svr", "regression", "id", config(use_feature_engineering=True)).scores.first()

@@ -113,6 +113,9 @@ def test_exact_split_and_folds(spark):
         sizes.setdefault(r["y"], []).append(r["count"])
     assert all(len(s) == 5 and max(s) - min(s) <= 1 for s in sizes.values())
     assert folds.count() == 103
+    words = df.select(F.concat(F.lit("key-"), F.col("id").cast("string")).alias("k"))
+    counts = rank_folds(words, "k", 5, rows_per_chunk=9).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in counts) == [20, 20, 21, 21, 21]
 
 
 def test_csv_types_and_tokens(spark, tmp_path):
