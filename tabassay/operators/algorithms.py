@@ -21,7 +21,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
-from tabassay.operators.features import KERNEL_VECTOR, VECTOR
+from tabassay.operators.features import KERNEL_VECTOR, LABEL, VECTOR
 from tabassay.operators.frames import to_frame
 
 # The catalogue users choose from, as type, id, name and description.
@@ -116,7 +116,7 @@ def candidates(problem_type: str) -> list[str]:
 def estimator(
     algorithm: str, problem_type: str, shape: TrainShape, effort: Effort = Effort(), **params: Any
 ) -> Estimator:
-    """An unfitted estimator on ``features`` and ``label``; ``params`` override settings."""
+    """An unfitted estimator on the feature and label columns; ``params`` override settings."""
     name = resolve(algorithm, problem_type)
     made = (_classifier if problem_type == "classification" else _regressor)(name, shape, effort)
     if params:
@@ -127,7 +127,7 @@ def estimator(
 
 def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
     penalty = 1.0 / max(shape.rows, 1)
-    common = {"featuresCol": VECTOR, "labelCol": "label"}
+    common = {"featuresCol": VECTOR, "labelCol": LABEL}
     if name == "logistic":
         return LogisticRegression(
             maxIter=effort.iterations, regParam=penalty, elasticNetParam=0.0,
@@ -156,7 +156,7 @@ def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
 
 
 def _regressor(name: str, shape: TrainShape, effort: Effort) -> Estimator:
-    common = {"featuresCol": VECTOR, "labelCol": "label"}
+    common = {"featuresCol": VECTOR, "labelCol": LABEL}
     if name in ("linear", "ridge"):
         # Spark divides the label by its deviation, so the ridge penalty carries it too:
         # the population one when it solves directly, the sample one when it iterates.

@@ -25,9 +25,14 @@ from tabassay.operators.cleaning import numeric_means
 from tabassay.operators.frames import aggregate
 from tabassay.operators.profile import top_values, value_counts
 
-PREFIX = "feat_"
-VECTOR = "features"
-KERNEL_VECTOR = "kernel_features"
+# Internal columns carry a prefix no table is expected to use, so that a feature may be
+# called "label" or "features".
+PREFIX = "__feat_"
+VECTOR = "__features"
+KERNEL_VECTOR = "__kernel_features"
+LABEL = "__label"
+FOLD = "__fold"
+RESERVED = ("prediction", "probability", "rawPrediction", "predicted_class")
 
 
 def _name(name: str) -> str:
@@ -178,8 +183,8 @@ def kernel_stages(
         dot = " + ".join(
             f"{_number(float(w))} * {_name(c)}" for w, c in zip(weights[k], plan.columns)
         )
-        made.append(f"{_number(norm)} * cos({dot} + {_number(float(shifts[k]))}) AS `kernel_{k}`")
+        made.append(f"{_number(norm)} * cos({dot} + {_number(float(shifts[k]))}) AS `__kernel_{k}`")
     return [
         SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"kernel_{k}" for k in range(width)], outputCol=KERNEL_VECTOR),
+        VectorAssembler(inputCols=[f"__kernel_{k}" for k in range(width)], outputCol=KERNEL_VECTOR),
     ]

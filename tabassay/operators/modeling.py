@@ -26,7 +26,7 @@ from tabassay.functions.scalars import confidence, probability_map
 from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
 from tabassay.operators.features import (
-    VECTOR, FeaturePlan, fill_absent_inputs, fit_features, kernel_stages,
+    FOLD, KERNEL_VECTOR, LABEL, VECTOR, FeaturePlan, fill_absent_inputs, fit_features, kernel_stages,
 )
 from tabassay.operators.frames import to_frame
 
@@ -81,7 +81,7 @@ def label_column(target: str, problem_type: str, classes: Sequence[str]) -> Colu
 def train_shape(
     train: DataFrame, problem_type: str, classes: Sequence[str], features: int = 1
 ) -> alg.TrainShape:
-    row = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
+    row = train.agg(F.count(LABEL).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
     spread = row["s"] if problem_type == "regression" and row["s"] else 1.0
     return alg.TrainShape(row["n"], max(len(classes), 2), spread, features)
 
@@ -103,10 +103,10 @@ def fit_stages(
     model = made.fit(vectors)
     if alg.resolve(algorithm, problem_type) != "svm" or shape.classes > 2:
         return [model]
-    margins = model.transform(vectors).select("label", "rawPrediction")
+    margins = model.transform(vectors).select(LABEL, "rawPrediction")
     calibration = LogisticRegression(
         featuresCol="rawPrediction", predictionCol="calibrated", rawPredictionCol="calibratedRaw",
-        probabilityCol="probability",
+        probabilityCol="probability", labelCol=LABEL,
     ).fit(margins)
     return [model, calibration]
 
@@ -130,7 +130,7 @@ def build_matrix(
     n_features: int | None = None,
     degree: int | None = None,
 ) -> Matrix:
-    """Assemble ``label`` and feature vectors; optionally expand and select features."""
+    """Assemble labels and feature vectors; optionally expand and select features."""
     stages = plan.stages()
     names = list(plan.names)
     if kernel:
@@ -139,17 +139,17 @@ def build_matrix(
     for stage in stages:
         data = stage.transform(data)
     if degree is not None and degree > 1:
-        stages[1].setOutputCol("base_features")
-        expand = PolynomialExpansion(degree=degree, inputCol="base_features", outputCol=VECTOR)
-        data = expand.transform(data.withColumnRenamed(VECTOR, "base_features"))
+        stages[1].setOutputCol("__base_features")
+        expand = PolynomialExpansion(degree=degree, inputCol="__base_features", outputCol=VECTOR)
+        data = expand.transform(data.withColumnRenamed(VECTOR, "__base_features"))
         stages.append(expand)
         names = [f"feature_{i}" for i in range(math.comb(len(names) + degree, degree) - 1)]
     if n_features is not None and n_features < len(names):
         last = stages[-1] if degree is not None and degree > 1 else stages[1]
-        last.setOutputCol("all_features")
-        data = data.withColumnRenamed(VECTOR, "all_features")
+        last.setOutputCol("__all_features")
+        data = data.withColumnRenamed(VECTOR, "__all_features")
         selector = UnivariateFeatureSelector(
-            featuresCol="all_features", outputCol=VECTOR, labelCol="label",
+            featuresCol="__all_features", outputCol=VECTOR, labelCol=LABEL,
             selectionMode="numTopFeatures",
         ).setFeatureType("continuous").setSelectionThreshold(n_features)
         selector.setLabelType("categorical" if problem_type == "classification" else "continuous")
@@ -157,8 +157,8 @@ def build_matrix(
         data = chosen.transform(data)
         stages.append(chosen)
         names = [names[i] for i in chosen.selectedFeatures]
-    keep = [VECTOR, "label", *(["kernel_features"] if kernel else [])]
-    keep += [c for c in ("fold",) if c in data.columns]
+    keep = [VECTOR, LABEL, *([KERNEL_VECTOR] if kernel else [])]
+    keep += [c for c in (FOLD,) if c in data.columns]
     return Matrix(plan, stages, data.select(*keep), names)
 
 
@@ -182,11 +182,11 @@ def assemble(
 
 
 def score_of(predicted: DataFrame, problem_type: str) -> float | None:
-    """Accuracy or R2 from one aggregate of ``label`` and ``prediction``."""
+    """Accuracy or R2 from one aggregate of the label and the prediction."""
     if problem_type == "classification":
-        hit = (F.col("label") == F.col("prediction")).cast("double")
+        hit = (F.col(LABEL) == F.col("prediction")).cast("double")
         return predicted.agg(F.avg(hit)).first()[0]
-    return metrics.regression_metrics(predicted).first()["r2"]
+    return metrics.regression_metrics(predicted, LABEL).first()["r2"]
 
 
 @dataclass
@@ -233,15 +233,15 @@ def cross_validate(
 ) -> list[Trial]:
     """Score every named algorithm on each fold; a failing algorithm keeps its error.
 
-    ``train`` holds ``label`` and ``fold``. Imputation, encoding and scaling are fitted
+    ``train`` holds the label and the fold. Imputation, encoding and scaling are fitted
     inside each fold, once for all algorithms, and the assembled rows are reused.
     """
     spark = train.sparkSession
     trials = {n: Trial(n) for n in names}
     kernel = any(_needs_kernel(alg.resolve(n, problem_type)) for n in names)
     for k in range(folds):
-        part = train.filter(F.col("fold") != k)
-        held = train.filter(F.col("fold") == k)
+        part = train.filter(F.col(FOLD) != k)
+        held = train.filter(F.col(FOLD) == k)
         try:
             plan = fit_features(part, columns, scaling)
             matrix = build_matrix(part, plan, problem_type, kernel, effort)
@@ -302,8 +302,8 @@ def tune(
         return {}, None
     scores: dict[int, list[float]] = {i: [] for i in range(len(tries))}
     for k in range(folds):
-        part = matrix.vectors.filter(F.col("fold") != k).persist()
-        held = matrix.vectors.filter(F.col("fold") == k).persist()
+        part = matrix.vectors.filter(F.col(FOLD) != k).persist()
+        held = matrix.vectors.filter(F.col(FOLD) == k).persist()
 
         def run(i: int, part=part, held=held) -> None:
             fitted = fit_stages(part, algorithm, problem_type, shape, effort, tries[i])
@@ -396,6 +396,6 @@ def labelled_predictions(model: FittedModel, df: DataFrame) -> DataFrame:
     require_column(df, model.target)
     label = label_column(model.target, model.problem_type, model.classes)
     scored = model.pipeline.transform(
-        fill_absent_inputs(df.withColumn("label", label), model.inputs)
+        fill_absent_inputs(df.withColumn(LABEL, label), model.inputs)
     )
-    return scored.select("label", "prediction")
+    return scored.select(F.col(LABEL).alias("label"), "prediction")

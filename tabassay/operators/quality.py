@@ -11,6 +11,11 @@ from tabassay.functions.missing import quoted
 from tabassay.functions.scalars import band
 from tabassay.functions.stats import percent
 
+# The advice given, in order, the score bands and the severities.
+HIGH_MISSING = "High missing data: Consider imputation or removal"
+MODERATE_MISSING = "Moderate missing data: Review and handle missing values"
+LOW_QUALITY = "Data quality is below optimal: Consider data cleaning"
+GOOD_QUALITY = "Data quality is good - proceed with analysis"
 BANDS = ((90.0, "Excellent"), (75.0, "Good"), (50.0, "Fair"))
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
@@ -56,17 +61,12 @@ def recommendations(quality: DataFrame) -> DataFrame:
     missing = F.col("missing_percentage")
     advice = F.filter(
         F.array(
-            F.when(missing > 30, F.lit("High missing data: Consider imputation or removal")).when(
-                missing > 10, F.lit("Moderate missing data: Review and handle missing values")
-            ),
-            F.when(
-                F.col("assessment").isin("Poor", "Fair"),
-                F.lit("Data quality is below optimal: Consider data cleaning"),
-            ),
+            F.when(missing > 30, HIGH_MISSING).when(missing > 10, MODERATE_MISSING),
+            F.when(F.col("assessment").isin("Poor", "Fair"), LOW_QUALITY),
         ),
         lambda x: x.isNotNull(),
     )
-    fine = F.array(F.lit("Data quality is good - proceed with analysis"))
+    fine = F.array(F.lit(GOOD_QUALITY))
     return quality.select(
         F.posexplode(F.when(F.size(advice) > 0, advice).otherwise(fine)).alias(
             "position", "recommendation"

@@ -18,7 +18,7 @@ from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
 from tabassay.operators import modeling as mod
 from tabassay.operators.cleaning import Cleaned, clean
-from tabassay.operators.features import fit_features
+from tabassay.operators.features import FOLD, LABEL, RESERVED, fit_features
 from tabassay.operators.folds import hash_folds, rank_folds
 from tabassay.operators.frames import settle, to_frame
 from tabassay.operators.runlog import RunLog
@@ -92,6 +92,9 @@ def prepare(
     """Clean the table, drop rows without label, split by key and number the folds."""
     require_column(df, target)
     require_column(df, key)
+    taken = [c for c in df.columns if c in RESERVED]
+    if taken:
+        raise ValueError(f"rename columns {taken}: scoring makes columns of that name")
     if problem_type not in alg.ALIASES:
         raise ValueError(f"unknown problem type '{problem_type}'")
     enable_checkpoints(df.sparkSession)
@@ -99,17 +102,17 @@ def prepare(
     columns = [c for c in cleaned.data.columns if c not in (target, key)]
     classes = mod.class_names(cleaned.data, target) if problem_type == "classification" else []
     label = mod.label_column(target, problem_type, classes)
-    labelled = cleaned.data.withColumn("label", F.nanvl(label, F.lit(None).cast("double")))
-    usable = labelled.filter(F.col("label").isNotNull())
+    labelled = cleaned.data.withColumn(LABEL, F.nanvl(label, F.lit(None).cast("double")))
+    usable = labelled.filter(F.col(LABEL).isNotNull())
     train, test = split(usable, key, 0.2, exact=config.exact_split)
     folds = max(config.cv_folds, 1)
     if config.exact_folds:
-        stratify = "label" if problem_type == "classification" else None
-        train = rank_folds(train, key, folds, stratify)
+        stratify = LABEL if problem_type == "classification" else None
+        train = rank_folds(train, key, folds, stratify, FOLD)
     else:
-        train = hash_folds(train, key, folds)
+        train = hash_folds(train, key, folds, name=FOLD)
     sizes = labelled.agg(
-        F.count(F.lit(1)).alias("rows"), F.count("label").alias("labelled")
+        F.count(F.lit(1)).alias("rows"), F.count(LABEL).alias("labelled")
     ).first()
     if sizes["labelled"] == 0:
         raise ValueError(f"no row has a value for the target '{target}'")

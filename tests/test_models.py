@@ -132,6 +132,17 @@ def test_odd_labels(spark):
     ]
 
 
+def test_features_may_carry_any_name(spark, numbers):
+    _, df = numbers
+    renamed = df.select("id", F.col("x1").alias("label"), F.col("x2").alias("features"), "y")
+    result = tr.train(renamed, "y", "linear", "regression", "id", config())
+    plain = tr.train(df, "y", "linear", "regression", "id", config())
+    assert result.scores.first()["test_score"] == plain.scores.first()["test_score"]
+    assert result.model.features == ["label", "features"]
+    with pytest.raises(ValueError):
+        tr.train(df.withColumnRenamed("x1", "prediction"), "y", "linear", "regression", "id", config())
+
+
 def test_svr_learns(numbers):
     _, df = numbers
     scores = tr.train(df, "y", "svr", "regression", "id", config(use_feature_engineering=True)).scores.first()
