@@ -14,6 +14,7 @@ other than the id and the text are not read.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -28,43 +29,83 @@ from tabassay.llm.tables import chunks_for, cut, fresh, rank_in_group, small_bat
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
+#: Pieces whose ids a worker remembers; beyond it the memory starts anew.
+PIECES_KEPT = 1_000_000
+
+
+#: What is not ASCII or a plain Latin-1 letter; such stretches go to the tokenizer as they are.
+ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+#: The pre-tokenizer's pieces of lower-cased text without odd characters.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+BLANKS = re.compile(r"[\t-\r ]+")
 
 
 class WordIds:
-    """Ids of whole texts by remembered ids of their white-space-free stretches.
+    """Ids of whole texts by remembered ids of their pieces.
 
-    The pre-tokenizer never joins across ASCII white space and drops it, so the ids
-    of a text are those of its stretches in order.
+    The pre-tokenizer drops white space and merges never leave a piece, so the ids of a
+    text are those of its pieces in order. Pieces of plain text are cut out here and
+    the model's merges run on the new ones alone; a stretch with any other character,
+    which normalization may change, goes through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(vocabulary)
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size = self.whole.get_vocab_size()
+        ends = [(self.whole.id_to_token(k) or "").endswith("</w>") for k in range(size)]
+        self.ends = np.array(ends)
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    def _spelled(self, piece: str) -> str:
+        """The piece as the merges write it, a character for each byte."""
+        return piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+
+    def _split(self, text: str) -> list[str]:
+        if "<" in text and any(token in text for token in self.special):
+            return ["\n" + text]
+        if not ODD.search(text):
+            return PIECES.findall(text.lower())
+        out: list[str] = []
+        for stretch in BLANKS.split(text):
+            if ODD.search(stretch):
+                out.append("\n" + stretch)
+            else:
+                out += PIECES.findall(stretch.lower())
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if p[0] != "\n"]
+        if plain:
+            joined = " ".join(map(self._spelled, plain))
+            ids = np.array(self.merges.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+            bounds = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            raw = ids.tobytes()
+            for piece, start, end in zip(plain, bounds[:-1], bounds[1:], strict=True):
+                self.known[piece] = raw[4 * start : 4 * end]
+        odd = [p for p in pieces if p[0] == "\n"]
+        found = self.whole.encode_batch([p[1:] for p in odd], add_special_tokens=False)
+        for piece, one in zip(odd, found, strict=True):
+            self.known[piece] = np.array(one.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        new.discard("")
-        if len(self.known) + len(new) > WORDS_KEPT:
+        split = [self._split(text) for text in texts]
+        every = {piece for pieces in split for piece in pieces}
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > PIECES_KEPT:
             self.known.clear()
-            new = {w for words in split for w in words if w}
-        fresh_words = list(new)
-        for at in range(0, len(fresh_words), 20_000):
-            some = fresh_words[at : at + 20_000]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            for word, one in zip(some, found, strict=True):
-                self.known[word] = np.array(one.ids, dtype="<u4").tobytes()
-        self.known[""] = b""
+            new = every
+        self._learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, pieces)) for pieces in split]
 
 
-_BLANKS = {code: " " for code in (9, 10, 11, 12, 13)}
 _ENCODERS: dict[int, WordIds] = {}
 
 
