@@ -16,9 +16,25 @@ from tabassay.llm.license_scan import scan_licenses
 from tabassay.llm.main_text import extract_main_text
 from tabassay.llm.packing import pack, token_pieces
 from tabassay.llm.secret_scan import find_secrets, joined
+from tabassay.llm.sharding import shard_by_ring
 from tabassay.llm.tables import read_table
 
 
+def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on eight shards whose rows differ by one at most."""
+    placed = shard_by_ring(read_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "home",
+    )
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, counted and listed by place."""
     found = find_secrets(read_table(spark, sf_dir, "documents"))
@@ -69,7 +85,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digests(coder: ByteBpe, ids: bytes) -> tuple[int, str, str]:
-    listed = " ".join(map(str, np.frombuffer(ids, dtype="<u4").tolist()))
+    listed = " ".join(map(coder.decimal.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
     return (
         len(ids) // 4,
         hashlib.sha256(listed.encode()).hexdigest(),
@@ -96,6 +112,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS = {
+    "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_secret_scans": (op2_secret_scans, None),
     "op5_language_id": (op5_language_id, None),
     "op6_license_scans": (op6_license_scans, None),
