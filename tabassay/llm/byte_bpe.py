@@ -17,6 +17,7 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,20 @@ from pyspark.sql import types as T
 
 from tabassay.llm.tables import small_batches
 
-#: Stretches of text whose ids a worker remembers; beyond it the memory starts anew.
-UNITS_KEPT = 400_000
+#: Pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
+PIECES_KEPT = 1_000_000
 SPREAD = 2.0
 #: White space by its Unicode property, as classes of patterns write it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the blank before it, or white space; a pre-token never spans two of them.
-UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+# Fixed value: the usual pattern, and the same for text of ASCII and plain Latin-1 letters.
+USUAL = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+)
+PLAIN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+"
+    r"| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+"
+)
+ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 
 
 def read_ranks(content: bytes) -> list[bytes]:
@@ -101,6 +109,8 @@ class ByteBpe:
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}")
                                    .replace(r"\S", f"[^{WHITE}]")
                                    .replace(r"\s", f"[{WHITE}]"))
+        self.usual = pattern == USUAL
+        self.decimal = list(map(str, range(len(tokens))))
         self.known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -138,30 +148,31 @@ class ByteBpe:
             at = after[at]
         return out
 
-    def learn(self, units: list[str]) -> None:
-        """Remember the ids of these stretches of text."""
-        parts = [self.split.findall(unit) for unit in units]
-        pieces = list({piece for unit in parts for piece in unit})
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text."""
+        if self.usual and not ODD.search(text):
+            return PLAIN.findall(text)
+        return self.split.findall(text)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the ids of these pre-tokens."""
         raw = [piece.encode() for piece in pieces]
-        ids: dict[str, bytes] = {}
         for piece, key, number in zip(pieces, raw, self.whole.numbers(raw).tolist(), strict=True):
             rank = self.rank_at[number] if number >= 0 else -1
             found = [rank] if rank >= 0 and self.tokens[rank] == key else self.merge(key)
-            ids[piece] = np.array(found, dtype="<u4").tobytes()
-        for unit, own in zip(units, parts, strict=True):
-            self.known[unit] = b"".join([ids[piece] for piece in own])
+            self.known[piece] = pack(f"<{len(found)}I", *found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [UNITS.findall(text) for text in texts]
-        every = {unit for units in split for unit in units}
+        split = [self.pieces(text) for text in texts]
+        every = {piece for pieces in split for piece in pieces}
         new = every.difference(self.known)
-        if len(self.known) + len(new) > UNITS_KEPT:
+        if len(self.known) + len(new) > PIECES_KEPT:
             self.known.clear()
             new = every
         self.learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+        return [b"".join(map(get, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
