@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 import public_tokenizers
 from tabassay.llm.byte_bpe import ByteBpe, map_encoded
+from tabassay.llm.jaccard_join import similar_components
 from tabassay.llm.language import held_out, identify, learn
 from tabassay.llm.license_scan import scan_licenses
 from tabassay.llm.main_text import extract_main_text
@@ -50,6 +51,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by shingle similarity of 0.9 or more."""
+    return similar_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from those that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
@@ -114,6 +120,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKS = {
     "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_secret_scans": (op2_secret_scans, None),
+    "op4_jaccard_join": (op4_jaccard_join, None),
     "op5_language_id": (op5_language_id, None),
     "op6_license_scans": (op6_license_scans, None),
     "op7_html_extraction": (op7_html_extraction, None),
