@@ -19,6 +19,7 @@ from tabassay.llm.packing import pack, token_pieces
 from tabassay.llm.secret_scan import find_secrets, joined
 from tabassay.llm.sharding import shard_by_ring
 from tabassay.llm.tables import read_table
+from tabassay.llm.vector_dedup import near_copies
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings."""
+    return near_copies(read_table(spark, sf_dir, "embeddings"))
+
+
 def _digests(coder: ByteBpe, ids: bytes) -> tuple[int, str, str]:
     listed = " ".join(map(coder.decimal.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
     return (
@@ -124,6 +130,7 @@ CHECKS = {
     "op5_language_id": (op5_language_id, None),
     "op6_license_scans": (op6_license_scans, None),
     "op7_html_extraction": (op7_html_extraction, None),
+    "op8_embedding_dedup": (op8_embedding_dedup, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
