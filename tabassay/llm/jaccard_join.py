@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.llm.components import components
-from tabassay.llm.tables import cut, small_batches
+from tabassay.llm.tables import cut, fresh, small_batches
 
 SHINGLE_WORDS = 3
 #: Linked when PERCENT * union <= 100 * intersection.
@@ -267,12 +267,20 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInPandas(describe, kinds)
 
 
+def _thinned(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose id may be in ``ids`` (left_semi), or is surely not (left_anti).
+
+    The broadcast side is a set of hash places of fixed size, so that the join with the
+    ids themselves shuffles few rows and never depends on how many ids there are.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(PLACES)).cast("int")
+    places = ids.select(place.alias("place")).distinct()
+    return docs.withColumn("place", place).join(F.broadcast(places), "place", how).drop("place")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``cls`` and ``hashes`` of the classes in ``wanted`` (cls, id of one text each)."""
-    place = F.pmod(F.xxhash64("id"), F.lit(PLACES)).cast("int")
-    places = wanted.select(place.alias("place")).distinct()
-    some = docs.withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
-    rows = some.select("id", "text").join(wanted, "id")
+    rows = _thinned(docs, wanted, "left_semi").join(wanted, "id")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = _shingles(words)
@@ -448,3 +456,32 @@ def similar_components(
     found = known.select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component")
     alone = rows.filter(F.col("cls").isNull() | F.col("id").isNull()).select("id", "n", "id")
     return found.union(alone).toDF(id_col, "n_shingles", "component_id")
+
+
+def keep_one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = SHINGLE_WORDS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """``docs`` with one document of each component, the one of least id.
+
+    Rows equal in id and text are one document; rows without an id all stay.
+    """
+    found = cut(similar_components(docs, id_col, text_col, words, percent))
+    found = found.toDF("id", "n", "component")
+    repeated = found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1")
+    dropped = found.filter("id != component").select("id").distinct()
+    id_, place = fresh(docs, "id"), fresh(docs, "place")
+    touched = cut(dropped.union(repeated.select("id")).distinct())
+    hashed = F.pmod(F.xxhash64(id_col), F.lit(PLACES)).cast("int")
+    places = touched.select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).cast("int").alias(place))
+    marked = docs.withColumn(place, hashed)
+    untouched = marked.join(F.broadcast(places.distinct()), place, "left_anti")
+    maybe = marked.join(F.broadcast(places.distinct()), place, "left_semi")
+    gone = cut(dropped).select(F.col("id").alias(id_))
+    missing = maybe.filter(F.col(id_col).isNull())
+    rest = maybe.filter(F.col(id_col).isNotNull())
+    rest = rest.join(gone, rest[id_col] == gone[id_], "left_anti").dropDuplicates([id_col, text_col])
+    return untouched.union(missing).union(rest).select(*docs.columns)
