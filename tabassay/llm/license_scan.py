@@ -65,14 +65,13 @@ def _lower(text: Column | str) -> Column:
 
 
 def _spaced(text: Column) -> Column:
-    """Words of the text with one blank before, between and after; empty without words."""
-    inner = F.trim(F.regexp_replace(_lower(text), NOT_WORD, " "))
-    return F.when(inner != "", F.concat(F.lit(" "), inner, F.lit(" "))).otherwise("")
+    """Words of the text with one blank before, between and after them."""
+    return F.regexp_replace(F.concat(F.lit(" "), _lower(text), F.lit(" ")), NOT_WORD, " ")
 
 
 def word_frequencies(docs: DataFrame, words: Sequence[str], text_col: str = "text") -> DataFrame:
     """How often each of these words stands in all texts."""
-    every = docs.select(F.explode(F.split(_lower(text_col), NOT_WORD)).alias("word"))
+    every = docs.select(F.explode(F.split(_spaced(F.col(text_col)), " ")).alias("word"))
     return every.filter(F.col("word").isin(*words)).groupBy("word").count()
 
 
@@ -113,11 +112,10 @@ def matching_blocks(
     least = min(r[4] for r in rows)
     known = F.array(*[F.lit(w) for w in ordered])
     numbers = F.create_map(*[F.lit(x) for k, w in enumerate(ordered) for x in (w, k)])
-    # A text without any prefix word has no matching block; this test is plain text search.
-    rare = sorted({ordered[r[0]] for r in rows})
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).filter(
-        F.col("text").rlike(f"(?i)(?:{'|'.join(map(re.escape, rare))})")
-    )
+    # A text without any prefix word has no matching block.
+    rare = "|".join(sorted({ordered[r[0]] for r in rows}))
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    texts = texts.filter(_spaced(F.col("text")).rlike(f" (?:{rare}) "))
     blocks = texts.select(
         id_col, text_key(F.col("text")).alias("text_key"),
         F.posexplode(F.split("text", BLOCK_END)).alias("block", "line"),
@@ -176,14 +174,19 @@ def phrase_places(
     rows = docs.select(id_col, text_key(text).alias("text_key"), _spaced(text).alias("spaced"))
     # Each blank but the last begins a word.
     blanks = F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit("")))
-    places = F.array().cast("array<struct<label:string,start:int>>")
-    for phrase, label in phrases.items():
-        has = F.col("spaced").contains(f" {' '.join(_words(phrase))} ")
-        found = _starts(F.split(F.trim("spaced"), " "), _words(phrase), label)
-        places = F.when(has, F.concat(places, found)).otherwise(places)
+    has = {p: F.col("spaced").contains(f" {' '.join(_words(p))} ") for p in phrases}
+    some = F.array_contains(F.array(*has.values()), True)
+    # Words are cut apart once, and only in the texts that hold a phrase.
+    rows = rows.withColumn("words", F.when(some, F.split(F.trim("spaced"), " ")))
+    none = F.array().cast("array<struct<label:string,start:int>>")
+    places = F.concat(
+        *[
+            F.when(has[p], _starts(F.col("words"), _words(p), label)).otherwise(none)
+            for p, label in phrases.items()
+        ]
+    )
     return rows.select(
-        id_col, "text_key",
-        F.greatest(blanks - 1, F.lit(0)).cast("long").alias("n_words"), places.alias("places"),
+        id_col, "text_key", (blanks - 1).cast("long").alias("n_words"), places.alias("places"),
     )
 
 
