@@ -16,6 +16,15 @@ from tabassay.plans.evaluation import evaluate_model
 FEATURES = ["value", "user_id", "noise"]
 
 
+# A ninth of the scores is no number; such rows are left out.
+NAN_ROWS = f"SELECT * FROM ({SCORED_EVENTS}) WHERE event_id % 9 <> 0"
+
+
+def _scored_nan(spark, d):
+    score = F.when(F.col("event_id") % 9 == 0, float("nan")).otherwise(F.col("p"))
+    return scored_events(spark, d).withColumn("p", score)
+
+
 def _with(sql: str, source: str = SCORED_EVENTS, extra: str = "") -> str:
     return f"WITH s AS ({source}){extra} {sql}"
 
@@ -356,6 +365,27 @@ CHECKS = {
         lambda s, d: rounded(curves.auc_ap(scored_events(s, d)), 6),
         _with(f"SELECT {_round_list(['auc_roc', 'average_precision'], 6)} FROM ({AREAS})", extra=HIST),
     ),
+    "auc_ap_nan": (
+        lambda s, d: rounded(curves.auc_ap(_scored_nan(s, d), rows_per_chunk=500), 6),
+        _with(
+            f"SELECT {_round_list(['auc_roc', 'average_precision'], 6)} FROM ({AREAS})",
+            NAN_ROWS, HIST,
+        ),
+    ),
+    "threshold_eval_nan": (
+        lambda s, d: rounded(metrics.threshold_evaluation(_scored_nan(s, d), 0.3)),
+        _with(
+            f"""SELECT CAST(0.3 AS DOUBLE) AS threshold, tn, fp, fn, tp, total,
+            {_round_list(METRICS)}, class_0_count, class_1_count, class_distribution,
+            {r("auc_roc")} AS auc_roc FROM ev, areas""",
+            NAN_ROWS,
+            f"{HIST}, areas AS ({AREAS}), conf AS ({_confusion(0.3)}), ev AS ({EVALUATION})",
+        ),
+    ),
+    "threshold_sweep_nan": (
+        lambda s, d: rounded(biz.threshold_sweep(_scored_nan(s, d))),
+        _with(f"SELECT * FROM ({SWEEP.format(source='s')})", NAN_ROWS),
+    ),
     "auc_ap_ties": (
         lambda s, d: rounded(curves.auc_ap(scored_ties(s, d)), 6),
         _with(

@@ -153,7 +153,7 @@ def _stream_score(spark, d):
     model = _saved_line(spark, d)
     rows = reg_rows(spark, d).select("l_orderkey", "l_quantity")
     source = fresh_dir(spark, "arrivals")
-    rows.repartition(4).write.parquet(source)
+    rows.write.parquet(source)
     scored = score_arrivals(
         spark, model, source, rows.schema, fresh_dir(spark, "scored"),
         fresh_dir(spark, "progress"), files_per_batch=2,
@@ -193,6 +193,48 @@ def _importance(algorithm, problem_type):
     return run
 
 
+REG_FOLDS = f"""SELECT *, (((l_orderkey % 2147483648) * 2654435761 + 7) % 4294967296 // 1024) % 5
+  AS fold FROM ({REG_ROWS}) WHERE NOT test"""
+
+
+def _cv_line(spark, d):
+    rows = reg_rows(spark, d).select("l_orderkey", "l_quantity", "target")
+    config = tr.TrainingConfig(cv_folds=5)
+    scores = tr.train(rows, "target", "linear", "regression", "l_orderkey", config).scores
+    return scores.select(
+        F.round("cv_score", 3).alias("cv_score"), F.round("cv_std", 3).alias("cv_std")
+    )
+
+
+def _registered(spark, d):
+    """What the registry and the importance table say after a training run."""
+    home = fresh_dir(spark, "registered")
+    config = tr.TrainingConfig(
+        cv_folds=0, model_dir=f"{home}/models", registry_path=f"{home}/registry",
+        importance_path=f"{home}/importance",
+    )
+    rows = reg_rows(spark, d).select("l_orderkey", "l_quantity", "target")
+    found = tr.train(rows, "target", "linear", "regression", "l_orderkey", config)
+    model = mod.FittedModel.load(spark, f"{home}/models/{found.model_id}")
+    row = reg.get_model(spark.read.parquet(f"{home}/registry"), found.model_id)
+    shares = reg.importance_of(spark.read.parquet(f"{home}/importance"), found.model_id)
+    return row.join(shares, "model_id").select(
+        "name", "problem_type", "metric", F.round("score", 3).alias("score"), "is_deployed",
+        "feature", "importance", F.lit(model.target).alias("target"),
+    )
+
+
+def _csv_codes(spark, d):
+    """Codes that end like number types, written as CSV and read back."""
+    end = F.when(F.col("p_partkey") % 2 == 0, "D").otherwise("F")
+    codes = table(spark, d, "part").select(
+        "p_partkey", F.concat((F.col("p_partkey") % 100).cast("string"), end).alias("code")
+    )
+    path = fresh_dir(spark, "codes") + ".csv"
+    sinks.write_csv(codes, path)
+    return read_csv(spark, path)
+
+
 def _csv_roundtrip(spark, d):
     orders = table(spark, d, "orders").select(
         "o_orderkey", "o_totalprice", "o_orderstatus",
@@ -357,6 +399,26 @@ CHECKS = {
         {r("l_quantity * l_tax")} AS poly_4, {r("l_tax * l_tax")} AS poly_5
         FROM lineitem""",
     ),
+    "cv_scores_linear": (
+        _cv_line,
+        f"""WITH rows_ AS ({REG_FOLDS}), st AS (SELECT k, {SLOPES["linear"]} AS slope,
+          avg(y) AS my, avg(x) AS mx FROM rows_, range(5) f(k) WHERE fold <> k GROUP BY k),
+        sc AS (SELECT k, 1 - avg((y - my - slope * (x - mx)) ** 2) / var_pop(y) AS r2
+          FROM rows_ JOIN st ON fold = k GROUP BY k)
+        SELECT round(round(avg(r2), 4), 3) AS cv_score,
+          round(round(stddev_pop(r2), 4), 3) AS cv_std FROM sc""",
+    ),
+    "registered_models": (
+        _registered,
+        f"""SELECT 'linear' AS name, 'regression' AS problem_type, 'r2' AS metric,
+        test_score AS score, false AS is_deployed, 'l_quantity' AS feature,
+        CAST(1 AS DOUBLE) AS importance, 'target' AS target FROM ({_line_sql("linear")})""",
+    ),
+    "csv_codes": (
+        _csv_codes,
+        """SELECT p_partkey, CAST(p_partkey % 100 AS VARCHAR) ||
+        CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE 'F' END AS code FROM part""",
+    ),
     "csv_roundtrip": (
         _csv_roundtrip,
         """SELECT o_orderkey, o_totalprice, o_orderstatus,

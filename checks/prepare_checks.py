@@ -109,10 +109,20 @@ def _scaled_sql(center: str, spread: str) -> str:
 
 
 HASH = "(((o_orderkey % 2147483648) * 2654435761 + {seed}) % 4294967296)"
+# Keys whose low 31 bits are zero are folded by their high bits.
+HIGH_KEYS = "(SELECT o_orderkey * 2147483648 AS o_orderkey FROM orders)"
+HIGH_HASH = HASH.replace(
+    "(o_orderkey % 2147483648)", "(((o_orderkey // 2147483648) * 40503) % 2147483648)"
+)
 
 
-def _split_counts(spark, d):
-    df = table(spark, d, "orders")
+def _high_keys(spark, d):
+    return table(spark, d, "orders").select(
+        (F.col("o_orderkey") * 2147483648).alias("o_orderkey")
+    )
+
+
+def _split_counts(df):
     return df.groupBy(
         F.when(in_test_split(df, "o_orderkey"), "test").otherwise("train").alias("part")
     ).agg(F.count(F.lit(1)).alias("cnt"), F.sum("o_orderkey").alias("keys"))
@@ -237,7 +247,7 @@ CHECKS = {
         ),
     ),
     "split_counts": (
-        _split_counts,
+        lambda s, d: _split_counts(table(s, d, "orders")),
         f"""SELECT CASE WHEN {HASH.format(seed=42)} % 100 < 20 THEN 'test' ELSE 'train' END AS part,
         count(*) AS cnt, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""",
     ),
@@ -263,6 +273,17 @@ CHECKS = {
           ntile(5) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS f FROM orders)
         GROUP BY o_orderstatus, f""",
     ),
+    "split_counts_high_keys": (
+        lambda s, d: _split_counts(_high_keys(s, d)).drop("keys"),
+        f"""SELECT CASE WHEN {HIGH_HASH.format(seed=42)} % 100 < 20 THEN 'test' ELSE 'train' END
+        AS part, count(*) AS cnt FROM {HIGH_KEYS} GROUP BY 1""",
+    ),
+    "kfold_high_keys": (
+        lambda s, d: _fold_sizes(hash_folds(_high_keys(s, d), "o_orderkey", 5)),
+        f"""SELECT CAST(({HIGH_HASH.format(seed=7)} // 1024) % 5 AS INTEGER) AS fold,
+        count(*) AS cnt, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+        FROM {HIGH_KEYS} GROUP BY 1""",
+    ),
     "kfold_hashed_sizes": (
         lambda s, d: _fold_sizes(hash_folds(table(s, d, "orders"), "o_orderkey", 5)),
         f"""SELECT CAST(({HASH.format(seed=7)} // 1024) % 5 AS INTEGER) AS fold, count(*) AS cnt,

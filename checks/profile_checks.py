@@ -530,6 +530,28 @@ CHECKS = {
         lambda s, d: rounded(corr.strong_correlations(lineitem_gross(s, d))),
         _gross(_strong_sql("g", GROSS_COLUMNS)),
     ),
+    "feature_target_rank_class": (
+        lambda s, d: rounded(
+            corr.feature_target_rank(
+                table(s, d, "events").select(
+                    "event_type", "value", "user_id", (F.col("event_id") % 10).alias("digit")
+                ),
+                "event_type",
+            )
+        ),
+        """WITH e AS (SELECT event_type, value, user_id, event_id % 10 AS digit FROM events)
+        SELECT CAST(row_number() OVER (ORDER BY c DESC, feature) AS INTEGER) AS rank, feature,
+        round(c, 4) AS correlation, round(c, 4) AS importance FROM ("""
+        + union(
+            [
+                f"""SELECT '{f}' AS feature, sqrt(sum(n * (m - g) ** 2) / max(v)) AS c
+                FROM (SELECT count({f}) AS n, avg({f}) AS m FROM e GROUP BY event_type),
+                (SELECT avg({f}) AS g, var_pop({f}) * count({f}) AS v FROM e)"""
+                for f in ("value", "user_id", "digit")
+            ]
+        )
+        + ")",
+    ),
     "feature_target_rank": (
         lambda s, d: rounded(corr.feature_target_rank(lineitem_gross(s, d), "gross")),
         _gross(

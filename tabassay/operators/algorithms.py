@@ -1,6 +1,6 @@
 """The algorithms by name, as ``pyspark.ml`` estimators with the documented settings.
 
-Approximations: trees are capped in depth and split on bins; the two ``xgboost`` names
+Approximations: trees grow to a depth of 30 and split on bins; the two ``xgboost`` names
 are gradient-boosted trees of depth 6; the RBF machines are linear machines on random
 Fourier features, the regression one with the Huber loss in place of the
 epsilon-insensitive loss, which Spark lacks.
@@ -78,7 +78,7 @@ class Effort:
 
     trees: int = 100
     rounds: int = 100
-    tree_depth: int = 10
+    tree_depth: int = 30  # the most that Spark grows
     iterations: int = 1000
     kernel_width: int = 64
 
@@ -142,7 +142,7 @@ def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
     if name == "svm":
         common["featuresCol"] = KERNEL_VECTOR
         made: Estimator = LinearSVC(
-            maxIter=min(effort.iterations, 100), tol=1e-4, regParam=penalty,
+            maxIter=effort.iterations, regParam=penalty,
             standardization=False, **common,
         )
     else:
@@ -183,7 +183,7 @@ def _regressor(name: str, shape: TrainShape, effort: Effort) -> Estimator:
         common["featuresCol"] = KERNEL_VECTOR
         return LinearRegression(
             loss="huber", regParam=1.0 / max(shape.rows, 1), standardization=False,
-            maxIter=min(effort.iterations, 100), tol=1e-4, **common,
+            maxIter=effort.iterations, **common,
         )
     return GBTRegressor(
         maxIter=effort.rounds, stepSize=0.1, maxDepth=6 if name == "xgboost" else 3,

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabassay.functions.scores import settled
 from tabassay.functions.stats import percent, ratio
 
 # The 19 candidate thresholds 0.05, 0.10, ... 0.95.
@@ -30,7 +31,7 @@ def impact_columns(prices: Prices = Prices()) -> dict[str, Column]:
 
     The return is profit over cost in percent, null when nothing is spent.
     """
-    scale = ratio(F.lit(int(prices.volume)), F.col("total"))
+    scale = ratio(F.lit(float(prices.volume)), F.col("total"))
     fp_cost = F.col("fp") * prices.cost_false_positive * scale
     fn_cost = F.col("fn") * prices.cost_false_negative * scale
     revenue = F.col("tp") * prices.revenue_true_positive * scale
@@ -72,7 +73,7 @@ def threshold_sweep(
     scored: DataFrame, prices: Prices = Prices(), by: Sequence[str] = ()
 ) -> DataFrame:
     """Outcome counts and profit at every candidate threshold, from one aggregate."""
-    return sweep_of(scored.groupBy(*by).agg(*sweep_aggregates()), prices, by)
+    return sweep_of(settled(scored).groupBy(*by).agg(*sweep_aggregates()), prices, by)
 
 
 def sweep_of(

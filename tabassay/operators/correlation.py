@@ -10,8 +10,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabassay.functions.families import columns_of
+from tabassay.functions.missing import quoted
 from tabassay.functions.stats import correlation
 from tabassay.operators.frames import AGGREGATES_PER_SCAN, aggregate, to_frame
 from tabassay.operators.profile import doubles
@@ -178,14 +180,54 @@ def target_correlations(df: DataFrame, target: str, features: Sequence[str]) ->
     return to_frame(df.sparkSession, rows, "feature string, correlation double")
 
 
+def class_target_strengths(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    """Rows ``(feature, correlation)``: correlation ratios against a class target.
+
+    The ratio is the root of the share of a feature's variance that lies between the
+    classes. Classes are summed first, so their number may grow with the table.
+    """
+    known = df.filter(quoted(target).isNotNull())
+    values = {f: F.nanvl(quoted(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    means = aggregate(known, [F.avg(v).alias(f"m_{i}") for i, v in enumerate(values.values())])
+    sums = []
+    for i, value in enumerate(values.values()):
+        moved = value - F.lit(means[f"m_{i}"]).cast("double")
+        sums += [
+            F.count(value).alias(f"n_{i}"), F.sum(moved).alias(f"s_{i}"),
+            F.sum(moved * moved).alias(f"q_{i}"),
+        ]
+    by_class = known.groupBy(quoted(target)).agg(*sums)
+    totals = []
+    for i in range(len(values)):
+        n, s = F.col(f"n_{i}"), F.col(f"s_{i}")
+        rest = F.try_divide(F.sum(s) * F.sum(s), F.sum(n))
+        totals += [
+            (F.sum(F.try_divide(s * s, n)) - rest).alias(f"b_{i}"),
+            (F.sum(f"q_{i}") - rest).alias(f"t_{i}"),
+        ]
+    found = aggregate(by_class, totals)
+    rows = []
+    for i, f in enumerate(features):
+        between, total = found[f"b_{i}"], found[f"t_{i}"]
+        defined = total is not None and total > 0 and math.isfinite(total)
+        rows.append((f, math.sqrt(min(1.0, max(0.0, between / total))) if defined else None))
+    return to_frame(df.sparkSession, rows, "feature string, correlation double")
+
+
 def feature_target_rank(
     df: DataFrame, target: str, features: Sequence[str] | None = None, limit: int = 10
 ) -> DataFrame:
-    """Numeric features by absolute correlation with the target; undefined ones last."""
+    """Numeric features by strength against the target; undefined ones last.
+
+    A numeric target takes the absolute correlation, any other the correlation ratio
+    of its classes.
+    """
     names = features or [c for c in columns_of(df, "numeric") if c != target]
+    numeric = isinstance(df.schema[target].dataType, T.NumericType)
+    found = (target_correlations if numeric else class_target_strengths)(df, target, names)
     strength = F.abs("correlation")
     w = Window.partitionBy(F.lit(0)).orderBy(strength.desc_nulls_last(), "feature")
-    ranked = target_correlations(df, target, names).select(
+    ranked = found.select(
         F.row_number().over(w).alias("rank"), "feature", "correlation", strength.alias("importance")
     )
     return ranked.filter(F.col("rank") <= limit)

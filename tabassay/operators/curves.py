@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabassay.functions.scores import settled
 from tabassay.functions.stats import ratio
 from tabassay.operators.prefix import ROWS_PER_CHUNK, chunk_edges, running
 
@@ -18,9 +19,9 @@ from tabassay.operators.prefix import ROWS_PER_CHUNK, chunk_edges, running
 def score_histogram(
     scored: DataFrame, by: Sequence[str] = (), label: str = "y", score: str = "p"
 ) -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score; NaN is no score."""
     return (
-        scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+        settled(scored, label, score).filter(F.col(label).isNotNull() & F.col(score).isNotNull())
         .groupBy(*by, F.col(score).alias("p"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"),
@@ -44,7 +45,7 @@ def cumulative(
         -F.col("p"),
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
         group_totals=True,
-        edges=chunk_edges(scored, -F.col("p").cast("double"), rows_per_chunk),
+        edges=chunk_edges(settled(scored), -F.col("p").cast("double"), rows_per_chunk),
     )
 
 

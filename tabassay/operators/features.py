@@ -71,25 +71,41 @@ class FeaturePlan:
         return df.select(*[F.expr(e).alias(n) for e, n in zip(self.expressions, self.names)])
 
 
+def numbered(names: Sequence[str]) -> list[str]:
+    """The names, repeated ones with ``_2``, ``_3``.. at the end."""
+    out: list[str] = []
+    taken = set(names)
+    for name in names:
+        made, k = name, 1
+        while made in out or (k > 1 and made in taken):
+            k += 1
+            made = f"{name}_{k}"
+        out.append(made)
+    return out
+
+
 def _category_levels(
-    df: DataFrame, columns: Sequence[str]
+    df: DataFrame, columns: Sequence[str], limit: int
 ) -> dict[str, tuple[str, list[str]]]:
     """Mode and sorted levels per string column, from one value count."""
     rows: dict[str, list[tuple[int, str]]] = {c: [] for c in columns}
     if columns:
-        for r in top_values(value_counts(df, columns), MAX_LEVELS + 1).collect():
+        for r in top_values(value_counts(df, columns), limit + 1).collect():
             rows[r["column_name"]].append((r["cnt"], r["value"]))
     out = {}
     for c, found in rows.items():
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"column '{c}' has more than {MAX_LEVELS} distinct values")
+        if len(found) > limit:
+            raise ValueError(f"column '{c}' has more than {limit} distinct values")
         mode = min(found, key=lambda x: (-x[0], x[1]))[1] if found else UNKNOWN
         out[c] = (mode, sorted(v for _, v in found) or [UNKNOWN])
     return out
 
 
 def fit_features(
-    train: DataFrame, columns: Sequence[str] | None = None, scaling: str | None = None
+    train: DataFrame,
+    columns: Sequence[str] | None = None,
+    scaling: str | None = None,
+    max_levels: int = MAX_LEVELS,
 ) -> FeaturePlan:
     """Mean and mode imputation, first-level-dropped one-hot encoding, optional scaling.
 
@@ -103,7 +119,7 @@ def fit_features(
     true_share = aggregate(
         data, [F.avg(quoted(c).cast("double")).alias(str(i)) for i, c in enumerate(flags)]
     )
-    categories = _category_levels(data, texts)
+    categories = _category_levels(data, texts, max_levels)
 
     plan = FeaturePlan()
     for c in data.columns:
@@ -128,8 +144,7 @@ def fit_features(
                 f"CASE WHEN coalesce({_name(c)}, {_text(mode)}) = {_text(level)} "
                 "THEN 1.0D ELSE 0.0D END"
             )
-    if len(set(plan.names)) < len(plan.names):
-        raise ValueError(f"feature names collide after sanitising: {plan.names}")
+    plan.names = numbered(plan.names)
     if not plan.names:
         raise ValueError("no usable feature is left")
     if scaling is not None:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabassay.functions.scores import settled
 from tabassay.functions.stats import ratio
 from tabassay.operators.curves import area_aggregates, area_columns, cumulative
 
@@ -32,7 +33,7 @@ def confusion_aggregates(threshold: float, inside: Column | None = None) -> list
 
 
 def confusion(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
-    return scored.groupBy(*by).agg(*confusion_aggregates(threshold))
+    return settled(scored).groupBy(*by).agg(*confusion_aggregates(threshold))
 
 
 def metric_columns() -> dict[str, Column]:
@@ -182,6 +183,7 @@ def regression_metrics(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """R2, absolute and squared errors, and the mean absolute percentage error."""
+    predicted = settled(predicted, label, prediction)
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     y, p = F.when(p.isNotNull(), y), F.when(y.isNotNull(), p)
     error = y - p
@@ -229,7 +231,8 @@ def learning_curve(
     scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), split: str = "split"
 ) -> DataFrame:
     """Loss and accuracy of train and test rows, their gap and how severe it is."""
-    return learning_curve_of(scored.groupBy(*by).agg(*learning_aggregates(threshold, split)), by)
+    sums = settled(scored).groupBy(*by).agg(*learning_aggregates(threshold, split))
+    return learning_curve_of(sums, by)
 
 
 def learning_curve_of(row: DataFrame, by: Sequence[str] = ()) -> DataFrame:

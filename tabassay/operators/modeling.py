@@ -6,7 +6,7 @@ import json
 import math
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
@@ -25,12 +25,12 @@ from tabassay.functions.missing import quoted
 from tabassay.functions.scalars import confidence, probability_map
 from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
+from tabassay.operators.cleaning import MAX_LEVELS
 from tabassay.operators.features import (
     FOLD, KERNEL_VECTOR, LABEL, VECTOR, FeaturePlan, fill_absent_inputs, fit_features, kernel_stages,
 )
 from tabassay.operators.frames import to_frame
 
-MAX_CLASSES = 100
 IMPORTANCE_SCHEMA = "rank int, feature string, importance double"
 
 
@@ -62,12 +62,13 @@ class FittedModel:
         return FittedModel(pipeline=PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
-def class_names(df: DataFrame, target: str) -> list[str]:
-    """The sorted classes of a label; their number is checked before they are used."""
+def class_names(df: DataFrame, target: str, limit: int | None = None) -> list[str]:
+    """The sorted classes of a label; with ``limit``, more of them raise."""
     found = df.select(quoted(target).alias("value"), quoted(target).cast("string").alias("name"))
-    rows = found.filter(F.col("value").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"target '{target}' has more than {MAX_CLASSES} classes")
+    classes = found.filter(F.col("value").isNotNull()).distinct()
+    rows = classes.collect() if limit is None else classes.limit(limit + 1).collect()
+    if limit is not None and len(rows) > limit:
+        raise ValueError(f"target '{target}' has more than {limit} classes")
     return [r["name"] for r in sorted(rows, key=lambda r: r["value"])]
 
 
@@ -219,70 +220,98 @@ def _run_trials(spark: SparkSession, tasks: Sequence[Any], parallelism: int) ->
         list(pool.map(lambda t: inheritable_thread_target(spark)(t)(), tasks))
 
 
+@dataclass
+class FoldRecipe:
+    """How training rows become vectors: refitted inside every fold."""
+
+    columns: Sequence[str]
+    problem_type: str
+    classes: Sequence[str]
+    scaling: str | None = None
+    effort: alg.Effort = field(default_factory=alg.Effort)
+    n_features: int | None = None
+    degree: int | None = None
+    max_levels: int = MAX_LEVELS
+
+    def matrix(self, train: DataFrame, kernel: bool) -> Matrix:
+        plan = fit_features(train, self.columns, self.scaling, self.max_levels)
+        return build_matrix(
+            train, plan, self.problem_type, kernel, self.effort, self.n_features, self.degree
+        )
+
+
+def each_fold(
+    train: DataFrame, recipe: FoldRecipe, kernel: bool, folds: int
+) -> Iterator[tuple[DataFrame, DataFrame, alg.TrainShape]]:
+    """Vectors of the other folds, of the held-out fold, and the shape, fold by fold.
+
+    Imputation, encoding, scaling, expansion and feature choice are fitted on the other
+    folds alone, as a model is trained. The vectors are kept while they are in use.
+    """
+    for k in range(folds):
+        matrix = recipe.matrix(train.filter(F.col(FOLD) != k), kernel)
+        vectors = matrix.vectors.persist()
+        held = train.filter(F.col(FOLD) == k)
+        for stage in matrix.stages:
+            held = stage.transform(held)
+        held = held.select(*vectors.columns).persist()
+        shape = train_shape(vectors, recipe.problem_type, recipe.classes, len(matrix.names))
+        yield vectors, held, shape
+        vectors.unpersist()
+        held.unpersist()
+
+
+def _fold_score(
+    algorithm: str, recipe: FoldRecipe, vectors: DataFrame, held: DataFrame,
+    shape: alg.TrainShape, params: dict[str, Any] | None,
+) -> float:
+    fitted = fit_stages(vectors, algorithm, recipe.problem_type, shape, recipe.effort, params)
+    value = score_of(fitted[0].transform(held), recipe.problem_type)
+    if value is None or not math.isfinite(value):
+        raise ValueError("the fold gave no score")
+    return value
+
+
 def cross_validate(
     train: DataFrame,
-    columns: Sequence[str],
     names: Sequence[str],
-    problem_type: str,
-    classes: Sequence[str],
+    recipe: FoldRecipe,
     folds: int,
-    scaling: str | None,
-    effort: alg.Effort,
     params: dict[str, Any] | None = None,
     parallelism: int = 4,
 ) -> list[Trial]:
     """Score every named algorithm on each fold; a failing algorithm keeps its error.
 
-    ``train`` holds the label and the fold. Imputation, encoding and scaling are fitted
-    inside each fold, once for all algorithms, and the assembled rows are reused.
+    ``train`` holds the label and the fold. A fold's vectors serve all algorithms.
     """
-    spark = train.sparkSession
     trials = {n: Trial(n) for n in names}
-    kernel = any(_needs_kernel(alg.resolve(n, problem_type)) for n in names)
-    for k in range(folds):
-        part = train.filter(F.col(FOLD) != k)
-        held = train.filter(F.col(FOLD) == k)
+    kernel = any(_needs_kernel(alg.resolve(n, recipe.problem_type)) for n in names)
+
+    def run(trial: Trial, vectors: DataFrame, held: DataFrame, shape: alg.TrainShape) -> None:
+        start = time.time()
         try:
-            plan = fit_features(part, columns, scaling)
-            matrix = build_matrix(part, plan, problem_type, kernel, effort)
-        except Exception as problem:  # a fold nobody can use fails every algorithm
-            for t in trials.values():
-                t.error = t.error or str(problem).splitlines()[0]
-            break
-        vectors = matrix.vectors.persist()
-        held_vectors = held
-        for stage in matrix.stages:
-            held_vectors = stage.transform(held_vectors)
-        held_vectors = held_vectors.select(*vectors.columns).persist()
-        shape = train_shape(vectors, problem_type, classes, len(matrix.names))
-
-        def run(trial: Trial, vectors=vectors, held_vectors=held_vectors, shape=shape) -> None:
-            start = time.time()
-            try:
-                fitted = fit_stages(
-                    vectors, trial.algorithm, problem_type, shape, effort, params
-                )
-                value = score_of(fitted[0].transform(held_vectors), problem_type)
-                if value is None or not math.isfinite(value):
-                    raise ValueError("the fold gave no score")
-                trial.scores.append(value)
-            except Exception as problem:
-                trial.error = str(problem).splitlines()[0][:500]
-            trial.seconds += time.time() - start
-
-        open_trials = [t for t in trials.values() if t.error is None]
-        _run_trials(spark, [lambda t=t: run(t) for t in open_trials], parallelism)
-        vectors.unpersist()
-        held_vectors.unpersist()
+            trial.scores.append(
+                _fold_score(trial.algorithm, recipe, vectors, held, shape, params)
+            )
+        except Exception as problem:
+            trial.error = str(problem).splitlines()[0][:500]
+        trial.seconds += time.time() - start
+
+    try:
+        for fold in each_fold(train, recipe, kernel, folds):
+            open_trials = [t for t in trials.values() if t.error is None]
+            tasks = [lambda t=t, fold=fold: run(t, *fold) for t in open_trials]
+            _run_trials(train.sparkSession, tasks, parallelism)
+    except Exception as problem:  # a fold nobody can use fails every algorithm
+        for t in trials.values():
+            t.error = t.error or str(problem).splitlines()[0]
     return list(trials.values())
 
 
 def tune(
-    matrix: Matrix,
+    train: DataFrame,
     algorithm: str,
-    problem_type: str,
-    shape: alg.TrainShape,
-    effort: alg.Effort,
+    recipe: FoldRecipe,
     folds: int,
     search: str = "grid",
     iterations: int = 50,
@@ -290,32 +319,29 @@ def tune(
 ) -> tuple[dict[str, Any], float | None]:
     """The best settings of the algorithm's grid by cross-validated score.
 
-    ``grid`` tries every combination, ``random`` a seeded choice of ``iterations`` of them.
+    ``grid`` tries every combination, ``random`` a seeded choice of ``iterations`` of
+    them. Everything that is fitted is fitted inside each fold.
     """
-    grid = alg.GRIDS.get(alg.resolve(algorithm, problem_type), {})
-    tries = [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
+    if folds < 2:
+        raise ValueError("tuning needs at least two folds")
     if search not in ("grid", "random"):
         raise ValueError(f"unknown search '{search}'")
+    name = alg.resolve(algorithm, recipe.problem_type)
+    grid = alg.GRIDS.get(name, {})
+    tries = [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
     if search == "random" and iterations < len(tries):
         tries = random.Random(alg.SEED).sample(tries, iterations)
     if not tries:
         return {}, None
     scores: dict[int, list[float]] = {i: [] for i in range(len(tries))}
-    for k in range(folds):
-        part = matrix.vectors.filter(F.col(FOLD) != k).persist()
-        held = matrix.vectors.filter(F.col(FOLD) == k).persist()
 
-        def run(i: int, part=part, held=held) -> None:
-            fitted = fit_stages(part, algorithm, problem_type, shape, effort, tries[i])
-            value = score_of(fitted[0].transform(held), problem_type)
-            scores[i].append(-math.inf if value is None else value)
+    def run(i: int, vectors: DataFrame, held: DataFrame, shape: alg.TrainShape) -> None:
+        scores[i].append(_fold_score(algorithm, recipe, vectors, held, shape, tries[i]))
 
-        _run_trials(
-            matrix.vectors.sparkSession, [lambda i=i: run(i) for i in scores], parallelism
-        )
-        part.unpersist()
-        held.unpersist()
-    means = {i: sum(s) / len(s) for i, s in scores.items()}
+    for fold in each_fold(train, recipe, _needs_kernel(name), folds):
+        tasks = [lambda i=i, fold=fold: run(i, *fold) for i in scores]
+        _run_trials(train.sparkSession, tasks, parallelism)
+    means = {i: sum(found) / len(found) for i, found in scores.items()}
     best = max(means, key=lambda i: (means[i], -i))
     return tries[best], means[best]
 

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.functions.missing import quoted
+from tabassay.functions.scalars import microseconds
 from tabassay.operators.selection import sketch_quantiles
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 2048
+#: Chunks that one sketch can place well; more are cut inside each of them.
+CHUNKS_PER_SKETCH = 256
 
 _CHUNK, _KEY, _CARRY, TOTAL = "__chunk", "__key", "__carry_", "_total"
 
@@ -28,8 +30,7 @@ def order_position(df: DataFrame, name: str) -> Column:
     """A double that never decreases when column ``name`` increases."""
     dtype, c = df.schema[name].dataType, quoted(name)
     if isinstance(dtype, T.TimestampNTZType):
-        day = F.unix_date(c.cast("date")).cast("double") * 86400.0
-        return day + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c)
+        return microseconds(c).cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dtype, (T.NumericType, T.TimestampType)):
@@ -42,14 +43,36 @@ def chunk_edges(
 ) -> list[float]:
     """Cut points that split ``df`` into chunks of about ``rows_per_chunk`` rows.
 
-    Counting comes first because it reads no column; small tables need no sketch.
+    Counting comes first because it reads no column; small tables need no sketch. The
+    number of chunks follows from the rows alone: where one sketch would be too coarse,
+    each of its chunks gets a sketch of its own. Rows of one position stay together.
     """
-    chunks = min(MAX_CHUNKS, -(-df.count() // rows_per_chunk))
+    chunks = -(-df.count() // rows_per_chunk)
     if chunks <= 1:
         return []
-    fractions = [i / chunks for i in range(1, chunks)]
-    cuts = df.agg(sketch_quantiles(position, fractions).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    coarse = min(chunks, CHUNKS_PER_SKETCH)
+    cuts = df.agg(sketch_quantiles(position, _parts(coarse)).alias("cuts")).first()["cuts"]
+    edges = sorted(set(cuts or []))
+    if chunks > coarse and edges:
+        fine = _parts(-(-chunks // coarse))
+        placed = _chunked(df.select(position.alias("__position")), edges, "__position")
+        found = placed.groupBy(_CHUNK).agg(
+            sketch_quantiles(F.col("__position"), fine).alias("cuts")
+        )
+        edges = sorted({*edges, *(c for r in found.collect() for c in r["cuts"] or [])})
+    return edges
+
+
+def _parts(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
+
+
+def _chunked(df: DataFrame, edges: Sequence[float], name: str) -> DataFrame:
+    """Add the chunk of column ``name``: nulls come first and NaN last, as in an ordering."""
+    splits = [float("-inf"), *edges, float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol=name, outputCol=_CHUNK)
+    placed = bucketizer.setHandleInvalid("keep").transform(df)
+    return placed.withColumn(_CHUNK, F.when(F.col(name).isNull(), -1.0).otherwise(F.col(_CHUNK)))
 
 
 def running(
@@ -75,17 +98,11 @@ def running(
     edges = chunk_edges(df, position, rows_per_chunk) if edges is None else list(edges)
     if not edges and by:
         return _within(df, by, order, sums, maxima, group_totals)
-    splits = [float("-inf"), *edges, float("inf")]
-    chunked = df.withColumn("__position", position)
-    if edges:
-        bucketizer = Bucketizer(splits=splits, inputCol="__position", outputCol=_CHUNK)
-        chunked = bucketizer.setHandleInvalid("keep").transform(chunked)
-    else:
-        chunked = chunked.withColumn(_CHUNK, F.lit(0.0))
-    chunked = chunked.drop("__position")
-
     if not edges:
+        chunked = df.withColumn(_CHUNK, F.lit(0.0))
         return _within(chunked, [_CHUNK], order, sums, maxima, group_totals).drop(_CHUNK)
+    chunked = _chunked(df.withColumn("__position", position), edges, "__position")
+    chunked = chunked.drop("__position")
     # One struct key: the windows, the totals and the join all hash by it, and groups
     # without a name stay equal to themselves.
     chunked = chunked.withColumn(

@@ -35,7 +35,8 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 def quality_score(missing: DataFrame, copies: DataFrame, outlier_count: DataFrame) -> DataFrame:
     """Completeness, uniqueness, their mean and its band, from one-row results."""
-    completeness = F.greatest(F.lit(0.0), 100.0 - F.col("total_missing_percentage"))
+    missing_share = F.col("total_missing_percentage")
+    completeness = F.when(missing_share.isNotNull(), F.greatest(F.lit(0.0), 100.0 - missing_share))
     uniqueness = 100.0 - F.col("duplicate_percentage")
     score = (F.col("completeness") + F.col("uniqueness")) / 2
     return (

@@ -9,8 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabassay.functions.scores import settled
 from tabassay.operators import business as biz
 from tabassay.operators import curves, metrics, readiness
+from tabassay.operators.cleaning import require_rows
 from tabassay.operators.frames import settle
 from tabassay.plans.eda import _long
 
@@ -65,6 +67,8 @@ def evaluate_model(
     Train rows, when there are any, serve the learning curve. One scan counts outcomes,
     all thresholds and losses; the score histogram and the feature correlations follow.
     """
+    require_rows(scored)
+    scored = settled(scored)
     is_test = F.col(split) == "test"
     test = scored.filter(is_test)
     row = scored.agg(

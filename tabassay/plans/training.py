@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 import warnings
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabassay.functions.families import require_column
-from tabassay.functions.missing import normalize_missing
+from tabassay.functions.missing import normalize_missing, quoted
 from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
 from tabassay.operators import modeling as mod
-from tabassay.operators.cleaning import Cleaned, clean
-from tabassay.operators.features import FOLD, LABEL, RESERVED, fit_features
+from tabassay.operators.cleaning import MAX_LEVELS, Cleaned, clean
+from tabassay.operators.features import FOLD, LABEL, RESERVED
 from tabassay.operators.folds import hash_folds, rank_folds
-from tabassay.operators.frames import settle, to_frame
+from tabassay.operators.frames import aggregate, settle, to_frame
+from tabassay.operators.registry import append_event, save_importance
 from tabassay.operators.runlog import RunLog
 from tabassay.session import enable_checkpoints
 from tabassay.sources.sampling import split
@@ -30,23 +33,37 @@ LEADERBOARD_SCHEMA = (
     "accuracy double, r2 double, status string, error string"
 )
 
-# What usually stops every algorithm at once.
-LIKELY_CAUSES = (
-    "Columns that cannot be encoded",
-    "Features that are missing or constant",
-    "Too few rows for cross-validation",
-    "A target with invalid values or a single class",
-    "A feature space too large for memory",
-)
-
 
 class NoAlgorithmSucceeded(RuntimeError):
-    """Every candidate failed; carries the partial leaderboard."""
-
-    def __init__(self, leaderboard: DataFrame, tested: int):
-        causes = "; ".join(LIKELY_CAUSES)
-        super().__init__(f"none of {tested} algorithms succeeded; likely causes: {causes}")
-        self.leaderboard, self.tested = leaderboard, tested
+    """Every candidate failed; carries the partial leaderboard and what was found."""
+
+    def __init__(self, leaderboard: DataFrame, tested: int, causes: Sequence[str] = ()):
+        found = "; ".join(causes) or "no cause was found in the data"
+        super().__init__(f"none of {tested} algorithms succeeded: {found}")
+        self.leaderboard, self.tested, self.causes = leaderboard, tested, list(causes)
+
+
+def failure_causes(
+    train: DataFrame, columns: Sequence[str], folds: int, problem_type: str,
+    trials: Sequence[mod.Trial],
+) -> list[str]:
+    """What the training rows and the failed trials say about why nothing could be fitted."""
+    seen = [F.approx_count_distinct(quoted(c)).alias(f"n_{i}") for i, c in enumerate(columns)]
+    row = aggregate(
+        train,
+        [F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(LABEL).alias("labels"), *seen],
+    )
+    causes = []
+    if row["rows"] < max(folds, 2):
+        causes.append(f"{row['rows']} training rows for {folds} folds")
+    if row["labels"] < 2:
+        kind = "class" if problem_type == "classification" else "value"
+        causes.append(f"the target has a single {kind} in the training rows")
+    flat = [c for i, c in enumerate(columns) if row[f"n_{i}"] < 2]
+    if flat:
+        causes.append(f"empty or constant features: {', '.join(flat)}")
+    messages = dict.fromkeys(t.error for t in trials if t.error)
+    return causes + [f"error: {m}" for m in messages]
 
 
 @dataclass
@@ -65,13 +82,58 @@ class TrainingConfig:
     exact_folds: bool = False
     effort: alg.Effort = field(default_factory=alg.Effort)
     parallelism: int = 4
+    max_classes: int | None = None
+    max_levels: int = MAX_LEVELS
     run_log: RunLog | None = None
+    model_id: str | None = None
+    model_dir: str | None = None
+    registry_path: str | None = None
+    importance_path: str | None = None
+
+    @property
+    def folds(self) -> int:
+        """Folds that are numbered: tuning needs two even without cross-validation."""
+        return max(self.cv_folds, 2 if self.tune_hyperparameters else 1)
 
     def note(self, status: str, **info: Any) -> None:
         if self.run_log is not None:
             self.run_log.add(status, **info)
 
 
+@contextmanager
+def recorded(config: TrainingConfig) -> Iterator[None]:
+    """Ends the job's history with ``failed`` and the reason when anything raises."""
+    try:
+        yield
+    except Exception as problem:
+        reason = (str(problem).splitlines() or [type(problem).__name__])[0]
+        config.note("failed", level="ERROR", message=reason)
+        raise
+
+
+def publish(
+    model: mod.FittedModel, importance: DataFrame, score: float | None, config: TrainingConfig
+) -> str | None:
+    """Save the pipeline, append its registration and store its importances, where asked."""
+    if not (config.model_dir or config.registry_path or config.importance_path):
+        return None
+    spark = importance.sparkSession
+    model_id = config.model_id or uuid.uuid4().hex
+    path = None
+    if config.model_dir:
+        path = f"{config.model_dir.rstrip('/')}/{model_id}"
+        model.save(path)
+    if config.registry_path:
+        append_event(
+            spark, config.registry_path, model_id, "register", name=model.algorithm,
+            algorithm=model.algorithm, problem_type=model.problem_type, score=score,
+            metric="accuracy" if model.problem_type == "classification" else "r2", model_path=path,
+        )
+    if config.importance_path:
+        save_importance(importance, model_id, config.importance_path)
+    return model_id
+
+
 @dataclass
 class Prepared:
     """Cleaned, labelled and split rows."""
@@ -98,14 +160,16 @@ def prepare(
     if problem_type not in alg.ALIASES:
         raise ValueError(f"unknown problem type '{problem_type}'")
     enable_checkpoints(df.sparkSession)
-    cleaned = clean(normalize_missing(df), target, keep=[key])
+    cleaned = clean(normalize_missing(df), target, keep=[key], limit=config.max_levels)
     columns = [c for c in cleaned.data.columns if c not in (target, key)]
-    classes = mod.class_names(cleaned.data, target) if problem_type == "classification" else []
+    classes: list[str] = []
+    if problem_type == "classification":
+        classes = mod.class_names(cleaned.data, target, config.max_classes)
     label = mod.label_column(target, problem_type, classes)
     labelled = cleaned.data.withColumn(LABEL, F.nanvl(label, F.lit(None).cast("double")))
     usable = labelled.filter(F.col(LABEL).isNotNull())
     train, test = split(usable, key, 0.2, exact=config.exact_split)
-    folds = max(config.cv_folds, 1)
+    folds = config.folds
     if config.exact_folds:
         stratify = LABEL if problem_type == "classification" else None
         train = rank_folds(train, key, folds, stratify, FOLD)
@@ -175,6 +239,7 @@ class AutoMLResult:
     train_size: int
     test_size: int
     total_training_time_seconds: float
+    model_id: str | None = None
 
 
 def automl(
@@ -188,21 +253,37 @@ def automl(
     algorithms: Sequence[str] | None = None,
     config: TrainingConfig | None = None,
 ) -> AutoMLResult:
-    """Cross-validate every candidate, refit the best on all training rows, judge it on test."""
-    config = config or TrainingConfig()
-    config.cv_folds = cv_folds
+    """Cross-validate every candidate, refit the best on all training rows, judge it on test.
+
+    With the folders of ``config`` set, the model is saved and registered and its
+    importances are stored.
+    """
+    config = replace(config or TrainingConfig(), cv_folds=cv_folds)
+    scaling = scaling_method if use_feature_engineering else None
+    with recorded(config):
+        return _automl(df, target, problem_type, key, scaling, algorithms, config)
+
+
+def _automl(
+    df: DataFrame,
+    target: str,
+    problem_type: str,
+    key: str,
+    scaling: str | None,
+    algorithms: Sequence[str] | None,
+    config: TrainingConfig,
+) -> AutoMLResult:
     spark = df.sparkSession
     config.note("running", phase="data_validation", progress=5.0)
     ready = prepare(df, target, problem_type, key, config)
-    scaling = scaling_method if use_feature_engineering else None
     config.note("running", phase="algorithm_selection", progress=30.0)
     names = list(algorithms or alg.candidates(problem_type))
     for n in names:
         alg.resolve(n, problem_type)
+    recipe = _recipe(ready, problem_type, scaling, config)
     trials = mod.cross_validate(
-        ready.train, ready.columns, names, problem_type, ready.classes, cv_folds,
-        scaling, config.effort, parallelism=config.parallelism,
-    )
+        ready.train, names, recipe, config.cv_folds, parallelism=config.parallelism
+    )
     board = leaderboard_frame(spark, trials, problem_type)
     for t in trials:
         config.note(
@@ -214,10 +295,12 @@ def automl(
         if t.mean is not None and (best is None or t.mean > best.mean):
             best = t
     if best is None:
-        config.note("failed", phase="model_training", level="ERROR")
-        raise NoAlgorithmSucceeded(board, len(names))
+        causes = failure_causes(ready.train, ready.columns, config.cv_folds, problem_type, trials)
+        raise NoAlgorithmSucceeded(board, len(names), causes)
     config.note("running", phase="model_training", progress=85.0, algorithm=best.algorithm)
-    model = _refit(ready, best.algorithm, target, problem_type, scaling, config)[0]
+    model = _refit(ready, best.algorithm, target, recipe, config)[0]
+    importance = mod.feature_importance(model)
+    model_id = publish(model, importance, best.mean, config)
     config.note("completed", phase="evaluation", progress=100.0, algorithm=best.algorithm)
     return AutoMLResult(
         leaderboard=board,
@@ -225,45 +308,49 @@ def automl(
         best_score=best.mean,
         model=model,
         metrics=final_metrics(part_metrics(model, ready.train, ready.test)),
-        feature_importance=mod.feature_importance(model),
+        feature_importance=importance,
         issues=ready.cleaned.issues,
         train_size=ready.train_size,
         test_size=ready.test_size,
         total_training_time_seconds=sum(t.seconds for t in trials),
+        model_id=model_id,
     )
 
 
+def _recipe(
+    ready: Prepared, problem_type: str, scaling: str | None, config: TrainingConfig
+) -> mod.FoldRecipe:
+    return mod.FoldRecipe(
+        ready.columns, problem_type, ready.classes, scaling, config.effort,
+        config.n_features, config.polynomial_degree, config.max_levels,
+    )
+
+
 def _refit(
     ready: Prepared,
     algorithm: str,
     target: str,
-    problem_type: str,
-    scaling: str | None,
+    recipe: mod.FoldRecipe,
     config: TrainingConfig,
     tuned: bool = False,
 ) -> tuple[mod.FittedModel, dict[str, Any]]:
-    plan = fit_features(ready.train, ready.columns, scaling)
-    kernel = alg.resolve(algorithm, problem_type) in alg.KERNEL_ALGORITHMS
-    matrix = mod.build_matrix(
-        ready.train, plan, problem_type, kernel, config.effort,
-        config.n_features, config.polynomial_degree,
-    )
+    """The model fitted on all training rows, with tuned settings where asked."""
+    problem_type = recipe.problem_type
+    params: dict[str, Any] = {}
+    if tuned:
+        try:
+            params, _ = mod.tune(
+                ready.train, algorithm, recipe, config.folds, config.tuning_search_type,
+                config.tuning_iterations, config.parallelism,
+            )
+        except Exception as problem:
+            warnings.warn(f"tuning failed, default settings kept: {problem}", stacklevel=2)
+    matrix = recipe.matrix(ready.train, alg.resolve(algorithm, problem_type) in alg.KERNEL_ALGORITHMS)
     matrix.vectors.persist()
     try:
-        shape = mod.train_shape(
-            matrix.vectors, problem_type, ready.classes, len(matrix.names)
-        )
-        params: dict[str, Any] = {}
-        if tuned:
-            try:
-                params, _ = mod.tune(
-                    matrix, algorithm, problem_type, shape, config.effort, max(config.cv_folds, 2),
-                    config.tuning_search_type, config.tuning_iterations, config.parallelism,
-                )
-            except Exception as problem:
-                warnings.warn(f"tuning failed, default settings kept: {problem}", stacklevel=2)
+        shape = mod.train_shape(matrix.vectors, problem_type, ready.classes, len(matrix.names))
         fitted = mod.fit_stages(
-            matrix.vectors, algorithm, problem_type, shape, config.effort, params
+            matrix.vectors, algorithm, problem_type, shape, recipe.effort, params
         )
     finally:
         matrix.vectors.unpersist()
@@ -279,6 +366,7 @@ class TrainingResult:
     feature_importance: DataFrame
     issues: DataFrame
     best_params: dict[str, Any]
+    model_id: str | None = None
 
 
 SCORES_SCHEMA = (
@@ -300,16 +388,27 @@ def train(
     key: str,
     config: TrainingConfig | None = None,
 ) -> TrainingResult:
-    """Fit one algorithm and score it on train, test and cross-validation folds."""
+    """Fit one algorithm and score it on train, test and cross-validation folds.
+
+    With the folders of ``config`` set, the model is saved and registered and its
+    importances are stored.
+    """
     config = config or TrainingConfig()
     alg.resolve(algorithm, problem_type)
+    with recorded(config):
+        return _train(df, target, algorithm, problem_type, key, config)
+
+
+def _train(
+    df: DataFrame, target: str, algorithm: str, problem_type: str, key: str,
+    config: TrainingConfig,
+) -> TrainingResult:
     ready = prepare(df, target, problem_type, key, config)
     scaling = config.scaling_method if config.use_feature_engineering else None
     config.note("running", phase="training", progress=50.0, algorithm=algorithm)
     start = time.time()
-    model, params = _refit(
-        ready, algorithm, target, problem_type, scaling, config, config.tune_hyperparameters
-    )
+    recipe = _recipe(ready, problem_type, scaling, config)
+    model, params = _refit(ready, algorithm, target, recipe, config, config.tune_hyperparameters)
     seconds = time.time() - start
     parts = part_metrics(model, ready.train, ready.test)
     score = "accuracy" if problem_type == "classification" else "r2"
@@ -318,9 +417,10 @@ def train(
     trial = mod.Trial(algorithm)
     if config.cv_folds > 1:
         trial = mod.cross_validate(
-            ready.train, ready.columns, [algorithm], problem_type, ready.classes,
-            config.cv_folds, scaling, config.effort, params, config.parallelism,
-        )[0]
+            ready.train, [algorithm], recipe, config.cv_folds, params, config.parallelism
+        )[0]
+    importance = mod.feature_importance(model)
+    model_id = publish(model, importance, on_test, config)
     config.note(
         "completed", phase="evaluation", progress=100.0, algorithm=algorithm, score=on_test
     )
@@ -333,9 +433,10 @@ def train(
         model=model,
         scores=to_frame(df.sparkSession, [row], SCORES_SCHEMA),
         metrics=final_metrics(parts),
-        feature_importance=mod.feature_importance(model),
+        feature_importance=importance,
         issues=ready.cleaned.issues,
         best_params=params,
+        model_id=model_id,
     )
 
 

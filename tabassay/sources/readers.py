@@ -14,13 +14,14 @@ from tabassay.functions.missing import NA_TOKENS, normalize_missing, quoted
 from tabassay.operators.frames import aggregate
 
 
-# Types tried in order, and the form a text must have for the later ones.
+# Types tried in order, and the form a text must have: a cast alone also takes codes such as 1D.
 _KINDS = {
-    "bigint": None,
-    "double": None,
+    "bigint": r"^\s*[+-]?\d+\s*$",
+    "double": r"^\s*(?i)[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$",
     "boolean": r"^(?i)(true|false)$",
     "date": r"^\d{4}-\d{2}-\d{2}$",
-    "timestamp_ntz": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}",
+    "timestamp_ntz": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$",
+    "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$",
 }
 
 
@@ -48,8 +49,7 @@ def _infer(strings: DataFrame) -> DataFrame:
         c = quoted(name)
         exprs.append(F.count(c).alias(f"n_{i}"))
         for kind, pattern in _KINDS.items():
-            fits = c.try_cast(kind)
-            fits = F.when(c.rlike(pattern), fits) if pattern else fits
+            fits = F.when(c.rlike(pattern), c.try_cast(kind))
             exprs.append(F.count(fits).alias(f"{kind}_{i}"))
     row = aggregate(strings, exprs)
     out = []

@@ -16,14 +16,22 @@ from tabassay.operators.selection import kth_smallest
 MULTIPLIER = 2654435761
 MODULUS = 4294967296
 KEY_RANGE = 2147483648
+HIGH_MULTIPLIER = 40503
 
 
 def key_hash(df: DataFrame, key: str, seed: int = 42) -> Column:
-    """A hash in ``[0, 2^32)``; integral keys use arithmetic any SQL engine repeats."""
+    """A hash in ``[0, 2^32)``; integral keys use arithmetic any SQL engine repeats.
+
+    The high bits of a key are folded into the low ones before the multiplication, so
+    keys that differ in either spread alike.
+    """
     c = quoted(key)
     if isinstance(df.schema[key].dataType, T.IntegralType):
-        low = F.pmod(c.cast("bigint"), F.lit(KEY_RANGE))
-        return F.pmod(low * F.lit(MULTIPLIER) + F.lit(seed), F.lit(MODULUS))
+        whole = c.cast("bigint")
+        high = F.pmod(F.shiftright(whole, 31), F.lit(KEY_RANGE))
+        low = F.pmod(whole, F.lit(KEY_RANGE)) + high * F.lit(HIGH_MULTIPLIER)
+        folded = F.pmod(low, F.lit(KEY_RANGE))
+        return F.pmod(folded * F.lit(MULTIPLIER) + F.lit(seed), F.lit(MODULUS))
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(MODULUS))
 
 
@@ -56,7 +64,8 @@ def lowest_hashed(df: DataFrame, key: str, n: int, total: int, seed: int = 42) -
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows chosen by key hash, or all rows when there are no more than ``n``.
 
-    Only rows on the last hash are ordered; with unique keys that is hardly ever two.
+    Only rows on the last hash are ordered; with unique keys that is hardly ever two, and
+    each task keeps no more of them than are wanted.
     """
     require_column(df, key)
     total = df.count()
