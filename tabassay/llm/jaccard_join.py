@@ -10,9 +10,9 @@ coarse groups they agree on one wholly. A set therefore goes into one cell for e
 its coarse groups, named by the hash of what it holds there, for its own band of sizes
 and, where it could be the larger one, for the bands below. Cells with one class end here.
 
-In a cell, classes are first linked to its least class (for each class only to the one
-it shares most cells with), verified, and joined into components, so that a cell of
-many near copies needs no pairs inside a component. Then an R-tree over the points of
+In a cell, classes are first held against its least class, verified, and the linked
+ones joined into components, so that a cell of many near copies needs no pairs inside
+a component. Then an R-tree over the points of
 every cell that holds several components gives the pairs of different components whose
 bound reaches the overlap they need; these are verified whole. Cells of many classes
 are dealt out as pairs of blocks.
@@ -42,8 +42,8 @@ SHINGLE_WORDS = 3
 PERCENT = 90
 #: Sizes up to these bounds are one band, each this many times the one before.
 BAND_RATIO = 1.37
-#: Groups whose counts are a point's coordinates.
-GROUPS = 128
+#: Groups whose counts are a point's coordinates; boxes hold sums of so many of them.
+GROUPS, COARSE = 512, 4
 #: Classes of a cell that are one block, and blocks of a cell at most.
 BLOCK, BLOCKS = 256, 64
 LEAF = 32
@@ -140,9 +140,11 @@ def cells_of(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def point_of(hashes: np.ndarray) -> bytes:
-    """Counts of the groups, in the least of 1, 2 or 4 bytes each."""
+    """Counts of the groups, in the least of a half, 1, 2 or 4 bytes each."""
     counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
     most = counts.max()
+    if most < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
     kind = np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32
     return counts.astype(kind).tobytes()
 
@@ -150,12 +152,33 @@ def point_of(hashes: np.ndarray) -> bytes:
 _KINDS = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
 
 
+def _halves(raw: np.ndarray) -> np.ndarray:
+    return np.stack([raw & 15, raw >> 4], axis=-1).reshape(*raw.shape[:-1], GROUPS)
+
+
 def read_points(points: list[bytes]) -> np.ndarray:
-    """Points as rows; of one byte for each count where all are."""
+    """Points as rows; of one byte for each count where all are small."""
     raw = b"".join(points)
-    if len(raw) == GROUPS * len(points):
-        return np.frombuffer(raw, dtype=np.uint8).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(p, dtype=_KINDS[len(p)]).astype(np.uint32) for p in points])
+    if len(raw) == GROUPS // 2 * len(points):
+        return _halves(np.frombuffer(raw, dtype=np.uint8).reshape(len(points), GROUPS // 2))
+    return np.stack(
+        [
+            _halves(np.frombuffer(p, dtype=np.uint8)).astype(np.uint32)
+            if len(p) == GROUPS // 2
+            else np.frombuffer(p, dtype=_KINDS[len(p)]).astype(np.uint32)
+            for p in points
+        ]
+    )
+
+
+def coarse(points: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring groups: their minima bound the overlap too, if less closely."""
+    return points.reshape(len(points), GROUPS // COARSE, COARSE).sum(axis=2, dtype=np.uint32)
+
+
+def reached(one: np.ndarray, two: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the summed coordinate minima of each pair of rows reach what it needs."""
+    return np.minimum(one, two).sum(axis=1, dtype=np.int64) >= need
 
 
 class CountTree:
@@ -167,10 +190,11 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
         self.percent = percent
-        self.order = self._tiled(points, sizes)
+        sums = coarse(points)
+        self.order = self._tiled(sums, sizes)
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        high, small = self.points, self.sizes
+        high, small = sums[self.order], self.sizes
         while len(high) > LEAF:
             cuts = np.arange(0, len(high), LEAF)
             high = np.maximum.reduceat(high, cuts, axis=0)
@@ -198,12 +222,12 @@ class CountTree:
         """Pairs (query, number of the point) whose bound reaches what they need."""
         query = np.arange(len(points))
         if self.levels:
-            at = np.zeros(len(points), dtype=np.int64)
+            sums = coarse(points)
             top = self.levels[-1][0]
             query, at = np.repeat(query, len(top)), np.tile(np.arange(len(top)), len(points))
             for high, small in reversed(self.levels):
                 inside = at < len(high)
-                query, at = self._kept(points, sizes, query[inside], at[inside], high, small)
+                query, at = self._kept(sums, sizes, query[inside], at[inside], high, small)
                 query, at = np.repeat(query, LEAF), (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             inside = at < len(self.points)
             query, at = query[inside], at[inside]
@@ -217,9 +241,8 @@ class CountTree:
         keep = np.zeros(len(query), dtype=bool)
         for start in range(0, len(query), 16384):
             q, a = query[start : start + 16384], at[start : start + 16384]
-            bound = np.minimum(points[q], high[a]).sum(axis=1, dtype=np.int64)
-            least = overlap_needed(sizes[q], small[a], self.percent)
-            keep[start : start + 16384] = bound >= least
+            need = overlap_needed(sizes[q], small[a], self.percent)
+            keep[start : start + 16384] = reached(points[q], high[a], need)
         return query[keep], at[keep]
 
 
@@ -326,7 +349,7 @@ class _Asked:
 
     def small(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs inside groups of rows that are one leaf each."""
-        found = []
+        found, sums = [], coarse(self.points)
         for apart in range(1, LEAF):
             one = np.flatnonzero((group[apart:] == group[:-apart]) & (group[apart:] >= 0))
             if not len(one):
@@ -336,8 +359,10 @@ class _Asked:
             one, two = one[keep], two[keep]
             for start in range(0, len(one), 16384):
                 a, b = one[start : start + 16384], two[start : start + 16384]
-                bound = np.minimum(self.points[a], self.points[b]).sum(axis=1, dtype=np.int64)
-                near = bound >= overlap_needed(self.sizes[a], self.sizes[b], self.percent)
+                need = overlap_needed(self.sizes[a], self.sizes[b], self.percent)
+                near = reached(sums[a], sums[b], need)
+                a, b, need = a[near], b[near], need[near]
+                near = reached(self.points[a], self.points[b], need)
                 found.append((a[near], b[near]))
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -421,10 +446,8 @@ def similar_components(
     )
     sets = cut(_sets_of(docs, classes.select("cls", "id"), words))
 
-    stars = (
-        cells.filter("cls != low").groupBy("cls", "low").count().groupBy("cls")
-        .agg(F.max(F.struct("count", "low"))["low"].alias("a")).select("a", F.col("cls").alias("b"))
-    )
+    stars = cells.filter("cls != low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    stars = stars.distinct()
     links = cut(_verified(stars, sets, percent))
     parts = components(links).toDF("cls", "part")
 
