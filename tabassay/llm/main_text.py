@@ -4,7 +4,8 @@ Every node of a page's tree gets its characters, tags, link characters and link
 Its composite density is characters per tag, adjusted by how much of it is links. The
 node with the largest sum of child densities holds the article; the least density on
 the path from it to the body is the threshold. The article element around that node
-is the main text; without one, every outermost node at or above the threshold is.
+is the main text, or the one that holds half of the page; without one, every outermost
+node at or above the threshold is.
 Menus, page headers, footers, sidebars, notices, adverts, forms and reader comments
 are told by element, role, class and id and never count.
 
@@ -212,6 +213,10 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _chars(node: Node) -> int:
+    return node.chars
+
+
 def contents(root: Node) -> list[Node]:
     """The nodes whose text is the main text, in page order."""
     nodes = measure(root)
@@ -227,6 +232,9 @@ def contents(root: Node) -> list[Node]:
     for node in path:
         if node.tag in ("article", "main"):
             return [node]
+    framed = max((n for n in nodes if n.tag in ("article", "main")), key=_chars, default=None)
+    if framed is not None and 2 * framed.chars >= root.chars:
+        return [framed]
     threshold = min(n.density for n in path)
     whole = [n for n in path if n.tag in ("body", "html")][0]
     chosen, waiting = [], [whole]

@@ -15,6 +15,7 @@ from tabassay.llm.jaccard_join import similar_components
 from tabassay.llm.language import held_out, identify, learn
 from tabassay.llm.license_scan import scan_licenses
 from tabassay.llm.main_text import extract_main_text
+from tabassay.llm.oracle import COSINE, JACCARD, licenses
 from tabassay.llm.packing import pack, token_pieces
 from tabassay.llm.secret_scan import find_secrets, joined
 from tabassay.llm.sharding import shard_by_ring
@@ -126,11 +127,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKS = {
     "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_secret_scans": (op2_secret_scans, None),
-    "op4_jaccard_join": (op4_jaccard_join, None),
+    "op4_jaccard_join": (op4_jaccard_join, JACCARD),
     "op5_language_id": (op5_language_id, None),
-    "op6_license_scans": (op6_license_scans, None),
+    "op6_license_scans": (op6_license_scans, licenses()),
     "op7_html_extraction": (op7_html_extraction, None),
-    "op8_embedding_dedup": (op8_embedding_dedup, None),
+    "op8_embedding_dedup": (op8_embedding_dedup, COSINE),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
