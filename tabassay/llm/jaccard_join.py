@@ -10,12 +10,12 @@ coarse groups they agree on one wholly. A set therefore goes into one cell for e
 its coarse groups, named by the hash of what it holds there, for its own band of sizes
 and, where it could be the larger one, for the bands below. Cells with one class end here.
 
-In a cell, classes are first held against its least class, verified, and the linked
-ones joined into components, so that a cell of many near copies needs no pairs inside
-a component. Then an R-tree over the points of
-every cell that holds several components gives the pairs of different components whose
-bound reaches the overlap they need; these are verified whole. Cells of many classes
-are dealt out as pairs of blocks.
+Cells with the same least class are one, their union. In it, classes are first held
+against the least class and the linked ones joined into components, so that many near
+copies need no pairs inside a component. Then an R-tree over the points of every cell
+that still holds several components gives the pairs of different components whose
+bound reaches the overlap they need. Pairs that pass the bound are verified whole.
+Cells of many classes are dealt out as pairs of blocks.
 
 Defined results: a text without words, or null, is empty, in no component but its
 own; a row without an id is linked with nothing and its component is null; a repeated
@@ -392,6 +392,20 @@ class _Asked:
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def _near_stars(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bound reaches the overlap they need."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            need = overlap_needed(batch["a_n"].to_numpy(), batch["b_n"].to_numpy(), percent)
+            one, two = (read_points(batch[c].tolist()) for c in ("a_point", "b_point"))
+            yield batch.loc[reached(one, two, need), ["a", "b"]]
+
+    points = classes.select("cls", "n", "point")
+    left, right = points.toDF("a", "a_n", "a_point"), points.toDF("b", "b_n", "b_point")
+    return stars.join(left, "a").join(right, "b").mapInPandas(near, "a long, b long")
+
+
 def _near_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs from rows (cell, one, two, block, cls, n, point, part)."""
 
@@ -436,27 +450,30 @@ def similar_components(
     dealt = known.select("cls", F.explode("cells").alias("cell"))
     shared = dealt.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
     shared = shared.filter("low != high").select("cell", "low")
-    cells = cut(dealt.join(shared, "cell").select("cell", "low", "cls").distinct())
+    stars = dealt.join(shared, "cell").filter("cls != low").select("low", "cls").distinct()
+    stars = cut(stars.toDF("a", "b"))
+    cells = stars.toDF("cell", "cls").union(stars.select("a", "a").distinct().toDF("cell", "cls"))
 
-    wanted = cells.select("cls").distinct()
     classes = cut(
-        known.join(wanted, "cls", "left_semi")
+        known.join(cells.select("cls").distinct(), "cls", "left_semi")
         .groupBy("cls")
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"))
     )
-    sets = cut(_sets_of(docs, classes.select("cls", "id"), words))
 
-    stars = cells.filter("cls != low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
-    stars = stars.distinct()
-    links = cut(_verified(stars, sets, percent))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("cls")
+        wanted = cut(classes.join(ends, "cls").select("cls", "id"))
+        return cut(_verified(pairs, _sets_of(docs, wanted, words), percent))
+
+    links = verified(_near_stars(stars, classes, percent))
     parts = components(links).toDF("cls", "part")
 
-    parted = cells.select("cell", "cls").join(parts, "cls", "left")
-    parted = parted.withColumn("part", F.coalesce("part", "cls"))
+    parted = cells.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     several = (
         parted.groupBy("cell")
         .agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("cls").alias("held"))
-        .filter("p != q")
+        .filter("p != q AND held > 2")  # the least class itself is held against all
         .select("cell", F.least(F.ceil(F.col("held") / BLOCK), F.lit(BLOCKS)).alias("blocks"))
     )
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
@@ -469,7 +486,7 @@ def similar_components(
             "block", "cls", "n", "point", "part",
         )
     )
-    more = _verified(_near_pairs(asked, percent), sets, percent)
+    more = verified(_near_pairs(asked, percent))
     linked = components(links.union(more)).toDF("cls", "part")
 
     ids = known.groupBy("cls").agg(F.min("id").alias("low"))
