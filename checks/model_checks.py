@@ -19,8 +19,6 @@ from tabassay.sources import sinks
 from tabassay.sources.readers import read_csv
 from tabassay.streaming.scoring import score_arrivals
 
-EFFORT = alg.Effort(trees=10, rounds=10, tree_depth=5, iterations=25, kernel_width=16)
-
 
 def class_rows(spark, d):
     """Events with a learnable class and some missing values."""
@@ -62,7 +60,7 @@ SLOPES = {
 
 
 def _config(**options):
-    defaults = {"cv_folds": 0, "effort": EFFORT, "use_feature_engineering": True}
+    defaults = {"cv_folds": 0, "use_feature_engineering": True}
     return tr.TrainingConfig(**(defaults | options))
 
 
@@ -104,36 +102,89 @@ def _line_sql(name: str) -> str:
       count(*) FILTER (WHERE test) AS test_size FROM rows_, st"""
 
 
-def _scores(result):
-    """Scores without the wall clock."""
-    return result.scores.drop("training_time_seconds")
+def _rows_and_key(spark, d, problem_type):
+    if problem_type == "classification":
+        return class_rows(spark, d), "event_id"
+    return reg_rows(spark, d), "l_orderkey"
+
+
+def _constant_score(rows, problem_type):
+    """What predicting one constant scores: the largest class share, or an R2 of 0."""
+    if problem_type == "regression":
+        return F.lit(0.0)
+    sizes = rows.groupBy("target").count()
+    return F.lit(float(sizes.agg(F.max("count") / F.sum("count")).first()[0]))
+
+
+def _facts(result, rows, problem_type):
+    """What SQL can say of a training run: its parts, its features, and that it learned."""
+    best = _constant_score(rows, problem_type)
+    return result.scores.select(
+        "algorithm", "problem_type", "train_size", "test_size", "n_features",
+        "rows_without_label", (F.col("test_score") > best).alias("learned"),
+    )
+
+
+PART_SIZES = {
+    "classification": """SELECT count(*) FILTER (WHERE NOT test) AS train_size,
+      count(*) FILTER (WHERE test) AS test_size,
+      CAST(2 + count(DISTINCT event_type) FILTER (WHERE NOT test) - 1 AS INTEGER) AS n_features
+      FROM (SELECT *, (((event_id % 2147483648) * 2654435761 + 42) % 4294967296) % 100 < 20
+        AS test FROM events)""",
+    "regression": """SELECT count(*) FILTER (WHERE NOT test) AS train_size,
+      count(*) FILTER (WHERE test) AS test_size,
+      CAST(3 + count(DISTINCT l_returnflag) FILTER (WHERE NOT test) - 1 AS INTEGER) AS n_features
+      FROM (SELECT *, (((l_orderkey % 2147483648) * 2654435761 + 42) % 4294967296) % 100 < 20
+        AS test FROM lineitem)""",
+}
+
+
+def _facts_sql(algorithm, problem_type, features="n_features", sizes=None):
+    return f"""SELECT '{algorithm}' AS algorithm, '{problem_type}' AS problem_type, train_size,
+      test_size, {features} AS n_features, CAST(0 AS BIGINT) AS rows_without_label,
+      true AS learned FROM ({sizes or PART_SIZES[problem_type]})"""
 
 
-def _train(algorithm, problem_type):
+def _train(algorithm, problem_type, **options):
     def run(spark, d):
-        rows, key = (
-            (class_rows(spark, d), "event_id")
-            if problem_type == "classification"
-            else (reg_rows(spark, d), "l_orderkey")
-        )
-        return _scores(tr.train(rows, "target", algorithm, problem_type, key, _config()))
+        rows, key = _rows_and_key(spark, d, problem_type)
+        result = tr.train(rows, "target", algorithm, problem_type, key, _config(**options))
+        return _facts(result, rows, problem_type)
 
     return run
 
 
+# Ensembles of a hundred trees on five folds would only repeat what the others show.
+AUTOML = {"classification": ["logistic", "decision_tree"], "regression": ["linear", "ridge", "lasso"]}
+
+
 def _automl(problem_type):
     def run(spark, d):
-        rows, key = (
-            (class_rows(spark, d), "event_id")
-            if problem_type == "classification"
-            else (reg_rows(spark, d), "l_orderkey")
+        rows, key = _rows_and_key(spark, d, problem_type)
+        found = tr.automl(
+            rows, "target", problem_type, key, algorithms=AUTOML[problem_type], config=_config()
         )
-        found = tr.automl(rows, "target", problem_type, key, cv_folds=3, config=_config())
-        return found.leaderboard.drop("training_time_seconds")
+        best = _constant_score(rows, problem_type)
+        ranks = found.leaderboard.agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+        return found.leaderboard.crossJoin(ranks).select(
+            "algorithm", "status", (F.col("score") > best).alias("learned"),
+            F.array_join("ranks", ",").alias("ranks"),
+        )
 
     return run
 
 
+def _automl_sql(problem_type):
+    names = AUTOML[problem_type]
+    ranks = ",".join(str(k + 1) for k in range(len(names)))
+    return union(
+        [
+            f"SELECT '{n}' AS algorithm, 'completed' AS status, true AS learned, '{ranks}' AS ranks"
+            for n in names
+        ]
+    )
+
+
 def _saved_line(spark, d):
     """A one-feature model after a save and a load."""
     path = fresh_dir(spark, "model")
@@ -168,8 +219,13 @@ SCORE_SQL = f"""{_fit_ctes("linear")} SELECT l_orderkey, x AS l_quantity,
 def _class_scores(spark, d):
     rows = class_rows(spark, d)
     result = tr.train(rows, "target", "logistic", "classification", "event_id", _config())
+    p, q = F.col("probability")["1"], F.col("probability")["0"]
+    close = F.abs(p - 0.5) < 1e-4  # both sides of a tie round to the same chance
     return mod.predict(result.model, rows).select(
-        "event_id", "prediction", F.col("probability")["1"].alias("p"), "confidence"
+        "event_id",
+        (F.abs(p + q - 1) < 2e-4).alias("sums_to_one"),
+        (close | ((p > 0.5) == (F.col("prediction") == "1"))).alias("follows_chance"),
+        (F.col("confidence") == F.greatest(p, q)).alias("confidence_is_largest"),
     )
 
 
@@ -188,11 +244,30 @@ def _importance(algorithm, problem_type):
             if problem_type == "classification"
             else (reg_rows(spark, d), "l_orderkey")
         )
-        return tr.train(rows, "target", algorithm, problem_type, key, _config()).feature_importance
+        found = tr.train(rows, "target", algorithm, problem_type, key, _config())
+        return found.feature_importance
 
     return run
 
 
+def _importance_facts(algorithm, problem_type):
+    def run(spark, d):
+        return _importance(algorithm, problem_type)(spark, d).agg(
+            F.count(F.lit(1)).cast("int").alias("features"),
+            F.round(F.sum("importance"), 2).alias("total"),
+            F.max("rank").alias("last_rank"),
+        )
+
+    return run
+
+
+# Coefficients of the standardised features follow from how the target is made.
+TOP_FEATURES = """SELECT CAST(row_number() OVER (ORDER BY s DESC) AS INTEGER) AS rank, feature
+  FROM (SELECT 'l_quantity' AS feature, 3 * stddev_pop(l_quantity) AS s FROM lineitem
+    UNION ALL SELECT 'l_discount', 200 * stddev_pop(l_discount) FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', 0.001 * stddev_pop(l_extendedprice) FROM lineitem)"""
+
+
 REG_FOLDS = f"""SELECT *, (((l_orderkey % 2147483648) * 2654435761 + 7) % 4294967296 // 1024) % 5
   AS fold FROM ({REG_ROWS}) WHERE NOT test"""
 
@@ -322,53 +397,87 @@ def _select_top(spark, d):
 
 
 def _polynomial(spark, d):
-    config = _config(polynomial_degree=2)
-    return _scores(
-        tr.train(
-            reg_rows(spark, d).drop("l_returnflag"), "target", "ridge", "regression",
-            "l_orderkey", config,
-        )
+    return tr.train(
+        reg_rows(spark, d).drop("l_returnflag"), "target", "ridge", "regression", "l_orderkey",
+        _config(polynomial_degree=2),
     )
 
 
 CHECKS = {
     **{f"train_{n}": (_line(n), _line_sql(n)) for n in SLOPES},
     **{
-        f"train_{n}": (_train(n, "classification"), None)
-        for n in ("logistic", "random_forest", "xgboost", "svm", "gradient_boosting", "decision_tree")
+        f"train_{n}": (_train(n, "classification"), _facts_sql(n, "classification"))
+        for n in ("random_forest", "xgboost", "gradient_boosting", "svm")
+    },
+    **{
+        f"train_{n}": (_train(n, "classification", cv_folds=5), _facts_sql(n, "classification"))
+        for n in ("logistic", "decision_tree")
     },
     **{
-        f"train_{n}_regression": (_train(n, "regression"), None)
+        f"train_{n}_regression": (_train(n, "regression"), _facts_sql(n, "regression"))
         for n in ("random_forest", "xgboost", "gradient_boosting", "decision_tree", "svr")
     },
-    "automl_classification": (_automl("classification"), None),
-    "automl_regression": (_automl("regression"), None),
+    "automl_classification": (_automl("classification"), _automl_sql("classification")),
+    "automl_regression": (_automl("regression"), _automl_sql("regression")),
     "train_job": (
-        lambda s, d: _scores(
+        lambda s, d: _facts(
             tr.train(
                 class_rows(s, d), "target", "decision_tree", "classification", "event_id",
-                _config(cv_folds=3, scaling_method="robust", exact_split=True, exact_folds=True),
-            )
+                _config(cv_folds=5, scaling_method="robust", exact_split=True, exact_folds=True),
+            ),
+            class_rows(s, d), "classification",
+        ),
+        _facts_sql(
+            "decision_tree", "classification",
+            sizes="""SELECT count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) AS train_size,
+            CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_size,
+            CAST(1 + count(DISTINCT event_type) AS INTEGER) AS n_features FROM events""",
         ),
-        None,
     ),
     "tuned": (
-        lambda s, d: _scores(
+        lambda s, d: _facts(
             tr.train(
-                class_rows(s, d), "target", "decision_tree", "classification", "event_id",
-                _config(cv_folds=2, tune_hyperparameters=True, tuning_search_type="random",
-                        tuning_iterations=3),
-            )
+                class_rows(s, d), "target", "logistic", "classification", "event_id",
+                _config(tune_hyperparameters=True),
+            ),
+            class_rows(s, d), "classification",
         ),
-        None,
+        _facts_sql("logistic", "classification"),
+    ),
+    "model_importance": (
+        _importance_facts("random_forest", "classification"),
+        f"""SELECT n_features AS features, CAST(1 AS DOUBLE) AS total, n_features AS last_rank
+        FROM ({PART_SIZES["classification"]})""",
+    ),
+    "linear_importance": (
+        lambda s, d: _importance("linear", "regression")(s, d)
+        .filter("rank <= 3").select("rank", "feature"),
+        TOP_FEATURES,
+    ),
+    "select_top_features": (
+        lambda s, d: _select_top(s, d).select("feature"),
+        f"""WITH t AS (SELECT *, 3 * l_quantity - 200 * l_discount + 0.001 * l_extendedprice
+          + (l_orderkey * 7919) % 11 AS y FROM lineitem WHERE NOT
+          (((l_orderkey % 2147483648) * 2654435761 + 42) % 4294967296) % 100 < 20)
+        SELECT feature FROM ({union([
+            f"SELECT '{f}' AS feature, abs({e}) AS c FROM t" for f, e in (
+                ("l_quantity", "corr(y, l_quantity)"), ("l_discount", "corr(y, l_discount)"),
+                ("l_extendedprice", "corr(y, l_extendedprice)"),
+                ("l_returnflag_N", "corr(y, (l_returnflag = 'N')::INT)"),
+                ("l_returnflag_R", "corr(y, (l_returnflag = 'R')::INT)"))
+        ])}) ORDER BY c DESC LIMIT 2""",
+    ),
+    "polynomial_features": (
+        lambda s, d: _facts(_polynomial(s, d), reg_rows(s, d), "regression"),
+        _facts_sql("ridge", "regression", "CAST(9 AS INTEGER)"),
     ),
-    "model_importance": (_importance("random_forest", "classification"), None),
-    "linear_importance": (_importance("linear", "regression"), None),
-    "select_top_features": (_select_top, None),
-    "polynomial_features": (_polynomial, None),
     "batch_score": (_batch_score, SCORE_SQL),
     "stream_score": (_stream_score, SCORE_SQL),
-    "class_scores": (_class_scores, None),
+    "class_scores": (
+        _class_scores,
+        """SELECT event_id, true AS sums_to_one, true AS follows_chance,
+        true AS confidence_is_largest FROM events""",
+    ),
     "explain": (
         _explain,
         f"""{_fit_ctes("linear")} SELECT l_orderkey AS row_key, 'l_quantity' AS feature,

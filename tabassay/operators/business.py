@@ -60,7 +60,8 @@ def business_impact(
 def sweep_aggregates(inside: Column | None = None) -> list[Column]:
     """Positives, and hits at every candidate threshold: no join, no extra rows."""
     y = F.col("y") if inside is None else F.when(inside, F.col("y"))
-    positive, negative = y == 1, y != 1
+    scored = F.col("p").isNotNull()
+    positive, negative = (y == 1) & scored, (y != 1) & scored
     exprs = [F.count_if(positive).alias("positives")]
     for i, t in enumerate(THRESHOLDS):
         hit = F.col("p") >= t

@@ -6,8 +6,9 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,29 @@ def _dense_block(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], f
     return out
 
 
+def _masked_sums(sums: _Sums, names: Sequence[str]) -> np.ndarray:
+    """Sums over all pairs of many columns with missing values, in one tree aggregation.
+
+    Each column becomes its mask, its centred value and the square of that, both 0 where
+    it is missing. The products of these, summed over the rows, are all that the
+    correlations over shared rows need; they follow from the covariances.
+    """
+    made = []
+    for n in names:
+        s = sums.slots[n]
+        d = F.coalesce(F.col(s) - F.lit(sums.base["mean_" + s]), F.lit(0.0))
+        made += [F.col(s).isNotNull().cast("double"), d, d * d]
+    parts = [c.alias(f"x{i}") for i, c in enumerate(made)]
+    assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(parts))], outputCol="__v")
+    vectors = assembler.transform(sums.narrow.select(*parts)).select("__v")
+    facts = vectors.select(Summarizer.metrics("mean", "std").summary(F.col("__v")).alias("f"))
+    mean, spread = (np.array(x.toArray()) for x in facts.first()["f"])
+    matrix = np.nan_to_num(Correlation.corr(vectors, "__v").first()[0].toArray())
+    np.fill_diagonal(matrix, (spread > 0).astype(float))
+    rows = sums.base["rows"]
+    return (rows - 1) * matrix * np.outer(spread, spread) + rows * np.outer(mean, mean)
+
+
 class _Sums:
     """Centred sums over the rows where two columns are present, each needed once.
 
@@ -118,12 +142,24 @@ def correlations(
         back = {s: n for n, s in sums.slots.items()}
         known = {frozenset((back[a], back[b])): r for (a, b), r in block.items()}
         found.update({p: known[frozenset(p)] for p in open_pairs if frozenset(p) in known})
-    parts = {p: sums.want(*p) for p in open_pairs if p not in found}
-    sums.compute()
+    rest = [p for p in open_pairs if p not in found]
+    if len(rest) > 4 * AGGREGATES_PER_SCAN:
+        used = list(dict.fromkeys(n for p in rest for n in p))
+        gram, place = _masked_sums(sums, used), {n: 3 * i for i, n in enumerate(used)}
+        values = {
+            (a, b): [
+                float(gram[i, j]), float(gram[i + 1, j]), float(gram[j + 1, i]),
+                float(gram[i + 2, j]), float(gram[j + 2, i]), float(gram[i + 1, j + 1]),
+            ]
+            for a, b in rest for i, j in [(place[a], place[b])]
+        }
+    else:
+        parts = {p: sums.want(*p) for p in rest}
+        sums.compute()
+        values = {p: [sums.values[k] or 0.0 for k in keys] for p, keys in parts.items()}
     unstable = []
-    for p, keys in parts.items():
-        n, sx, sy, qx, qy, sxy = (sums.values[k] or 0.0 for k in keys)
-        if n < 1:
+    for p, (n, sx, sy, qx, qy, sxy) in values.items():
+        if n < 0.5:
             found[p] = None
             continue
         vx, vy = qx / n - (sx / n) ** 2, qy / n - (sy / n) ** 2

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, PolynomialExpansion, UnivariateFeatureSelector
+from pyspark.ml.feature import IndexToString, PolynomialExpansion, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from tabassay.functions.scalars import confidence, probability_map
 from tabassay.operators import algorithms as alg
 from tabassay.operators import metrics
 from tabassay.operators.cleaning import MAX_LEVELS
+from tabassay.operators.correlation import class_target_strengths, target_correlations
 from tabassay.operators.features import (
     FOLD, KERNEL_VECTOR, LABEL, VECTOR, FeaturePlan, fill_absent_inputs, fit_features, kernel_stages,
 )
@@ -122,6 +123,22 @@ class Matrix:
     names: list[str]
 
 
+def top_features(data: DataFrame, vector: str, problem_type: str, n: int) -> list[int]:
+    """Places of the features with the largest F values, earlier ones first on ties.
+
+    At the same rows and classes F grows with the correlation, or with the correlation
+    ratio of the classes. P values would not do: on many rows they are all zero.
+    """
+    size = data.select(F.size(vector_to_array(F.col(vector)))).first()[0]
+    values = vector_to_array(F.col(vector))
+    names = [f"f{i}" for i in range(size)]
+    table = data.select(LABEL, *[values[i].alias(f) for i, f in enumerate(names)])
+    measure = class_target_strengths if problem_type == "classification" else target_correlations
+    found = {r["feature"]: r["correlation"] for r in measure(table, LABEL, names).collect()}
+    ranked = sorted(range(size), key=lambda i: (-abs(found[names[i]] or 0.0), i))
+    return sorted(ranked[:n])
+
+
 def build_matrix(
     train: DataFrame,
     plan: FeaturePlan,
@@ -149,15 +166,11 @@ def build_matrix(
         last = stages[-1] if degree is not None and degree > 1 else stages[1]
         last.setOutputCol("__all_features")
         data = data.withColumnRenamed(VECTOR, "__all_features")
-        selector = UnivariateFeatureSelector(
-            featuresCol="__all_features", outputCol=VECTOR, labelCol=LABEL,
-            selectionMode="numTopFeatures",
-        ).setFeatureType("continuous").setSelectionThreshold(n_features)
-        selector.setLabelType("categorical" if problem_type == "classification" else "continuous")
-        chosen = selector.fit(data)
-        data = chosen.transform(data)
-        stages.append(chosen)
-        names = [names[i] for i in chosen.selectedFeatures]
+        chosen = top_features(data, "__all_features", problem_type, n_features)
+        slicer = VectorSlicer(inputCol="__all_features", outputCol=VECTOR, indices=chosen)
+        data = slicer.transform(data)
+        stages.append(slicer)
+        names = [names[i] for i in chosen]
     keep = [VECTOR, LABEL, *([KERNEL_VECTOR] if kernel else [])]
     keep += [c for c in (FOLD,) if c in data.columns]
     return Matrix(plan, stages, data.select(*keep), names)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.functions.families import columns_of
+from tabassay.functions.hashes import hash_input, two_hashes
 from tabassay.functions.missing import is_missing, quoted
 from tabassay.functions.scalars import as_double
 from tabassay.functions.stats import percent, sample_shape
@@ -253,11 +254,23 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct non-missing values per column; ``approximate`` uses HyperLogLog sketches."""
+    """Distinct non-missing values per column; ``approximate`` uses HyperLogLog sketches.
+
+    The exact count moves a column number and a 128-bit hash for each distinct value, not
+    the values, and drops repeated ones before the shuffle.
+    """
     fields = [f for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    cols = {f.name: F.when(~is_missing(f), quoted(f.name)) for f in fields}
-    agg = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(*[agg(c).alias(f"u_{i}") for i, c in enumerate(cols.values())])
+    cols = [f.name for f in fields]
+    if approximate:
+        present = [F.when(~is_missing(f), quoted(f.name)) for f in fields]
+        row = df.agg(*[F.approx_count_distinct(c).alias(f"u_{i}") for i, c in enumerate(present)])
+    else:
+        marks = [
+            F.when(~is_missing(f), F.struct(F.lit(i).alias("i"), *two_hashes([hash_input(f)])))
+            for i, f in enumerate(fields)
+        ]
+        seen = df.select(F.inline(F.filter(F.array(*marks), lambda m: m.isNotNull()))).distinct()
+        row = seen.agg(*[F.count_if(F.col("i") == i).alias(f"u_{i}") for i in range(len(cols))])
     return one_row_per(
         row,
         [

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabassay.functions.missing import quoted
+from tabassay.functions.hashes import row_hashes
 from tabassay.functions.scalars import band
 from tabassay.functions.stats import percent
 
@@ -23,10 +23,11 @@ SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of identical rows, nulls being equal.
 
-    Copies are counted before the shuffle, so a row repeated in a third of the table
-    travels once per task.
+    Rows travel as 128-bit hashes of all their columns. Copies are counted before the
+    shuffle, so a row repeated in a third of the table travels once per task.
     """
-    copies = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = df.select(*row_hashes(df))
+    copies = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("__n"))
     return copies.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabassay.functions.scores import left_out, settled
 from tabassay.operators import algorithms as alg
-from tabassay.operators import business, correlation, curves, metrics, prefix, quality
+from tabassay.operators import business, correlation, curves, metrics, prefix, profile, quality
 from tabassay.operators import modeling as mod
 from tabassay.operators.features import FOLD, LABEL, fit_features
 from tabassay.operators.folds import hash_folds, rank_folds
@@ -235,3 +236,26 @@ def test_quality_keeps_bounds(spark):
     row = report.quality.first()
     assert 0 <= row["completeness"] <= 100
     assert quality.BANDS
+
+
+def test_correlations_of_many_columns_with_nulls(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 30)) @ rng.standard_normal((30, 30)) + 1000
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in x]
+    names = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
+    found, _ = correlation.correlations(df, pairs)
+    for a, b in pairs:
+        u, v = x[:, names.index(a)], x[:, names.index(b)]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        assert found[a, b] == pytest.approx(np.corrcoef(u[both], v[both])[0, 1], abs=1e-8)
+
+
+def test_hashed_counts_tell_values_apart(spark):
+    rows = [(None, "a", 0.0, [None, 1]), ("a", None, -0.0, [1]), ("a", None, 0.0, [1]), (None, "a", NAN, [1, None])]
+    df = spark.createDataFrame(rows, "a string, b string, c double, d array<int>")
+    assert quality.duplicates(df).first()["duplicate_rows"] == 1
+    counts = {r.column_name: r.unique_count for r in profile.unique_counts(df).collect()}
+    assert counts == {"a": 1, "b": 1, "c": 1, "d": 3}
