@@ -100,7 +100,12 @@ def numeric_profile(df: DataFrame, facts: Facts | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, facts: Facts | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles and max per numeric column."""
+    """Count, mean, std, min, quartiles and max per numeric column.
+
+    A table without numbers is described by its strings.
+    """
+    if facts is None and not columns_of(df, "numeric"):
+        return describe_strings(df)
     facts = facts or numeric_facts(df, shape=False)
     keys = ("count", "mean", "std", "min", "q25", "median", "q75", "max")
     rows = [(n, *(m[k] for k in keys)) for n, m in facts.numeric.items()]

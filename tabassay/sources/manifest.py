@@ -43,6 +43,16 @@ def list_datasets(table: DataFrame) -> DataFrame:
     return table.crossJoin(table.agg(F.count(F.lit(1)).alias("total")))
 
 
+def dataset_details(
+    df: DataFrame, dataset_id: str, name: str, path: str, key: str, rows: int = 5
+) -> DataFrame:
+    """The manifest row of a dataset with ``sample``, its first rows in key order as JSON."""
+    first = preview(df, key, rows).select(F.struct(*[quoted(c) for c in df.columns]).alias("r"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("r")[key].alias("k"), "r")))
+    sample = first.agg(F.transform(ordered, lambda x: F.to_json(x["r"])).alias("sample"))
+    return manifest_row(df, dataset_id, name, path).crossJoin(sample)
+
+
 def preview(df: DataFrame, key: str, rows: int = 10) -> DataFrame:
     """The first ``rows`` rows in key order."""
     require_column(df, key)

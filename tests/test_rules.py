@@ -18,6 +18,7 @@ from tabassay.plans import training as tr
 from tabassay.plans.eda import analyze
 from tabassay.plans.evaluation import evaluate_model
 from tabassay.session import fresh_dir
+from tabassay.sources.manifest import dataset_details
 from tabassay.sources.readers import read_csv
 from tabassay.sources.sampling import in_test_split
 
@@ -259,3 +260,16 @@ def test_hashed_counts_tell_values_apart(spark):
     assert quality.duplicates(df).first()["duplicate_rows"] == 1
     counts = {r.column_name: r.unique_count for r in profile.unique_counts(df).collect()}
     assert counts == {"a": 1, "b": 1, "c": 1, "d": 3}
+
+
+def test_tables_without_numbers_are_described(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
+    row = profile.describe(df).first()
+    assert (row["count"], row["unique"], row["top"], row["freq"]) == (2, 1, "a", 2)
+
+
+def test_dataset_details_hold_the_first_rows(spark):
+    df = spark.range(20).selectExpr("19 - id AS k", "concat('v', id) AS v")
+    row = dataset_details(df, "d", "name", "/path", "k").first()
+    assert (row["row_count"], row["column_count"]) == (20, 2)
+    assert row["sample"] == [f'{{"k":{k},"v":"v{19 - k}"}}' for k in range(5)]
