@@ -47,7 +47,7 @@ GROUPS, COARSE = 512, 4
 #: Classes of a cell that are one block, and blocks of a cell at most.
 BLOCK, BLOCKS = 256, 64
 LEAF = 32
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 #: Places of a broadcast set of hashes that thins out rows before a join.
 PLACES = 1 << 18
 

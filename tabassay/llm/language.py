@@ -5,9 +5,10 @@ it; sums of log chances of its letter pairs and triples score it in each of them
 Viterbi over the words of a text, with a penalty for each switch, labels spans of one
 language. The language with the most letters is the text's, its share is the score.
 
-The model is learned from at most ``sample`` labelled texts of each language (those
-of least hash, whole texts); its counts are summed by Spark, and what reaches the
-driver is bounded by languages times hash places.
+The model is learned from about ``sample`` labelled texts of each language, all where
+there are no more (whole texts, drawn by a hash below the share that is wanted); its
+counts are summed by Spark, and what reaches the driver is bounded by languages times
+hash places.
 
 Defined results: a null text and one without a letter is ``und`` with score 0, and so
 is every text when nothing was learned; equal shares go to the language that sorts
@@ -23,19 +24,20 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabassay.llm.tables import cut, small_batches
+from tabassay.llm.tables import small_batches
 
 UNKNOWN = "und"
 SAMPLE = 2000
+DRAWS = 1 << 31
 SWITCH_PENALTY = 12.0
 #: Texts of one batch; their words advance together, one step for each position.
 BATCH = 4000
 PLACES = 1 << 17
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: A language is written in a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 
@@ -113,21 +115,18 @@ def learn(
     """The model of the labelled rows of ``docs`` that are not held out."""
     small_batches(docs.sparkSession)
     known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)
-    order = F.xxhash64(F.lit(7), F.col(id_col))
+    order = F.pmod(F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)), F.lit(DRAWS))
     rows = docs.filter(known).select(
         F.col(lang_col).cast("string").alias("lang"), order.alias("at"), F.col(text_col).alias("t")
     )
-    ranked = rows.select("lang", "at").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    )
-    last = ranked.filter(F.col("nth") <= sample).groupBy("lang").agg(F.max("at").alias("last"))
-    limits = {r["lang"]: r["last"] for r in last.collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    limits = {lang: DRAWS * min(1.0, sample / n) for lang, n in sizes.items()}
     languages = sorted(limits)
     if not languages:
         return Model([], np.zeros((0, PLACES)), np.zeros((len(_NAMES), 0), dtype=bool))
     within = F.lit(False)
     for lang, limit in limits.items():
-        within |= (F.col("lang") == lang) & (F.col("at") <= limit)
+        within |= (F.col("lang") == lang) & (F.col("at") < limit)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -305,8 +304,8 @@ def identify(
                 _spans(t, labels[e - n : e], names) if n and names else []
                 for t, n, e in zip(plain, sizes, ends, strict=True)
             ]
-            out |= {c: [[s[k] for s in one] for one in found] for k, c in enumerate(("langs", "starts", "ends"))}
+            columns = enumerate(("langs", "starts", "ends"))
+            out |= {c: [[s[k] for s in one] for one in found] for k, c in columns}
         return pd.DataFrame(out)
 
-    found = F.pandas_udf(judge, kinds)(F.col(text_col))
-    return found
+    return F.pandas_udf(judge, kinds)(F.col(text_col))
