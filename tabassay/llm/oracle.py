@@ -27,6 +27,16 @@ low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)"""
 
+# Distances of the sign codes of all queries and rows.
+HAMMING = """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+  CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN
+    coalesce(a.embedding[i] > 0, false) <> coalesce(b.embedding[i] > 0, false)
+    THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+  AND len(a.embedding) > 0 AND len(b.embedding) > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM (SELECT *, row_number()
+  OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 10"""
+
 _FINITE = (
     "vec_id IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, "
     "lambda c: coalesce(isfinite(c), false))) AND list_bool_or(list_transform(e, lambda c: c <> 0))"

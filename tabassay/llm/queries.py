@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 import public_tokenizers
 from tabassay.llm.byte_bpe import ByteBpe, map_encoded
+from tabassay.llm.hamming_search import nearest_codes, sign_code
 from tabassay.llm.jaccard_join import similar_components
 from tabassay.llm.language import held_out, identify, learn
 from tabassay.llm.license_scan import scan_licenses
 from tabassay.llm.main_text import extract_main_text
-from tabassay.llm.oracle import COSINE, JACCARD, licenses
+from tabassay.llm.oracle import COSINE, HAMMING, JACCARD, licenses
 from tabassay.llm.packing import pack, token_pieces
 from tabassay.llm.secret_scan import find_secrets, joined
 from tabassay.llm.sharding import shard_by_ring
@@ -53,6 +54,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every fiftieth embedding among all embeddings."""
+    codes = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", sign_code("embedding").alias("code")
+    )
+    return nearest_codes(codes, codes.filter("vec_id % 50 = 0"), k=10)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by shingle similarity of 0.9 or more."""
     return similar_components(read_table(spark, sf_dir, "documents"))
@@ -127,6 +136,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKS = {
     "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_secret_scans": (op2_secret_scans, None),
+    "op3_topk_search": (op3_topk_search, HAMMING),
     "op4_jaccard_join": (op4_jaccard_join, JACCARD),
     "op5_language_id": (op5_language_id, None),
     "op6_license_scans": (op6_license_scans, licenses()),
