@@ -1,8 +1,12 @@
 """License statements as an exact set-similarity join of text blocks with templates.
 
-A block is a sentence or line; its set and a template's are their distinct words. A
-pair meets the threshold when the block holds at least that share of the template's
-words. Words are put in order of their frequency over all documents, rarest first.
+A block is a sentence or line, or a seam: the words around the end of a sentence or
+line, where statements stand that are wrapped or hold an abbreviation. For a template of
+n words a seam has the last n - 1 words of its sentence or line and the n - 1 words
+after it, so n words in a row lie in one block wherever they are cut. A block's set and a
+template's are their distinct words. A pair meets the threshold when the block holds at
+least that share of the template's words. Words are put in order of their frequency over
+all documents, rarest first.
 Then a block can only meet a template if it holds one of the template's few rarest
 words (prefix filter), has enough words (length filter), and enough words are left
 from the first common one on both sides (positional filter). What passes is verified
@@ -75,6 +79,47 @@ def word_frequencies(docs: DataFrame, words: Sequence[str], text_col: str = "tex
     return every.filter(F.col("word").isin(*words)).groupBy("word").count()
 
 
+def _seams(texts: DataFrame, id_col: str, reach: int) -> DataFrame:
+    """A row for each block and the ``reach`` words on either side of its end, nearest first."""
+    lines = F.transform(
+        F.split("text", BLOCK_END),
+        lambda line, k: F.struct(
+            k.alias("block"),
+            F.filter(F.split(_lower(line), NOT_WORD), lambda w: w != "").alias("words"),
+        ),
+    )
+    ends = F.transform(
+        F.filter(lines, lambda x: F.size(x["words"]) > 0),
+        lambda x: F.struct(
+            x["block"].alias("block"),
+            F.slice(F.reverse(x["words"]), 1, reach).alias("last"),
+            F.slice(x["words"], 1, reach).alias("first"),
+        ),
+    )
+    # Every block left has a word, so the next ``reach`` blocks hold enough.
+    texts = texts.select(id_col, "text_key", ends.alias("ends"))
+
+    def following(k: Column) -> Column:
+        return F.aggregate(
+            F.slice("ends", k + 2, reach),
+            F.array().cast("array<string>"),
+            lambda words, x: F.when(F.size(words) >= reach, words).otherwise(
+                F.concat(words, x["first"])
+            ),
+        )
+
+    around = F.transform(
+        F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))),
+        lambda x, k: F.struct(
+            x["block"].alias("block"), x["last"].alias("before"),
+            F.slice(following(k), 1, reach).alias("after"),
+        ),
+    )
+    return texts.select(id_col, "text_key", F.explode(around).alias("seam")).select(
+        id_col, "text_key", "seam.block", "seam.before", "seam.after"
+    )
+
+
 def _index(
     docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: float, text_col: str
 ) -> tuple[list[str], list[tuple]]:
@@ -88,8 +133,9 @@ def _index(
     for number, (label, words) in enumerate(sets):
         own = sorted(place[w] for w in words)
         need = ceil(threshold * len(own) - 1e-9)
+        reach = len(_words(templates[number][1])) - 1
         for k in range(len(own) - need + 1):
-            rows.append((own[k], number, label, k, need, own))
+            rows.append((own[k], number, label, k, need, own, reach))
     return ordered, rows
 
 
@@ -103,45 +149,73 @@ def matching_blocks(
     """Every block and template that meet the threshold.
 
     Columns: the id, ``text_key`` (hash and length of the text), ``block`` (number in
-    the text), ``template`` (number), ``label`` and ``containment``.
+    the text of the sentence or line, or of the one that a seam follows), ``template``
+    (number), ``label`` and ``containment`` (the greatest of the block and its seam).
     """
     ordered, rows = _index(docs, templates, threshold, text_col)
     index = docs.sparkSession.createDataFrame(
-        rows, "word int, template int, label string, place int, need int, wanted array<int>"
+        rows,
+        "word int, template int, label string, place int, need int, wanted array<int>, reach int",
     )
-    least = min(r[4] for r in rows)
+    least, reach = min(r[4] for r in rows), max(r[6] for r in rows)
     known = F.array(*[F.lit(w) for w in ordered])
     numbers = F.create_map(*[F.lit(x) for k, w in enumerate(ordered) for x in (w, k)])
-    # A text without any prefix word has no matching block.
-    rare = "|".join(sorted({ordered[r[0]] for r in rows}))
+    # A text or seam without any prefix word has no matching block.
+    prefix = sorted({ordered[r[0]] for r in rows})
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    texts = texts.filter(_spaced(F.col("text")).rlike(f" (?:{rare}) "))
+    texts = texts.filter(_spaced(F.col("text")).rlike(f" (?:{'|'.join(prefix)}) "))
+    texts = texts.select(id_col, text_key(F.col("text")).alias("text_key"), "text")
     blocks = texts.select(
-        id_col, text_key(F.col("text")).alias("text_key"),
-        F.posexplode(F.split("text", BLOCK_END)).alias("block", "line"),
-    )
+        id_col, "text_key", F.posexplode(F.split("text", BLOCK_END)).alias("block", "line")
+    )
+    none = F.array().cast("array<int>")
     sets = blocks.select(
         id_col, "text_key", "block",
         F.array_intersect(F.split(_lower("line"), NOT_WORD), known).alias("words"),
     ).filter(F.size("words") >= least)
-    placed = sets.withColumn(
-        "words", F.array_sort(F.transform("words", lambda w: F.element_at(numbers, w)))
+    sets = sets.select(
+        id_col, "text_key", "block",
+        F.transform("words", lambda w: F.element_at(numbers, w)).alias("words"),
+        none.alias("before"), none.alias("after"),
+    )
+    seams = _seams(texts, id_col, reach)
+    both = F.concat("before", "after")
+    seams = seams.filter(
+        F.arrays_overlap(both, F.array(*[F.lit(w) for w in prefix]))
+        & (F.size(F.array_intersect(both, known)) >= least)
     )
-    probes = placed.select(
-        id_col, "text_key", "block", "words", F.posexplode("words").alias("at", "word")
+
+    def placed(words: str) -> Column:
+        # try_element_at gives null for a word of no template, which keeps its place.
+        return F.transform(words, lambda w: F.try_element_at(numbers, w))
+
+    seams = seams.select(
+        id_col, "text_key", "block", placed("before").alias("before"), placed("after").alias("after")
     )
+    seams = seams.select(
+        id_col, "text_key", "block",
+        F.array_compact(F.array_distinct(F.concat("before", "after"))).alias("words"),
+        "before", "after",
+    )
+    found = sets.union(seams).withColumn("words", F.array_sort("words"))
+    probes = found.select(
+        id_col, "text_key", "block", "words", "before", "after",
+        F.posexplode("words").alias("at", "word"),
+    )
     left = F.size("words") - F.col("at")
     right = F.size("wanted") - F.col("place")
     pairs = probes.join(F.broadcast(index), "word").filter(
         (F.size("words") >= F.col("need")) & (F.least(left, right) >= F.col("need"))
     )
-    common = F.array_intersect("words", "wanted")
-    return pairs.filter(
-        (F.size(common) >= F.col("need")) & (F.array_min(common) == F.col("word"))
-    ).select(
-        id_col, "text_key", "block", "template", "label",
-        (F.size(common) / F.size("wanted")).alias("containment"),
-    )
+    near = F.concat(*[F.slice(side, F.lit(1), F.col("reach")) for side in ("before", "after")])
+    own = F.when(F.size("before") > 0, near).otherwise(F.col("words"))
+    common = F.array_intersect("wanted", own)
+    return (
+        pairs.withColumn("common", common)
+        .filter((F.size("common") >= F.col("need")) & (F.array_min("common") == F.col("word")))
+        .groupBy(id_col, "text_key", "block", "template", "label")
+        .agg(F.max(F.size("common") / F.size("wanted")).alias("containment"))
+    )
 
 
 def text_key(text: Column) -> Column:

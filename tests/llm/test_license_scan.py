@@ -83,3 +83,42 @@ def test_query(spark, data, documents):
         )
         assert one.base_labels == ",".join(sorted({label for _, label in base}))
     assert any(r.labels for r in found.values())
+
+
+WRAPPED = {
+    "mit": "Copyright (c) 2020 A. N. Other\n\nPermission is hereby granted, free of charge, to any "
+    "person obtaining a copy\nof this software and associated documentation files (the "
+    '"Software"), to deal\nin the Software without restriction',
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n"
+    "# modification, are permitted provided that the following conditions are met:\n# 1. Keep",
+    "gpl": " * This program is free software; you can redistribute it and/or modify\r\n"
+    " * it under the terms of the GNU General Public License as published by\r\n *\r\n"
+    " * the Free Software Foundation; either version 2 of the License",
+    "mpl-2": "/* This Source Code Form is subject to the terms of the Mozilla Public\n"
+    " * License, v. 2.0. If a copy of the MPL was not distributed with this file */",
+}
+
+
+def test_statements_across_block_ends(spark):
+    one_word_a_line = [(label, "\n".join(text.split())) for label, text in TEMPLATES]
+    texts = [*TEMPLATES, *one_word_a_line, *WRAPPED.items()]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id int, text string")
+    found = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    for k, (label, text) in enumerate(texts):
+        assert label in found[k].labels, text
+        if k < 2 * len(TEMPLATES):
+            assert found[k].score == 1.0
+
+
+def test_seams_reach_no_further_than_a_template(spark):
+    far = "released " + "under the " * 3 + "x " * 9 + ".\n" + "y " * 9 + "MIT License"
+    parts = "We were released.\n" + "z " * 5 + "under the MIT License"
+    docs = spark.createDataFrame([(0, far), (1, parts)], "doc_id int, text string")
+    assert matching_blocks(docs).count() == 0
+
+
+def test_blocks_have_one_row_a_template(spark):
+    text = "Released under the MIT License.\nReleased under the MIT License."
+    docs = spark.createDataFrame([(0, text), (None, text)], "doc_id int, text string")
+    blocks = matching_blocks(docs)
+    assert blocks.select("doc_id", "block", "template").distinct().count() == blocks.count() == 4
