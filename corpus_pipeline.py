@@ -26,8 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a shingle similarity of 0.9 or more."""
-    return keep_one_of_each(docs)
+    """One document of each group linked by a five-word shingle similarity of 0.8 or more."""
+    return keep_one_of_each(docs, words=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
