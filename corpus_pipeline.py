@@ -20,8 +20,11 @@ from tabassay.session import fresh_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; null texts and texts without a letter go."""
-    found = identify(docs, learn(docs))
+    """Documents in a language; null texts and texts without a letter go, no others do."""
+    model = learn(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model)
     return docs.filter(found["lang"] != UNKNOWN)
 
 

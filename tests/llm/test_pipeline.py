@@ -77,3 +77,10 @@ def test_near_copies_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.one_of_each(spark, docs, None)
     assert sorted(r.doc_id for r in kept.collect()) == [200, 500]
+
+
+def test_documents_without_any_label_stay(spark):
+    rows = [(0, "some words", None), (1, "12 ...", None), (2, None, None), (3, "中文字 é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.known_language(spark, docs, None)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3]
