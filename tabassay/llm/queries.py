@@ -11,17 +11,20 @@ from pyspark.sql import types as T
 
 import public_tokenizers
 from tabassay.llm.byte_bpe import ByteBpe, map_encoded
+from tabassay.llm.filter_audit import audit_filters
 from tabassay.llm.hamming_search import nearest_codes, sign_code
 from tabassay.llm.jaccard_join import similar_components
 from tabassay.llm.language import held_out, identify, learn
 from tabassay.llm.license_scan import scan_licenses
 from tabassay.llm.main_text import extract_main_text
-from tabassay.llm.oracle import COSINE, HAMMING, JACCARD, licenses
+from tabassay.llm.oracle import AUDIT, COSINE, HAMMING, JACCARD, LEAKS, RESAMPLING, licenses
 from tabassay.llm.packing import pack, token_pieces
+from tabassay.llm.resampling import resample
 from tabassay.llm.secret_scan import find_secrets, joined
 from tabassay.llm.sharding import shard_by_ring
 from tabassay.llm.tables import read_table
 from tabassay.llm.vector_dedup import near_copies
+from tabassay.llm.winnowing import contamination
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +136,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(read_table(spark, sf_dir, "documents"), vocabulary))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark, a quarter of the longer ones drawn."""
+    docs, target = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample(docs, target).drop("n_words")
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of ten words in all documents."""
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return contamination(docs, benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders."""
+    return audit_filters(*(read_table(spark, sf_dir, t) for t in ("documents", "labels")))
+
+
 CHECKS = {
     "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_secret_scans": (op2_secret_scans, None),
@@ -144,4 +171,7 @@ CHECKS = {
     "op8_embedding_dedup": (op8_embedding_dedup, COSINE),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op11_importance_resampling": (op11_importance_resampling, RESAMPLING),
+    "op12_benchmark_decontamination": (op12_benchmark_decontamination, LEAKS),
+    "op13_filter_audit": (op13_filter_audit, AUDIT),
 }
