@@ -138,7 +138,7 @@ def test_empty_one_row_and_all_null_tables(spark):
 
 def test_no_numeric_columns(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "s string")
-    assert prof.describe(df).count() == 0
+    assert tuple(prof.describe(df).first()) == tuple(prof.describe_strings(df).first())
     assert tuple(prof.describe_strings(df).first()) == ("s", 2, 1, "a", 2)
     with pytest.raises(ValueError):
         corr.correlation_matrix(df)
