@@ -100,11 +100,12 @@ def mask_cells(
 
 ORDERS = """
 WITH RECURSIVE steps(prefix, step, letter, own, before, applied, mask) AS (
-  SELECT CAST('' AS STRING), 0, CAST('' AS STRING), 0, 0, 0, mask FROM {masks}
+  SELECT CAST('' AS STRING), 0, CAST('' AS STRING), 0, 0, 0, mask
+  FROM (SELECT explode(sequence(0, {masks} - 1)) AS mask)
   UNION ALL
-  SELECT concat(s.prefix, f.letter), s.step + 1, f.letter, f.bit, s.applied,
-         s.applied | f.bit, s.mask
-  FROM steps s JOIN {filters} f ON (s.applied & f.bit) = 0),
+  SELECT /*+ BROADCAST(f) */ concat(s.prefix, f.letter), s.step + 1, f.letter, f.bit,
+         s.applied, s.applied | f.bit, s.mask
+  FROM steps s JOIN (VALUES {filters}) AS f(letter, bit) ON (s.applied & f.bit) = 0),
 outcomes AS (
   SELECT prefix, step, letter, mask,
     CAST((applied & mask) = 0 AS INT) AS kept,
@@ -121,13 +122,9 @@ WHERE o.step = {last}
 
 def order_outcomes(spark: SparkSession, letters: str = LETTERS) -> DataFrame:
     """What each step of each order does with each mask, as 0 and 1."""
-    filters = [(letter, 1 << k) for k, letter in enumerate(letters)]
-    masks = [(mask,) for mask in range(1 << len(letters))]
+    filters = ", ".join(f"('{letter}', {1 << k})" for k, letter in enumerate(letters))
     return spark.sql(
-        ORDERS,
-        masks=spark.createDataFrame(masks, "mask int"),
-        filters=spark.createDataFrame(filters, "letter string, bit int"),
-        last=len(letters),
+        ORDERS.format(masks=1 << len(letters), filters=filters, last=len(letters))
     )
 
 
