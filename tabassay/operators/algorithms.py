@@ -1,13 +1,17 @@
 """The algorithms by name, as ``pyspark.ml`` estimators with the documented settings.
 
-Approximations: trees grow to a depth of 30 and split on bins; the two ``xgboost`` names
-are gradient-boosted trees of depth 6; the RBF machines are linear machines on random
-Fourier features, the regression one with the Huber loss in place of the
-epsilon-insensitive loss, which Spark lacks.
+The two ``xgboost`` names, and ``gradient_boosting`` with more than two classes, are boosted
+by both derivatives of the loss. Approximations: trees grow to a depth of 30 and split on
+bins; the RBF machines are linear machines on random Fourier features.
+
+Forests keep the node of every row, checkpointed, so that their trees do not travel with
+every task.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,8 +25,10 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from tabassay.operators.boosting import SecondOrderBoosting
 from tabassay.operators.features import KERNEL_VECTOR, LABEL, VECTOR
 from tabassay.operators.frames import to_frame
+from tabassay.operators.tube import TubeRegression
 
 # The catalogue users choose from, as type, id, name and description.
 CATALOGUE = (
@@ -70,6 +76,9 @@ ALIASES = {
 KERNEL_ALGORITHMS = {"svm", "svr"}
 SEED = 42
 MAX_DIRECT_FEATURES = 4096  # the normal equations take no more
+#: Deep trees: node ids are kept and cut from their lineage, and a task sums the bins of
+#: many nodes at once, in this much memory.
+DEEP = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 512}
 
 
 @dataclass(frozen=True)
@@ -125,6 +134,21 @@ def estimator(
     return made
 
 
+def grows_together(algorithm: str, problem_type: str, classes: int) -> bool:
+    """Whether one estimator fits several training tables side by side."""
+    name = resolve(algorithm, problem_type)
+    many = problem_type == "classification" and classes > 2
+    return name == "xgboost" or (name == "gradient_boosting" and many)
+
+
+def _second_order(name: str, objective: str, classes: int, effort: Effort) -> Estimator:
+    depth = {"xgboost": {"maxDepth": 6}, "gradient_boosting": {"maxDepth": 3, "penalty": 0.0, "leastWeight": 0.0}}
+    return SecondOrderBoosting(
+        featuresCol=VECTOR, labelCol=LABEL, objective=objective, classes=classes,
+        maxIter=effort.rounds, stepSize=0.1, **depth[name],
+    )
+
+
 def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
     penalty = 1.0 / max(shape.rows, 1)
     common = {"featuresCol": VECTOR, "labelCol": LABEL}
@@ -135,10 +159,13 @@ def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
         )
     if name == "random_forest":
         return RandomForestClassifier(
-            numTrees=effort.trees, maxDepth=effort.tree_depth, seed=SEED, **common
+            numTrees=effort.trees, maxDepth=effort.tree_depth, seed=SEED, **DEEP, **common
         )
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=effort.tree_depth, seed=SEED, **common)
+        return DecisionTreeClassifier(maxDepth=effort.tree_depth, seed=SEED, **DEEP, **common)
+    if grows_together(name, "classification", shape.classes):
+        objective = "softmax" if shape.classes > 2 else "logistic"
+        return _second_order(name, objective, shape.classes, effort)
     if name == "svm":
         common["featuresCol"] = KERNEL_VECTOR
         made: Estimator = LinearSVC(
@@ -147,9 +174,8 @@ def _classifier(name: str, shape: TrainShape, effort: Effort) -> Estimator:
         )
     else:
         made = GBTClassifier(
-            maxIter=effort.rounds, stepSize=0.1, maxDepth=6 if name == "xgboost" else 3,
-            seed=SEED, **common,
-        )
+            maxIter=effort.rounds, stepSize=0.1, maxDepth=3, seed=SEED, **common
+        )
     if shape.classes > 2:
         return OneVsRest(classifier=made, **common)
     return made
@@ -175,20 +201,16 @@ def _regressor(name: str, shape: TrainShape, effort: Effort) -> Estimator:
         )
     if name == "random_forest":
         return RandomForestRegressor(
-            numTrees=effort.trees, maxDepth=effort.tree_depth, seed=SEED, **common
+            numTrees=effort.trees, maxDepth=effort.tree_depth, seed=SEED, **DEEP, **common
         )
     if name == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=effort.tree_depth, seed=SEED, **common)
+        return DecisionTreeRegressor(maxDepth=effort.tree_depth, seed=SEED, **DEEP, **common)
     if name == "svr":
         common["featuresCol"] = KERNEL_VECTOR
-        return LinearRegression(
-            loss="huber", regParam=1.0 / max(shape.rows, 1), standardization=False,
-            maxIter=effort.iterations, **common,
-        )
-    return GBTRegressor(
-        maxIter=effort.rounds, stepSize=0.1, maxDepth=6 if name == "xgboost" else 3,
-        seed=SEED, **common,
-    )
+        return TubeRegression(maxIter=effort.iterations, **common)
+    if name == "xgboost":
+        return _second_order(name, "squared", 2, effort)
+    return GBTRegressor(maxIter=effort.rounds, stepSize=0.1, maxDepth=3, seed=SEED, **common)
 
 
 # The settings a tuning search tries, per algorithm.
@@ -201,7 +223,40 @@ GRIDS: dict[str, dict[str, list[Any]]] = {
     "svm": {"regParam": [0.0001, 0.001, 0.01]},
     "ridge": {"regParam": [0.0001, 0.001, 0.01, 0.1]},
     "lasso": {"regParam": [0.001, 0.01, 0.1, 1.0]},
-    "svr": {"regParam": [0.0001, 0.001, 0.01]},
+    "svr": {"cost": [0.1, 1.0, 10.0], "epsilon": [0.01, 0.1, 1.0]},
 }
 
 
+
+
+# What a random search draws from, per algorithm: evenly on a logarithmic
+# scale between two numbers, or a whole number from a range.
+SPACES: dict[str, dict[str, tuple[str, float, float]]] = {
+    "logistic": {"regParam": ("log", 1e-5, 1.0), "elasticNetParam": ("even", 0.0, 1.0)},
+    "random_forest": {"numTrees": ("whole", 10, 100), "maxDepth": ("whole", 3, 12)},
+    "xgboost": {
+        "stepSize": ("log", 0.02, 0.5), "maxDepth": ("whole", 2, 8), "penalty": ("log", 0.1, 10.0),
+    },
+    "gradient_boosting": {"stepSize": ("log", 0.02, 0.5), "maxDepth": ("whole", 2, 5)},
+    "decision_tree": {"maxDepth": ("whole", 2, 15), "minInstancesPerNode": ("whole", 1, 20)},
+    "svm": {"regParam": ("log", 1e-5, 0.1)},
+    "ridge": {"regParam": ("log", 1e-5, 1.0)},
+    "lasso": {"regParam": ("log", 1e-4, 10.0)},
+    "svr": {"cost": ("log", 0.01, 100.0), "epsilon": ("log", 0.01, 1.0)},
+}
+
+
+def drawn_settings(algorithm: str, count: int, seed: int = SEED) -> list[dict[str, Any]]:
+    """Settings drawn from the algorithm's distributions, each one once."""
+    source = random.Random(seed)
+
+    def draw(kind: str, low: float, high: float) -> Any:
+        if kind == "whole":
+            return source.randint(int(low), int(high))
+        if kind == "log":
+            return math.exp(source.uniform(math.log(low), math.log(high)))
+        return source.uniform(low, high)
+
+    space = SPACES.get(algorithm, {})
+    drawn = [{n: draw(*space[n]) for n in space} for _ in range(count)] if space else []
+    return [s for k, s in enumerate(drawn) if s not in drawn[:k]]

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 import math
-import random
 import time
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Model, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +33,9 @@ from tabassay.operators.features import (
 from tabassay.operators.frames import to_frame
 
 IMPORTANCE_SCHEMA = "rank int, feature string, importance double"
+#: Parts whose margins come from a machine fitted on the others.
+CALIBRATION_PARTS = 3
+PART = "__part"
 
 
 @dataclass
@@ -99,18 +102,44 @@ def fit_stages(
     shape: alg.TrainShape,
     effort: alg.Effort,
     params: dict[str, Any] | None = None,
+    chances: bool = True,
 ) -> list[Model]:
-    """Fit one algorithm on assembled rows; a binary kernel machine also gets probabilities."""
+    """Fit one algorithm on assembled rows.
+
+    With ``chances`` a binary kernel machine also gets probabilities.
+    """
     made = alg.estimator(algorithm, problem_type, shape, effort, **(params or {}))
     model = made.fit(vectors)
-    if alg.resolve(algorithm, problem_type) != "svm" or shape.classes > 2:
+    if not chances or alg.resolve(algorithm, problem_type) != "svm" or shape.classes > 2:
         return [model]
-    margins = model.transform(vectors).select(LABEL, "rawPrediction")
-    calibration = LogisticRegression(
-        featuresCol="rawPrediction", predictionCol="calibrated", rawPredictionCol="calibratedRaw",
-        probabilityCol="probability", labelCol=LABEL,
-    ).fit(margins)
-    return [model, calibration]
+    return [model, calibrated(made, vectors)]
+
+
+def calibrated(made: Estimator, vectors: DataFrame, parts: int = CALIBRATION_PARTS) -> Model:
+    """Chances from margins, learned on margins of rows that the machine has not seen.
+
+    A row's part follows from its vector, so that copies are never on both sides. Parts
+    without one of the classes on the other side give no margins.
+    """
+    part = F.pmod(F.xxhash64(vector_to_array(F.col(made.getFeaturesCol()))), F.lit(parts))
+    dealt = vectors.withColumn(PART, part)
+    held = []
+    for k in range(parts):
+        others = dealt.filter(F.col(PART) != k)
+        if others.select(LABEL).distinct().count() < 2:
+            continue
+        margins = made.fit(others).transform(dealt.filter(F.col(PART) == k))
+        held.append(margins.select(LABEL, "rawPrediction"))
+    if not held:
+        held = [made.fit(vectors).transform(vectors).select(LABEL, "rawPrediction")]
+    table = reduce(DataFrame.unionByName, held).persist()
+    try:
+        return LogisticRegression(
+            featuresCol="rawPrediction", predictionCol="calibrated",
+            rawPredictionCol="calibratedRaw", probabilityCol="probability", labelCol=LABEL,
+        ).fit(table)
+    finally:
+        table.unpersist()
 
 
 @dataclass
@@ -253,32 +282,64 @@ class FoldRecipe:
         )
 
 
-def each_fold(
-    train: DataFrame, recipe: FoldRecipe, kernel: bool, folds: int
-) -> Iterator[tuple[DataFrame, DataFrame, alg.TrainShape]]:
-    """Vectors of the other folds, of the held-out fold, and the shape, fold by fold.
+Fold = tuple[DataFrame, DataFrame, alg.TrainShape]
+
+
+def fold_of(train: DataFrame, recipe: FoldRecipe, kernel: bool, k: int) -> Fold:
+    """Persisted vectors of the other folds and of the held-out fold, and the shape.
 
     Imputation, encoding, scaling, expansion and feature choice are fitted on the other
-    folds alone, as a model is trained. The vectors are kept while they are in use.
+    folds alone, as a model is trained.
     """
+    matrix = recipe.matrix(train.filter(F.col(FOLD) != k), kernel)
+    vectors = matrix.vectors.persist()
+    held = train.filter(F.col(FOLD) == k)
+    for stage in matrix.stages:
+        held = stage.transform(held)
+    held = held.select(*vectors.columns).persist()
+    shape = train_shape(vectors, recipe.problem_type, recipe.classes, len(matrix.names))
+    return vectors, held, shape
+
+
+def each_fold(
+    train: DataFrame, recipe: FoldRecipe, kernel: bool, folds: int
+) -> Iterator[Fold]:
+    """The folds one after the other, each kept while it is in use."""
     for k in range(folds):
-        matrix = recipe.matrix(train.filter(F.col(FOLD) != k), kernel)
-        vectors = matrix.vectors.persist()
-        held = train.filter(F.col(FOLD) == k)
-        for stage in matrix.stages:
-            held = stage.transform(held)
-        held = held.select(*vectors.columns).persist()
-        shape = train_shape(vectors, recipe.problem_type, recipe.classes, len(matrix.names))
-        yield vectors, held, shape
-        vectors.unpersist()
-        held.unpersist()
+        fold = fold_of(train, recipe, kernel, k)
+        yield fold
+        for rows in fold[:2]:
+            rows.unpersist()
+
+
+def fit_together(
+    folds: Sequence[Fold],
+    algorithm: str,
+    recipe: FoldRecipe,
+    params: dict[str, Any] | None = None,
+    others: Sequence[DataFrame] = (),
+) -> tuple[list[float], list[Model]]:
+    """Scores of all folds, and models of other tables, all grown side by side."""
+    made = alg.estimator(
+        algorithm, recipe.problem_type, folds[0][2], recipe.effort, **(params or {})
+    )
+    models = made.fit_together([vectors for vectors, _, _ in folds] + list(others))
+    scores = [
+        score_of(model.transform(held), recipe.problem_type)
+        for model, (_, held, _) in zip(models, folds, strict=False)
+    ]
+    if any(s is None or not math.isfinite(s) for s in scores):
+        raise ValueError("a fold gave no score")
+    return scores, models[len(folds) :]
 
 
 def _fold_score(
     algorithm: str, recipe: FoldRecipe, vectors: DataFrame, held: DataFrame,
     shape: alg.TrainShape, params: dict[str, Any] | None,
 ) -> float:
-    fitted = fit_stages(vectors, algorithm, recipe.problem_type, shape, recipe.effort, params)
+    fitted = fit_stages(
+        vectors, algorithm, recipe.problem_type, shape, recipe.effort, params, chances=False
+    )
     value = score_of(fitted[0].transform(held), recipe.problem_type)
     if value is None or not math.isfinite(value):
         raise ValueError("the fold gave no score")
@@ -295,9 +356,13 @@ def cross_validate(
 ) -> list[Trial]:
     """Score every named algorithm on each fold; a failing algorithm keeps its error.
 
-    ``train`` holds the label and the fold. A fold's vectors serve all algorithms.
+    ``train`` holds the label and the fold. A fold's vectors serve all algorithms; those
+    that grow several models together take all folds at once.
     """
     trials = {n: Trial(n) for n in names}
+    classes = max(len(recipe.classes), 2)
+    joint = [n for n in names if alg.grows_together(n, recipe.problem_type, classes)]
+    single = [n for n in names if n not in joint]
     kernel = any(_needs_kernel(alg.resolve(n, recipe.problem_type)) for n in names)
 
     def run(trial: Trial, vectors: DataFrame, held: DataFrame, shape: alg.TrainShape) -> None:
@@ -310,17 +375,41 @@ def cross_validate(
             trial.error = str(problem).splitlines()[0][:500]
         trial.seconds += time.time() - start
 
+    def run_joint(trial: Trial, kept: Sequence[Fold]) -> None:
+        start = time.time()
+        try:
+            trial.scores += fit_together(kept, trial.algorithm, recipe, params)[0]
+        except Exception as problem:
+            trial.error = str(problem).splitlines()[0][:500]
+        trial.seconds += time.time() - start
+
     try:
-        for fold in each_fold(train, recipe, kernel, folds):
-            open_trials = [t for t in trials.values() if t.error is None]
+        for fold in each_fold(train, recipe, kernel, folds) if single else ():
+            open_trials = [trials[n] for n in single if trials[n].error is None]
             tasks = [lambda t=t, fold=fold: run(t, *fold) for t in open_trials]
             _run_trials(train.sparkSession, tasks, parallelism)
+        if joint:
+            kept = [fold_of(train, recipe, False, k) for k in range(folds)]
+            _run_trials(
+                train.sparkSession, [lambda n=n: run_joint(trials[n], kept) for n in joint], parallelism
+            )
+            for rows in (rows for fold in kept for rows in fold[:2]):
+                rows.unpersist()
     except Exception as problem:  # a fold nobody can use fails every algorithm
         for t in trials.values():
             t.error = t.error or str(problem).splitlines()[0]
     return list(trials.values())
 
 
+@dataclass
+class Tuned:
+    """The best settings, their mean score, and every setting tried with its fold scores."""
+
+    params: dict[str, Any] = field(default_factory=dict)
+    score: float | None = None
+    tried: list[tuple[dict[str, Any], list[float]]] = field(default_factory=list)
+
+
 def tune(
     train: DataFrame,
     algorithm: str,
@@ -329,34 +418,44 @@ def tune(
     search: str = "grid",
     iterations: int = 50,
     parallelism: int = 4,
-) -> tuple[dict[str, Any], float | None]:
-    """The best settings of the algorithm's grid by cross-validated score.
-
-    ``grid`` tries every combination, ``random`` a seeded choice of ``iterations`` of
-    them. Everything that is fitted is fitted inside each fold.
+) -> Tuned:
+    """The best settings of the algorithm by cross-validated score.
+
+    ``grid`` tries every combination of a grid on all folds. ``random`` draws
+    ``iterations`` settings from distributions with a seed and lets the better half go on
+    after each fold, so that bad settings cost little; the best of those that saw every
+    fold wins, earlier draws first on ties. Everything that is fitted is fitted inside
+    each fold.
     """
     if folds < 2:
         raise ValueError("tuning needs at least two folds")
     if search not in ("grid", "random"):
         raise ValueError(f"unknown search '{search}'")
     name = alg.resolve(algorithm, recipe.problem_type)
-    grid = alg.GRIDS.get(name, {})
-    tries = [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
-    if search == "random" and iterations < len(tries):
-        tries = random.Random(alg.SEED).sample(tries, iterations)
+    if search == "random":
+        tries = alg.drawn_settings(name, iterations)
+    else:
+        grid = alg.GRIDS.get(name, {})
+        tries = [dict(zip(grid, values)) for values in product(*grid.values())] if grid else []
     if not tries:
-        return {}, None
+        return Tuned()
     scores: dict[int, list[float]] = {i: [] for i in range(len(tries))}
 
+    def mean(i: int) -> float:
+        return sum(scores[i]) / len(scores[i])
+
     def run(i: int, vectors: DataFrame, held: DataFrame, shape: alg.TrainShape) -> None:
         scores[i].append(_fold_score(algorithm, recipe, vectors, held, shape, tries[i]))
 
+    going = list(scores)
     for fold in each_fold(train, recipe, _needs_kernel(name), folds):
-        tasks = [lambda i=i, fold=fold: run(i, *fold) for i in scores]
+        tasks = [lambda i=i, fold=fold: run(i, *fold) for i in going]
         _run_trials(train.sparkSession, tasks, parallelism)
-    means = {i: sum(found) / len(found) for i, found in scores.items()}
-    best = max(means, key=lambda i: (means[i], -i))
-    return tries[best], means[best]
+        if search == "random":
+            going = sorted(sorted(going, key=lambda i: (-mean(i), i))[: -(-len(going) // 2)])
+    whole = [i for i in scores if len(scores[i]) == folds]
+    best = max(whole, key=lambda i: (mean(i), -i))
+    return Tuned(tries[best], mean(best), [(tries[i], scores[i]) for i in scores])
 
 
 def raw_importance(model: Model) -> list[float] | None:

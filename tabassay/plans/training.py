@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import time
 import uuid
@@ -333,13 +334,13 @@ def _refit(
     recipe: mod.FoldRecipe,
     config: TrainingConfig,
     tuned: bool = False,
-) -> tuple[mod.FittedModel, dict[str, Any]]:
+) -> tuple[mod.FittedModel, mod.Tuned]:
     """The model fitted on all training rows, with tuned settings where asked."""
     problem_type = recipe.problem_type
-    params: dict[str, Any] = {}
+    found = mod.Tuned()
     if tuned:
         try:
-            params, _ = mod.tune(
+            found = mod.tune(
                 ready.train, algorithm, recipe, config.folds, config.tuning_search_type,
                 config.tuning_iterations, config.parallelism,
             )
@@ -350,12 +351,46 @@ def _refit(
     try:
         shape = mod.train_shape(matrix.vectors, problem_type, ready.classes, len(matrix.names))
         fitted = mod.fit_stages(
-            matrix.vectors, algorithm, problem_type, shape, recipe.effort, params
+            matrix.vectors, algorithm, problem_type, shape, recipe.effort, found.params
         )
     finally:
         matrix.vectors.unpersist()
     model = mod.assemble(matrix, fitted, algorithm, problem_type, target, ready.classes)
-    return model, params
+    return model, found
+
+
+def _fit_with_folds(
+    ready: Prepared, algorithm: str, target: str, recipe: mod.FoldRecipe, config: TrainingConfig
+) -> tuple[mod.FittedModel, mod.Trial]:
+    """The model of all training rows and the folds' scores from one run of all of them."""
+    trial, start = mod.Trial(algorithm), time.time()
+    folds = [mod.fold_of(ready.train, recipe, False, k) for k in range(config.cv_folds)]
+    matrix = recipe.matrix(ready.train, False)
+    whole = matrix.vectors.persist()
+    try:
+        trial.scores, fitted = mod.fit_together(folds, algorithm, recipe, others=[whole])
+    finally:
+        for rows in [whole, *(rows for fold in folds for rows in fold[:2])]:
+            rows.unpersist()
+    trial.seconds = time.time() - start
+    model = mod.assemble(matrix, fitted, algorithm, recipe.problem_type, target, ready.classes)
+    return model, trial
+
+
+TUNING_SCHEMA = (
+    "settings string, folds int, mean_score double, std_score double, chosen boolean"
+)
+
+
+def tuning_frame(spark, found: mod.Tuned) -> DataFrame:
+    """Every setting that was tried, with the folds it saw and its scores."""
+    rows = []
+    for settings, scores in found.tried:
+        mean = sum(scores) / len(scores) if scores else None
+        std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)) if scores else None
+        text = json.dumps(settings, sort_keys=True)
+        rows.append((text, len(scores), _round(mean), _round(std), settings == found.params))
+    return to_frame(spark, rows, TUNING_SCHEMA)
 
 
 @dataclass
@@ -367,6 +402,7 @@ class TrainingResult:
     issues: DataFrame
     best_params: dict[str, Any]
     model_id: str | None = None
+    tuning: DataFrame | None = None
 
 
 SCORES_SCHEMA = (
@@ -408,14 +444,23 @@ def _train(
     config.note("running", phase="training", progress=50.0, algorithm=algorithm)
     start = time.time()
     recipe = _recipe(ready, problem_type, scaling, config)
-    model, params = _refit(ready, algorithm, target, recipe, config, config.tune_hyperparameters)
+    classes = max(len(ready.classes), 2)
+    together = alg.grows_together(algorithm, problem_type, classes) and config.cv_folds > 1
+    if together and not config.tune_hyperparameters:
+        model, trial = _fit_with_folds(ready, algorithm, target, recipe, config)
+        found = mod.Tuned()
+    else:
+        model, found = _refit(
+            ready, algorithm, target, recipe, config, config.tune_hyperparameters
+        )
+        trial = mod.Trial(algorithm)
+    params = found.params
     seconds = time.time() - start
     parts = part_metrics(model, ready.train, ready.test)
     score = "accuracy" if problem_type == "classification" else "r2"
     scores = {r["part"]: r[score] for r in parts.collect()}
     on_train, on_test = scores.get("train"), scores.get("test")
-    trial = mod.Trial(algorithm)
-    if config.cv_folds > 1:
+    if config.cv_folds > 1 and not trial.scores:
         trial = mod.cross_validate(
             ready.train, [algorithm], recipe, config.cv_folds, params, config.parallelism
         )[0]
@@ -437,6 +482,7 @@ def _train(
         issues=ready.cleaned.issues,
         best_params=params,
         model_id=model_id,
+        tuning=tuning_frame(df.sparkSession, found),
     )
 
 

@@ -1,12 +1,18 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabassay.operators import algorithms as alg
 from tabassay.operators import modeling as mod
 from tabassay.operators import registry as reg
 from tabassay.operators import runlog as log
+from tabassay.operators.features import LABEL
 from tabassay.operators.explain import explain, model_contributions
 from tabassay.plans import training as tr
 from tabassay.sources.sinks import write_leaderboard
@@ -107,6 +113,60 @@ def test_learners_beat_the_majority(classes, name):
         assert [r["rank"] for r in importance] == list(range(1, len(importance) + 1))
 
 
+def test_chances_come_from_margins_of_unseen_rows(spark):
+    """Many noise features: margins of seen rows are too sure, and so would be the chances."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(360, 40))
+    y = (x[:, 0] + rng.normal(0, 1.5, 360) > 0).astype(float)
+    rows = [(Vectors.dense(v), float(c), k < 160) for k, (v, c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, ["features", "label", "seen"]).repartition(4)
+    seen = df.filter("seen").withColumnRenamed("label", LABEL).persist()
+    made = LinearSVC(featuresCol="features", labelCol=LABEL, regParam=1e-4, maxIter=200)
+    machine = made.fit(seen)
+    plain = LogisticRegression(featuresCol="rawPrediction", labelCol=LABEL, predictionCol="c",
+                               rawPredictionCol="r").fit(machine.transform(seen))
+
+    def loss(chances):
+        scored = chances.transform(machine.transform(df.filter("NOT seen")))
+        p = vector_to_array(F.col("probability"))[F.col("label").cast("int")]
+        return scored.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0]
+
+    ours = loss(mod.calibrated(made, seen))
+    assert ours < 0.75 < loss(plain)
+
+
+def test_random_search_halves_its_settings(numbers):
+    _, df = numbers
+    options = config(cv_folds=3, tune_hyperparameters=True, tuning_search_type="random", tuning_iterations=8)
+    result = tr.train(df, "y", "ridge", "regression", "id", options)
+    rows = result.tuning.collect()
+    assert sorted(r["folds"] for r in rows) == [1, 1, 1, 1, 2, 2, 3, 3]
+    chosen = [r for r in rows if r["chosen"]]
+    assert len(chosen) == 1 and json.loads(chosen[0]["settings"]) == result.best_params
+    assert chosen[0]["mean_score"] == max(r["mean_score"] for r in rows if r["folds"] == 3)
+    low, high = alg.SPACES["ridge"]["regParam"][1:]
+    drawn = alg.drawn_settings("ridge", 50)
+    assert all(low <= s["regParam"] <= high for s in drawn) and drawn == alg.drawn_settings("ridge", 50)
+
+
+def test_boosted_folds_and_model_from_one_run(classes):
+    """The joint run gives the scores of folds fitted one by one, and the model of all rows."""
+    joint = tr.train(classes, "target", "xgboost", "classification", "id", config(cv_folds=3))
+    row = joint.scores.first()
+    ready = tr.prepare(classes, "target", "classification", "id", config(cv_folds=3))
+    recipe = tr._recipe(ready, "classification", None, config())
+    alone = [
+        mod._fold_score("xgboost", recipe, *fold, None)
+        for fold in mod.each_fold(ready.train, recipe, False, 3)
+    ]
+    assert row["cv_score"] == pytest.approx(np.mean(alone), abs=1e-4)
+    single = tr.train(classes, "target", "xgboost", "classification", "id", config())
+    assert single.scores.first()["test_score"] == row["test_score"]
+    key = ["id", "prediction", "confidence"]
+    one, two = (mod.predict(r.model, classes).select(key) for r in (joint, single))
+    assert one.exceptAll(two).isEmpty()
+
+
 def test_more_than_two_classes(spark):
     rng = np.random.default_rng(2)
     x = rng.random(300)
@@ -168,10 +228,10 @@ def test_automl_keeps_failures_and_writes_its_log(spark, numbers, tmp_path, monk
     _, df = numbers
     real = mod.fit_stages
 
-    def broken(vectors, algorithm, *rest):
+    def broken(vectors, algorithm, *rest, **options):
         if algorithm == "lasso":
             raise RuntimeError("no luck")
-        return real(vectors, algorithm, *rest)
+        return real(vectors, algorithm, *rest, **options)
 
     monkeypatch.setattr(mod, "fit_stages", broken)
     run_log = log.RunLog(spark, str(tmp_path / "log"), "job-1", "automl")
@@ -202,7 +262,7 @@ def test_tuning_and_feature_options(numbers):
         config(cv_folds=2, tune_hyperparameters=True, tuning_search_type="random", tuning_iterations=2,
                polynomial_degree=2, n_features=3),
     )
-    assert set(result.best_params) <= set(alg.GRIDS["decision_tree"]) and result.best_params
+    assert set(result.best_params) == set(alg.SPACES["decision_tree"])
     assert result.scores.first()["n_features"] == 3
     assert result.scores.first()["cv_score"] is not None
 
