@@ -188,8 +188,11 @@ CHECKS = {
         FROM documents JOIN labels USING (doc_id)""",
     ),
     "drop_null_rows": (
-        lambda s, d: cl.drop_null_rows(events_nulls(s, d), ["event_type", "value"]),
-        _nulls("SELECT * FROM e WHERE event_type IS NOT NULL AND value IS NOT NULL"),
+        lambda s, d: cl.drop_null_rows(events_nulls(s, d), ["event_type", "value"]).withColumn(
+            "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        ),
+        _nulls("""SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM e WHERE event_type IS NOT NULL
+          AND value IS NOT NULL"""),
     ),
     "impute_mean": (
         lambda s, d: rounded(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.tables import (
@@ -12,7 +16,8 @@ from tabassay.operators import correlation as corr
 from tabassay.operators import outliers as out
 from tabassay.operators import profile as prof
 from tabassay.operators import quality as qual
-from tabassay.plans.eda import analyze
+from tabassay.plans.eda import analyze, read_section, store_analysis
+from tabassay.session import fresh_dir
 from tabassay.sources import manifest as man
 from tabassay.sources.sampling import sample_rows
 
@@ -51,7 +56,7 @@ def _describe_sql(source: str, columns: list[str]) -> str:
     )
 
 
-EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "empty"]
+EVENT_COLUMNS = ["event_id", "user_id", "ts", "props", "event_type", "value", "empty"]
 EVENT_NUMBERS = ["event_id", "user_id", "value", "empty"]
 
 
@@ -169,20 +174,43 @@ def _nulls(sql: str) -> str:
     return f"WITH e AS ({EVENTS_NULLS}) {sql}"
 
 
-# ---- quality, insights and summary over events without their key ----
+# ---- quality, insights and summary over all columns but the key ----
+
+
+@dataclass(frozen=True)
+class Body:
+    """What SQL has to know of an analysed table."""
+
+    source: str
+    columns: list[str]
+    numbers: list[str]
+    texts: list[str]
+    spread: list[str]  # numbers whose quartiles differ
+    width: int  # bytes of the columns of fixed width
+
+
+EVENTS = Body(
+    EVENTS_NULLS, [c for c in EVENT_COLUMNS if c != "event_id"], ["user_id", "value", "empty"],
+    ["props", "event_type"], ["user_id", "value"], 32,
+)
+DOCUMENTS = Body(
+    "SELECT * FROM documents", ["text", "lang", "source", "n_chars"], ["n_chars"],
+    ["text", "lang", "source"], ["n_chars"], 8,
+)
 
-BODY = ["user_id", "event_type", "value", "empty"]
-BODY_NUMBERS = ["user_id", "value", "empty"]
 
-_QUALITY_CTES = f"""WITH e AS (SELECT user_id, event_type, value, empty FROM ({EVENTS_NULLS})),
-miss AS ({_missing_summary_sql("e", BODY)}),
-miss_cols AS ({_missing_pct_sql("e", BODY)}),
+def _quality_ctes(body: Body) -> str:
+    no_pairs = """SELECT '' AS feature1, '' AS feature2, 0.0::DOUBLE AS correlation WHERE false"""
+    strong = _strong_sql("e", body.numbers) if len(body.numbers) > 1 else no_pairs
+    return f"""WITH e AS (SELECT {", ".join(body.columns)} FROM ({body.source})),
+miss AS ({_missing_summary_sql("e", body.columns)}),
+miss_cols AS ({_missing_pct_sql("e", body.columns)}),
 dup AS (SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
   100.0 * {div("sum(n - 1)", "sum(n)")} AS duplicate_percentage
-  FROM (SELECT count(*) AS n FROM e GROUP BY {", ".join(BODY)})),
-outl AS ({_outliers_sql("e", ["user_id", "value"])}),
-strong AS ({_strong_sql("e", BODY_NUMBERS)}),
-cats AS ({_categorical_sql("e", ["event_type"])}),
+  FROM (SELECT count(*) AS n FROM e GROUP BY {", ".join(body.columns)})),
+outl AS ({_outliers_sql("e", body.spread)}),
+strong AS ({strong}),
+cats AS ({_categorical_sql("e", body.texts)}),
 qual0 AS (SELECT greatest(0.0, 100.0 - total_missing_percentage_raw) AS completeness,
   100.0 - duplicate_percentage AS uniqueness,
   total_missing_percentage_raw AS missing_percentage, duplicate_rows, duplicate_percentage,
@@ -220,17 +248,21 @@ found AS (
     CAST(unique_values AS DOUBLE) FROM cats WHERE unique_values > 50)
 """
 
+
+_QUALITY_CTES = _quality_ctes(EVENTS)
+
 _QUALITY_SQL = f"""{_QUALITY_CTES} SELECT {r("overall_score")} AS overall_score, assessment,
   {r("completeness")} AS completeness, {r("uniqueness")} AS uniqueness,
   {r("missing_percentage")} AS missing_percentage, duplicate_rows,
   {r("duplicate_percentage")} AS duplicate_percentage, outlier_count FROM qual"""
 
-_INSIGHTS_SQL = f"""{_QUALITY_CTES} SELECT severity, title, column_name, {r("value")} AS value
-  FROM found"""
+_FOUND = f"""SELECT severity, title, column_name, {r("value")} AS value FROM found"""
 
-_SUMMARY_SQL = f"""{_QUALITY_CTES} SELECT {r("overall_score")} AS quality_score, assessment,
+
+def _summary_sql(body: Body) -> str:
+    return f"""SELECT {r("overall_score")} AS quality_score, assessment,
   {r("completeness")} AS completeness, {r("uniqueness")} AS uniqueness,
-  CAST({len(BODY)} AS BIGINT) AS features,
+  CAST({len(body.columns)} AS BIGINT) AS features,
   (SELECT count(*) FROM found) AS insights_count,
   (SELECT count(*) FROM found WHERE severity = 'CRITICAL') AS issues_critical,
   (SELECT count(*) FROM found WHERE severity = 'HIGH') AS issues_high,
@@ -253,19 +285,22 @@ def _long_sql(section: str, item: str, source: str, numbers: list[str], texts: l
     return union(parts)
 
 
-def _eda_full_sql() -> str:
+def _eda_full_sql(body: Body) -> str:
+    lengths = " + ".join(f"coalesce(strlen({c}), 0)" for c in body.texts)
     ctes = (
-        _QUALITY_CTES
-        + f""", hist AS ({_numeric_profile_sql("e", BODY_NUMBERS)}),
-    info AS (SELECT count(*) AS rows, 4 AS columns, 3 AS numeric_features,
-      1 AS categorical_features,
-      sum(24 + coalesce(strlen(event_type), 0)) / 1048576.0 AS memory_usage_mb FROM e),
-    tops AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cnt DESC, value) AS rnk
-      FROM ({_counts_sql("e", ["event_type"])})) WHERE rnk <= 10),
-    summ AS ({_SUMMARY_SQL.split(_QUALITY_CTES)[1]}),
-    matrix AS ({_matrix_sql("e", BODY_NUMBERS)})
+        _quality_ctes(body)
+        + f""", hist AS ({_numeric_profile_sql("e", body.numbers)}),
+    info AS (SELECT count(*) AS rows, {len(body.columns)} AS columns,
+      {len(body.numbers)} AS numeric_features, {len(body.texts)} AS categorical_features,
+      sum({body.width} + {lengths}) / 1048576.0 AS memory_usage_mb FROM e),
+    tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name
+      ORDER BY cnt DESC, value) AS rnk FROM ({_counts_sql("e", body.texts)})) WHERE rnk <= 10),
+    summ AS ({_summary_sql(body)})
     """
     )
+    pairs = len(body.numbers) > 1
+    if pairs:
+        ctes += f", matrix AS ({_matrix_sql('e', body.numbers)})"
     parts = [
         _long_sql(
             "dataset_info", "''", "info",
@@ -304,14 +339,42 @@ def _eda_full_sql() -> str:
              "issues_critical", "issues_high", "issues_medium"],
             ["assessment", "top_concern", "recommendation"],
         ),
-        """SELECT 'correlation', feature1 || '|' || feature2, 'correlation', correlation, NULL
-           FROM matrix""",
         """SELECT 'top_values', column_name, 'rank_' || rnk, CAST(cnt AS DOUBLE), value
            FROM tops""",
     ]
+    if pairs:
+        parts.append(
+            """SELECT 'correlation', feature1 || '|' || feature2, 'correlation', correlation, NULL
+           FROM matrix"""
+        )
     return ctes + union(parts)
 
 
+SECTIONS = ["quality", "missing_per_column"]
+
+
+def _sections(spark, d):
+    """Two stored analyses, of which single sections are read."""
+    path = fresh_dir(spark, "analyses")
+    for name, df, key in (
+        ("events", events_nulls(spark, d), "event_id"),
+        ("documents", table(spark, d, "documents"), "doc_id"),
+    ):
+        store_analysis(analyze(df, key=key), name, path)
+    parts = [read_section(spark, path, name, s) for name in ("events", "documents") for s in SECTIONS]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+def _sections_sql() -> str:
+    listed = ", ".join(f"'{s}'" for s in SECTIONS)
+    return union(
+        [
+            f"SELECT '{name}' AS eda_id, * FROM ({_eda_full_sql(body)}) WHERE section IN ({listed})"
+            for name, body in (("events", EVENTS), ("documents", DOCUMENTS))
+        ]
+    )
+
+
 def _body(spark, d):
     return events_nulls(spark, d).drop("event_id")
 
@@ -355,9 +418,7 @@ CHECKS = {
         _describe_sql("lineitem", LINEITEM_NUMBERS),
     ),
     "describe_strings": (
-        lambda s, d: prof.describe_strings(
-            table(s, d, "conversations").select("role", "text")
-        ),
+        lambda s, d: prof.describe_strings(table(s, d, "conversations")),
         union(
             [
                 f"""SELECT '{c}' AS column_name, (SELECT count({c}) FROM conversations) AS count,
@@ -373,11 +434,12 @@ CHECKS = {
     "dataset_statistics": (
         lambda s, d: rounded(prof.dataset_statistics(events_nulls(s, d))),
         _nulls(
-            union(
+            "SELECT *, CAST(NULL AS VARCHAR) AS text FROM ("
+            + union(
                 [
                     "SELECT '' AS column_name, 'row_count' AS metric, "
                     "CAST(count(*) AS DOUBLE) AS value FROM e",
-                    "SELECT '', 'column_count', CAST(5 AS DOUBLE)",
+                    "SELECT '', 'column_count', CAST(7 AS DOUBLE)",
                 ]
                 + [
                     f"SELECT '{c}', 'missing', CAST(count(*) - count({c}) AS DOUBLE) FROM e"
@@ -402,6 +464,13 @@ CHECKS = {
                     }.items()
                 ]
             )
+            + ")"
+            + "".join(
+                f""" UNION ALL SELECT '{c}', 'dtype', NULL, CASE typeof(first({c}))
+                WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
+                WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'string' END FROM e"""
+                for c in EVENT_COLUMNS
+            )
         ),
     ),
     "missing_counts": (
@@ -485,7 +554,7 @@ CHECKS = {
             union(
                 [
                     _categorical_sql("part", PART_STRINGS),
-                    _categorical_sql("e", ["event_type"]),
+                    _categorical_sql("e", ["props", "event_type"]),
                 ]
             )
         ),
@@ -588,7 +657,11 @@ CHECKS = {
         ),
         f"{_QUALITY_CTES} SELECT recommendation FROM advice",
     ),
-    "insights": (lambda s, d: rounded(_insights(s, d)), _INSIGHTS_SQL),
+    "insights": (lambda s, d: rounded(_insights(s, d)), f"{_QUALITY_CTES} {_FOUND}"),
+    "insights_documents": (
+        lambda s, d: rounded(analyze(table(s, d, "documents"), key="doc_id").insights),
+        f"{_quality_ctes(DOCUMENTS)} {_FOUND}",
+    ),
     "insight_totals": (
         lambda s, d: qual.insight_totals(_insights(s, d)),
         f"""{_QUALITY_CTES} SELECT count(*) AS total,
@@ -599,12 +672,17 @@ CHECKS = {
     ),
     "eda_summary": (
         lambda s, d: rounded(analyze(events_nulls(s, d), key="event_id").summary),
-        _SUMMARY_SQL,
+        f"{_QUALITY_CTES} {_summary_sql(EVENTS)}",
     ),
     "eda_full": (
         lambda s, d: rounded(analyze(events_nulls(s, d), key="event_id").long()),
-        _eda_full_sql(),
+        _eda_full_sql(EVENTS),
+    ),
+    "eda_documents": (
+        lambda s, d: rounded(analyze(table(s, d, "documents"), key="doc_id").long()),
+        _eda_full_sql(DOCUMENTS),
     ),
+    "eda_sections": (_sections, _sections_sql()),
 }
 _COLUMNS = {
     "region": "r_regionkey,r_name",

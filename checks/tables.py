@@ -45,7 +45,7 @@ LINEITEM_NUMBERS = [
 ]
 MEASURES = LINEITEM_NUMBERS[4:]
 
-EVENTS_NULLS = """SELECT event_id, user_id,
+EVENTS_NULLS = """SELECT event_id, user_id, ts, props,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value,
   CAST(NULL AS DOUBLE) AS empty
@@ -57,6 +57,8 @@ def events_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
         "user_id",
+        "ts",
+        "props",
         F.when(key % 11 != 0, F.col("event_type")).alias("event_type"),
         F.when(key % 7 != 0, F.col("value")).alias("value"),
         F.lit(None).cast("double").alias("empty"),

@@ -145,6 +145,70 @@ def top_values(counts: DataFrame, n: int = 10) -> DataFrame:
     return counts.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= n)
 
 
+#: Characters of a value that travel with its hash, to order values of one count.
+PREFIX = 32
+#: Candidates that may be sent to every task; more are joined by a shuffle.
+SENT_ROWS = 10_000
+
+
+def _hashed_strings(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column_name``, ``value`` and the value's two hashes, for every non-null string."""
+    long = df.select(*[quoted(c).alias(c) for c in names]).unpivot(
+        [], [quoted(c) for c in names], "column_name", "value"
+    )
+    long = long.filter(F.col("value").isNotNull())
+    return long.select("column_name", "value", *two_hashes([F.col("value")]))
+
+
+def hashed_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """How often each string value stands in its column, by a 128-bit hash in its place.
+
+    Rows ``(column_name, h1, h2, prefix, cnt)``: no value longer than its first characters
+    is shuffled, however wide the texts are.
+    """
+    names = columns_of(df, "string") if columns is None else list(columns)
+    if not names:
+        schema = "column_name string, h1 bigint, h2 bigint, prefix string, cnt bigint"
+        return to_frame(df.sparkSession, [], schema)
+    hashed = _hashed_strings(df, names).withColumn("prefix", F.substring("value", 1, PREFIX))
+    return hashed.groupBy("column_name", "h1", "h2", "prefix").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def top_texts(df: DataFrame, counts: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` most frequent values per column; ties go to the smaller value.
+
+    Candidates are chosen by count and first characters, equal ones together; only their
+    whole values are fetched from the table and put in order.
+    """
+    w = Window.partitionBy("column_name").orderBy(F.col("cnt").desc(), "prefix")
+    wanted = counts.withColumn("place", F.rank().over(w)).filter(F.col("place") <= n)
+    wanted = wanted.select("column_name", "h1", "h2", "cnt").persist()
+    columns = [r[0] for r in counts.select("column_name").distinct().collect()]
+    few = wanted.count() <= SENT_ROWS
+    chosen = F.broadcast(wanted) if few else wanted
+    if not columns:
+        empty = "column_name string, value string, cnt bigint, rnk int"
+        return to_frame(df.sparkSession, [], empty)
+    found = (
+        _hashed_strings(df, columns)
+        .join(chosen, ["column_name", "h1", "h2"])
+        .groupBy("column_name", "h1", "h2")
+        .agg(F.first("value").alias("value"), F.first("cnt").alias("cnt"))
+    )
+    return top_values(found.select("column_name", "value", "cnt"), n)
+
+
+def _text_modes(counts: DataFrame, tops: DataFrame) -> DataFrame:
+    """As :func:`string_modes`, from hashed counts and the top values."""
+    totals = counts.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("unique_values"), F.sum("cnt").alias("present")
+    )
+    first = tops.filter("rnk = 1").select(
+        "column_name", F.col("value").alias("mode"), F.col("cnt").alias("mode_frequency")
+    )
+    return totals.join(first, "column_name")
+
+
 def string_modes(counts: DataFrame) -> DataFrame:
     """Distinct values, non-null rows and the mode (smallest of the most frequent)."""
     return counts.groupBy("column_name").agg(
@@ -161,12 +225,19 @@ def _string_columns(df: DataFrame) -> DataFrame:
 
 
 def categorical_profile(
-    df: DataFrame, counts: DataFrame | None = None, rows: int | None = None
+    df: DataFrame,
+    counts: DataFrame | None = None,
+    rows: int | None = None,
+    tops: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct values, mode and missing share per string column."""
-    counts = value_counts(df) if counts is None else counts
+    """Distinct values, mode and missing share per string column.
+
+    ``counts`` and ``tops`` bring what :func:`hashed_counts` and :func:`top_texts` found.
+    """
+    counts = hashed_counts(df) if counts is None else counts
+    tops = top_texts(df, counts, 1) if tops is None else tops
     total = df.agg(F.count(F.lit(1)).alias("rows")) if rows is None else None
-    base = _string_columns(df).join(string_modes(counts), "column_name", "left")
+    base = _string_columns(df).join(_text_modes(counts, tops), "column_name", "left")
     base = base.crossJoin(total) if total is not None else base.withColumn("rows", F.lit(rows))
     missing = F.col("rows") - F.coalesce("present", F.lit(0))
     return base.select(
@@ -181,9 +252,11 @@ def categorical_profile(
 
 def describe_strings(df: DataFrame) -> DataFrame:
     """Count, unique, top and freq per string column, for tables without numbers."""
+    counts = hashed_counts(df)
+    modes = _text_modes(counts, top_texts(df, counts, 1))
     return (
         _string_columns(df)
-        .join(string_modes(value_counts(df)), "column_name", "left")
+        .join(modes, "column_name", "left")
         .select(
             "column_name",
             F.coalesce("present", F.lit(0)).alias("count"),
@@ -317,9 +390,9 @@ def dataset_info(df: DataFrame) -> DataFrame:
 
 
 def dataset_statistics(df: DataFrame) -> DataFrame:
-    """The whole description of a table as rows ``(column_name, metric, value)``.
+    """The whole description of a table as rows ``(column_name, metric, value, text)``.
 
-    Table-wide counts carry an empty column name.
+    Table-wide counts carry an empty column name; declared types are texts.
     """
     facts = numeric_facts(df, shape=False, table_aggregates=summary_aggregates(df))
     rows: list[tuple[str, str, float | None]] = [
@@ -338,4 +411,8 @@ def dataset_statistics(df: DataFrame) -> DataFrame:
         F.lit("unique").alias("metric"),
         F.col("unique_count").cast("double").alias("value"),
     )
-    return known.unionByName(unique)
+    types = column_types(df).select(
+        "column_name", F.lit("dtype").alias("metric"), F.lit(None).cast("double").alias("value"),
+        F.col("data_type").alias("text"),
+    )
+    return known.unionByName(unique).withColumn("text", F.lit(None).cast("string")).union(types)

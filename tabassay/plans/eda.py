@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,12 +98,36 @@ def _long(df: DataFrame, section: str, item: str | None) -> DataFrame:
     )
 
 
+def store_analysis(report: EdaReport, eda_id: str, path: str) -> None:
+    """Write an analysis as rows of a result table, partitioned by analysis and section.
+
+    Storing an ``eda_id`` again replaces that analysis whole, and no other one: sections
+    that it no longer has go too.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", eda_id):
+        raise ValueError(f"'{eda_id}' cannot name an analysis")
+    rows = report.long().repartition("section")
+    rows.write.mode("overwrite").partitionBy("section").parquet(f"{path}/eda_id={eda_id}")
+
+
+def read_section(spark: SparkSession, path: str, eda_id: str, section: str) -> DataFrame:
+    """One section of a stored analysis; only its own folder is read."""
+    schema = "item string, metric string, value double, text string, eda_id string, section string"
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.filter((F.col("eda_id") == eda_id) & (F.col("section") == section))
+
+
+def stored_sections(spark: SparkSession, path: str) -> DataFrame:
+    """Which analyses and sections a result table holds, from its partitions."""
+    return spark.read.parquet(path).select("eda_id", "section").distinct()
+
+
 def analyze(df: DataFrame, key: str | None = None, target: str | None = None) -> EdaReport:
     """Profile ``df`` with a fixed number of scans, whatever its size.
 
     Moments, missing counts, sizes and quantile sketches share the first scan, the
     quartiles take two more, outlier counts one and correlations one. Two shuffles
-    remain: string value counts and whole-row duplicates. ``key`` names the unique row
+    remain, of hashes: string value counts and whole-row duplicates. ``key`` names the unique row
     key; it is left out of the analysis and used to list outlying rows.
     """
     if target is not None:
@@ -144,9 +169,9 @@ def analyze(df: DataFrame, key: str | None = None, target: str | None = None) ->
         others = [c for c in numeric if c != target]
         features = corr.feature_target_rank(body, target, others)
 
-    counts = prof.value_counts(body).persist()
-    categorical = settle(prof.categorical_profile(body, counts, rows))
-    tops = settle(prof.top_values(counts))
+    counts = prof.hashed_counts(body).persist()
+    tops = settle(prof.top_texts(body, counts))
+    categorical = settle(prof.categorical_profile(body, counts, rows, tops))
     counts.unpersist()
 
     missing = prof.missing_summary_of(body, base)

@@ -8,7 +8,7 @@ from tabassay.operators import correlation as corr
 from tabassay.operators import outliers as out
 from tabassay.operators import profile as prof
 from tabassay.operators import quality as qual
-from tabassay.plans.eda import analyze
+from tabassay.plans.eda import analyze, read_section, store_analysis, stored_sections
 
 MIXED = "id bigint, i int, d double, s string, b boolean, dt date"
 
@@ -149,3 +149,57 @@ def test_top_values_limit_before_the_shuffle(spark, data, capsys):
     prof.top_values(counts).explain("formatted")
     plan = capsys.readouterr().out
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_hashed_counts_give_the_same_tops(spark):
+    same = "x" * 40  # longer than what travels with a hash
+    values = [same + "b", same + "a", same + "a", same + "b", "k", "k", "", None, "z", "é", same]
+    rows = [(v, values[(k * 7) % 11]) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows * 2 + [(f"u{k:02d}", None) for k in range(30)], "s string, t string")
+    df = df.repartition(4)
+    counts = prof.hashed_counts(df)
+    plain = prof.value_counts(df)
+    key = ["column_name", "value", "cnt", "rnk"]
+    for n in (1, 3, 10):
+        got = prof.top_texts(df, counts, n).select(key)
+        want = prof.top_values(plain, n).select(key)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    few = prof.SENT_ROWS
+    try:
+        prof.SENT_ROWS = 0  # candidates of any number are joined by a shuffle
+        got = prof.top_texts(df, counts, 10).select(key)
+        want = prof.top_values(plain, 10).select(key)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        prof.SENT_ROWS = few
+    profile = {r["column_name"]: r for r in prof.categorical_profile(df).collect()}
+    modes = {r["column_name"]: r for r in prof.string_modes(plain).collect()}
+    for name, r in modes.items():
+        assert (profile[name]["unique_values"], profile[name]["mode"], profile[name]["mode_frequency"]) == (
+            r["unique_values"], r["mode"], r["mode_frequency"]
+        )
+
+
+def test_no_whole_text_is_shuffled(spark, data, capsys):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    prof.hashed_counts(docs, ["text"]).explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and all("value#" not in line and "text#" not in line for line in exchanged)
+
+
+def test_stored_sections(spark, tmp_path, capsys):
+    path = str(tmp_path / "analyses")
+    one = spark.createDataFrame([(1, 2.0, "a"), (2, None, "a"), (3, 4.0, None)], "id long, v double, s string")
+    store_analysis(analyze(one, key="id"), "first", path)
+    store_analysis(analyze(one.filter("id < 3"), key="id"), "second", path)
+    before = sorted(map(tuple, read_section(spark, path, "first", "quality").collect()), key=repr)
+    store_analysis(analyze(one.limit(0), key="id"), "second", path)  # replaces that one alone
+    rows = read_section(spark, path, "first", "quality")
+    assert sorted(map(tuple, rows.collect()), key=repr) == before and before
+    assert read_section(spark, path, "second", "missing_per_column").collect() == []
+    sections = {tuple(r) for r in stored_sections(spark, path).collect()}
+    assert {("first", "quality"), ("second", "quality")} <= sections
+    rows.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters" in plan and "section" in plan.split("PartitionFilters")[1].splitlines()[0]
