@@ -9,7 +9,8 @@ Which rows come too late is found on counts alone. A row's turn is a hash; turns
 dealt into ``STEPS`` steps, and the driver plays the steps on the counts by arc and
 step, whose number is fixed. A shard closes for the round before the step that would
 overfill it. The few rows that found every shard closed start the next round with the
-room that is left, until so few remain that they are played one by one.
+room that is left, until so few remain that they are played one by one; however few rows
+there are, the first round is one of steps.
 
 Defined results: a null text has size 1 and checksum 0; rows without an id share a
 place on the ring but not their turns; repeated rows are placed each for itself; an
@@ -166,7 +167,7 @@ def shard_by_ring(
 
     placed = rows.withColumn("arc", arc("h")).withColumn("shard", F.lit(-1))
     left, round_ = total, 0
-    while left > LAST_ROWS:
+    while left > LAST_ROWS or not round_:
         step = _step(_turn(round_, round_ == 0))
         counted = placed.filter("shard < 0").groupBy("arc", step.alias("step")).count().toPandas()
         counts = np.zeros((len(ring.points), STEPS), dtype=np.int64)

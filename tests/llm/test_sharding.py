@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tabassay.llm import sharding
 from tabassay.llm.queries import op1_bounded_ring
@@ -53,6 +54,48 @@ def test_steps_never_overfill():
     assert (before - loads == room).all()
 
 
+def plain_ring(rows, shards, last):
+    """Shards of rows (h, first turn, later turns) as the docstring has it, row by row."""
+    ring = Ring(shards, sharding.VIRTUAL_NODES)
+    arcs = ring.arcs(np.array([r[0] for r in rows], dtype=np.int64))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    out, left, round_ = [None] * len(rows), list(range(len(rows))), 0
+    while not round_ or len(left) > last:
+        is_open = {s for s in range(shards) if room[s] > 0}
+        for step in range(sharding.STEPS):
+            come = [k for k in left if rows[k][1 + round_] % sharding.STEPS == step]
+            while is_open:
+                target = {k: next(s for s in ring.onwards[arcs[k]] if s in is_open) for k in come}
+                loads = Counter(target.values())
+                full = {s for s in loads if loads[s] > room[s]}
+                if not full:
+                    break
+                is_open -= full
+            if not is_open:
+                break
+            for k, s in target.items():
+                out[k] = s
+                room[s] -= 1
+        left, round_ = [k for k in left if out[k] is None], round_ + 1
+    for k in sorted(left, key=lambda k: rows[k][1 + round_]):
+        out[k] = next(s for s in ring.onwards[arcs[k]] if room[s])
+        room[out[k]] -= 1
+    return out
+
+
+@pytest.mark.parametrize("count,last", [(0, 20_000), (7, 20_000), (3000, 20_000), (3000, 20), (3000, 2)])
+def test_equals_the_plain_ring(spark, monkeypatch, count, last):
+    """One result on either side of the bound for rows that are played one by one."""
+    monkeypatch.setattr(sharding, "LAST_ROWS", last)
+    docs = spark.range(0, count, 1, 1).selectExpr("id * 3 AS doc_id", "'t' AS text")
+    # In one partition a row's number is its place.
+    turns = docs.selectExpr("*", "xxhash64(0, doc_id) AS h", "monotonically_increasing_id() AS row_id")
+    later = [f"xxhash64({k}, h, row_id) AS t{k}" for k in range(1, 9)]
+    rows = [tuple(r) for r in turns.selectExpr("h", "xxhash64(0, h) AS t0", *later).collect()]
+    found = {r.doc_id: r.shard for r in shard_by_ring(docs).collect()}
+    assert [found[3 * k] for k in range(count)] == plain_ring(rows, 8, last)
+
+
 def test_tricky_rows(tricky, empty):
     check(shard_by_ring(tricky), tricky, 8)
     check(shard_by_ring(tricky, shards=3), tricky, 3)
