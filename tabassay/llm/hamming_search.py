@@ -1,33 +1,40 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-A 64-bit code has four segments of 16 bits; every code stands in one table for each
-segment. In round r the open queries probe all segment values at distance r. Codes that
-differ in 4 * (r + 1) - 1 bits at most have a segment within r, so once a query's k-th
-verified distance is no larger, its answer is proved and it leaves the rounds.
+A 64-bit code is cut into segments of about as many bits as the number of codes has, so
+that a segment's value stands for few codes however many there are; every code stands in
+one table for each segment. In round r the open queries probe all segment values at
+distance r. Codes that differ in m * (r + 1) - 1 bits at most have one of the m segments
+within r, so once a query's k-th verified distance is no larger, its answer is proved and
+it leaves the rounds.
 
 Defined results: a row without an id or code is neither searched nor found, nor is a
 query itself; equal distances go to the smaller id; of rows with one code only the
 k + 1 of smallest id can be answers, so no others are probed; fewer than k codes give
-shorter answers; an empty table gives no rows; other columns are not read.
+shorter answers; an empty table gives no rows; other columns are not read. A vector of more
+than 64 components has no sign code and raises.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabassay.llm.tables import cut
 
-SEGMENTS, BITS = 4, 16
+WIDTH = 64
+#: Segments at least and at most.
+FEWEST, MOST = 3, 8
 
 
 def sign_code(vector: str) -> Column:
-    """A bit for each of the first 64 components, set where it is above zero."""
+    """A bit for each component, set where it is above zero."""
     bit = F.aggregate(
         F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
         lambda code, i: code.bitwiseOR(
@@ -37,11 +44,20 @@ def sign_code(vector: str) -> Column:
             ).otherwise(F.lit(0).cast("long"))
         ),
     )
-    return F.when(F.size(vector) > 0, bit)
+    wide = F.raise_error(F.lit(f"a sign code has {WIDTH} bits, one for each component"))
+    return F.when(F.size(vector) > WIDTH, wide.cast("long")).when(F.size(vector) > 0, bit)
 
 
-def _segment(code: str | Column, k: int) -> Column:
-    return F.shiftrightunsigned(code, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1))
+def segment_widths(codes: int) -> list[int]:
+    """Bits of each segment for a table of so many codes."""
+    count = round(WIDTH / max(1.0, log2(max(codes, 2))))
+    count = max(FEWEST, min(MOST, count))
+    return [WIDTH // count + (k < WIDTH % count) for k in range(count)]
+
+
+def _segment(code: str | Column, widths: Sequence[int], k: int) -> Column:
+    shifted = F.shiftrightunsigned(code, sum(widths[:k]))
+    return shifted.bitwiseAND(F.lit((1 << widths[k]) - 1))
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -61,26 +77,41 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         sound.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
         .select("id", "code")
     )
+    widths = segment_widths(codes.count())
+    segments = len(widths)
     table = F.array(*[
-        F.struct(F.lit(s).alias("segment"), _segment("code", s).alias("value"))
-        for s in range(SEGMENTS)
+        F.struct(F.lit(s).alias("segment"), _segment("code", widths, s).alias("value"))
+        for s in range(segments)
     ])
     index = codes.select("id", "code", F.inline(table))
     asked = queries.toDF("query_id", "asked").filter("query_id IS NOT NULL AND asked IS NOT NULL")
     open_, best, done = cut(asked.distinct()), None, []
-    for radius in range(BITS + 1):
-        masks = np.array(
-            [sum(1 << b for b in bits) for bits in combinations(range(BITS), radius)], dtype=np.int64
-        )
-
-        def probe(batches: Iterator[pd.DataFrame], masks=masks) -> Iterator[pd.DataFrame]:
+    kinds = T.StructType(
+        [
+            T.StructField("query_id", open_.schema["query_id"].dataType),
+            T.StructField("asked", T.LongType()),
+            T.StructField("segment", T.IntegerType()),
+            T.StructField("value", T.LongType()),
+        ]
+    )
+    for radius in range(max(widths) + 1):
+
+        def probe(batches: Iterator[pd.DataFrame], radius=radius) -> Iterator[pd.DataFrame]:
+            flips = {
+                width: np.array(
+                    [sum(1 << b for b in bits) for bits in combinations(range(width), radius)],
+                    dtype=np.int64,
+                )
+                for width in set(widths)
+            }
             for batch in batches:
                 asked = batch["asked"].to_numpy(np.int64)
                 for start in range(0, len(asked), 256):
                     some = asked[start : start + 256]
-                    for segment in range(SEGMENTS):
-                        value = (some.view(np.uint64) >> np.uint64(BITS * segment)).astype(np.int64)
-                        value = (value & ((1 << BITS) - 1))[:, None] ^ masks[None]
+                    for segment, width in enumerate(widths):
+                        masks, below = flips[width], np.uint64(sum(widths[:segment]))
+                        value = (some.view(np.uint64) >> below).astype(np.int64)
+                        value = (value & ((1 << width) - 1))[:, None] ^ masks[None]
                         yield pd.DataFrame(
                             {
                                 "query_id": np.repeat(
@@ -92,9 +123,9 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
                             }
                         )
 
-        probes = open_.mapInPandas(probe, "query_id long, asked long, segment int, value long")
+        probes = open_.mapInPandas(probe, kinds)
         apart = F.col("asked").bitwiseXOR(F.col("code"))
-        own = [F.bit_count(_segment(apart, s)) for s in range(SEGMENTS)]
+        own = [F.bit_count(_segment(apart, widths, s)) for s in range(segments)]
         # A pair is met once: by its first segment of least distance, in that round.
         first = F.array_position(F.array(*own), F.array_min(F.array(*own))) - 1
         met = (
@@ -108,8 +139,8 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         best = cut(_nearest(met, k).drop("rank"))
         proved = best.groupBy("query_id").agg(
             F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst")
-        ).filter((F.col("n") == k) & (F.col("worst") < SEGMENTS * (radius + 1)))
-        if radius == BITS:
+        ).filter((F.col("n") == k) & (F.col("worst") < segments * (radius + 1)))
+        if radius == max(widths):
             done.append(best)
             break
         done.append(best.join(proved.select("query_id"), "query_id", "left_semi"))

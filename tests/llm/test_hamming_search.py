@@ -1,6 +1,9 @@
 import random
 
-from tabassay.llm.hamming_search import nearest_codes
+import pytest
+
+from tabassay.llm import hamming_search
+from tabassay.llm.hamming_search import nearest_codes, segment_widths, sign_code
 from tabassay.llm.queries import op3_topk_search
 
 
@@ -31,6 +34,35 @@ def test_equals_all_pairs_with_ties_copies_and_nulls(spark):
     assert nearest_codes(codes.filter("false"), queries.filter("false"), 5).count() == 0
 
 
+@pytest.mark.parametrize("widths", [[32, 32], [22, 21, 21], [8] * 8])
+def test_segments_change_nothing(spark, monkeypatch, widths):
+    rng = random.Random(3)
+    near = [rng.getrandbits(64) - 2**63 for _ in range(6)]
+    rows = [(f"v{i}", near[i % 6] ^ (1 << rng.randrange(63))) for i in range(60)]
+    codes = spark.createDataFrame(rows, "vec_id string, code long")
+    codes = codes.selectExpr("*", "1 AS value", "2 AS segment", "3 AS rank").select("vec_id", "code")
+    queries = codes.filter("vec_id IN ('v3', 'v17')")
+    before = sorted(map(tuple, nearest_codes(codes, queries, 4).collect()))
+    monkeypatch.setattr(hamming_search, "segment_widths", lambda n: widths)
+    assert sorted(map(tuple, nearest_codes(codes, queries, 4).collect())) == before
+    assert len(before) == 8
+
+
+def test_widths_follow_the_number_of_codes():
+    assert segment_widths(0) == segment_widths(200) == [8] * 8
+    assert segment_widths(50_000) == [16] * 4 and segment_widths(2**22) == [22, 21, 21]
+    assert segment_widths(10**11) == [22, 21, 21]
+
+
+def test_vectors_of_any_width(spark):
+    rows = [(1, [0.5, -1.0]), (2, []), (3, None), (4, [1.0] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = dict(df.select("vec_id", sign_code("v")).collect())
+    assert found == {1: 1, 2: None, 3: None, 4: -1}
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(sign_code("v")).collect()
+
+
 def test_query_has_ten_for_each_fiftieth(spark, data):
     found = op3_topk_search(spark, data).collect()
     assert len(found) == 10 * len({r.query_id for r in found})
