@@ -17,6 +17,7 @@ first; rows with equal ids are judged each for itself; an empty table gives no r
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,14 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabassay.llm.tables import small_batches
+from tabassay.llm.tables import remembered, small_batches
 
 UNKNOWN = "und"
 SAMPLE = 2000
 DRAWS = 1 << 31
 SWITCH_PENALTY = 12.0
-#: Texts of one batch; their words advance together, one step for each position.
-BATCH = 4000
+#: Texts of one batch, and characters of its texts that are labelled together, the
+#: longest texts first: their words advance side by side, one step for each position.
+BATCH, BLOCK_CHARS = 4000, 1 << 21
 PLACES = 1 << 17
 WORDS_KEPT = 200_000
 #: A language is written in a script that holds this share of its letters.
@@ -91,6 +93,13 @@ class Model:
     chances: np.ndarray
     written: np.ndarray
 
+    def digest(self) -> str:
+        """Tells models apart."""
+        whole = hashlib.sha256(repr(self.languages).encode())
+        for part in (self.chances, self.written):
+            whole.update(np.ascontiguousarray(part).data)
+        return whole.hexdigest()
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Score of each word in each language, relative to the best one."""
         owner, places, scripts = _features(words)
@@ -246,7 +255,12 @@ class Labeller:
         return sizes, labels, letters
 
 
-_LABELLERS: dict[int, Labeller] = {}
+def text_blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[np.ndarray]:
+    """Numbers of the texts, longest first, in blocks of about ``most`` characters."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-lengths, kind="stable")
+    block = (np.cumsum(lengths[order]) - lengths[order]) // most
+    return iter(np.split(order, np.flatnonzero(np.diff(block)) + 1))
 
 
 def _spans(text: str, labels: np.ndarray, names: list[str]) -> list[tuple[str, int, int]]:
@@ -274,7 +288,7 @@ def identify(
     spark = docs.sparkSession
     small_batches(spark, BATCH)
     shared = spark.sparkContext.broadcast(model)
-    number = shared.id if hasattr(shared, "id") else id(shared)
+    key = ("labeller", model.digest())
     kinds = "lang string, score double"
     if with_spans:
         kinds += ", langs array<string>, starts array<int>, ends array<int>"
@@ -283,29 +297,25 @@ def identify(
         model = shared.value
         names = model.languages
         plain = [t or "" for t in texts]
-        if not names:
-            lang, score = [UNKNOWN] * len(plain), [0.0] * len(plain)
-            sizes, labels = np.zeros(len(plain), dtype=np.int64), np.zeros(0, dtype=np.int64)
-        else:
-            key = hash((number, model.chances.tobytes()[:64], len(names)))
-            if key not in _LABELLERS:
-                _LABELLERS.clear()
-                _LABELLERS[key] = Labeller(model)
-            sizes, labels, letters = _LABELLERS[key].label(plain, penalty)
+        lang = np.full(len(plain), UNKNOWN, dtype=object)
+        score = np.zeros(len(plain))
+        spans: list[list[tuple[str, int, int]]] = [[] for _ in plain]
+        for block in text_blocks(plain) if names and plain else ():
+            own = [plain[k] for k in block]
+            labeller = remembered(key, lambda: Labeller(model))
+            sizes, labels, letters = labeller.label(own, penalty)
             all_letters = letters.sum(axis=1)
             best = letters.argmax(axis=1)
-            top = letters[np.arange(len(plain)), best]
-            score = np.where(all_letters > 0, top / np.maximum(all_letters, 1), 0.0)
-            lang = [names[b] if n else UNKNOWN for b, n in zip(best, all_letters, strict=True)]
+            top = letters[np.arange(len(own)), best]
+            score[block] = np.where(all_letters > 0, top / np.maximum(all_letters, 1), 0.0)
+            lang[block] = [names[b] if n else UNKNOWN for b, n in zip(best, all_letters, strict=True)]
+            ends = np.cumsum(sizes)
+            for k, n, end in zip(block, sizes, ends, strict=True) if with_spans else ():
+                spans[k] = _spans(plain[k], labels[end - n : end], names)
         out = {"lang": lang, "score": score}
         if with_spans:
-            ends = np.cumsum(sizes)
-            found = [
-                _spans(t, labels[e - n : e], names) if n and names else []
-                for t, n, e in zip(plain, sizes, ends, strict=True)
-            ]
             columns = enumerate(("langs", "starts", "ends"))
-            out |= {c: [[s[k] for s in one] for one in found] for k, c in columns}
+            out |= {c: [[s[k] for s in one] for one in spans] for k, c in columns}
         return pd.DataFrame(out)
 
     return F.pandas_udf(judge, kinds)(F.col(text_col))

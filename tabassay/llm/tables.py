@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gc
+from collections.abc import Callable, Hashable, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,22 @@ from tabassay.session import enable_checkpoints
 
 BATCH_ROWS = 1000
 
+_REMEMBERED: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker made for ``key``; it remembers one thing at a time.
+
+    Workers live on from one operator to the next, so that what an operator has built up
+    goes when another one asks.
+    """
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table by name."""
