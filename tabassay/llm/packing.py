@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabassay.llm.tables import chunks_for, cut, fresh, rank_in_group, small_batches
+from tabassay.llm.tables import chunks_for, cut, fresh, rank_in_group, remembered, small_batches
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-PIECES_KEPT = 1_000_000
+#: Pieces that a worker remembers before it forgets those not asked for since the last time.
+PIECES_KEPT = 200_000
 
 
 #: What is not ASCII or a plain Latin-1 letter; such stretches go to the tokenizer as they are.
@@ -61,6 +61,7 @@ class WordIds:
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _spelled(self, piece: str) -> str:
         """The piece as the merges write it, a character for each byte."""
@@ -96,24 +97,18 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self._split(text) for text in texts]
-        every = {piece for pieces in split for piece in pieces}
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > PIECES_KEPT:
-            self.known.clear()
-            new = every
-        self._learn(list(new))
+        if len(self.known) > PIECES_KEPT:
+            self.before, self.known = self.known, {}
+        new = {piece for pieces in split for piece in pieces}.difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update((piece, self.before[piece]) for piece in again)
+        self._learn(list(new - again))
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
 
-_ENCODERS: dict[int, WordIds] = {}
-
-
 def _encoder(vocabulary: str) -> WordIds:
-    key = hash(vocabulary)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordIds(vocabulary)
-    return _ENCODERS[key]
+    return remembered(("pieces", hash(vocabulary)), lambda: WordIds(vocabulary))
 
 
 def token_pieces(
