@@ -210,7 +210,9 @@ class _Growth:
         self.state = states[0]
         for other in states[1:]:
             self.state = self.state.union(other)
-        self.state = self.state.persist()
+        # Rows of several models are no reason for more tasks than one model has.
+        tasks = max(frame.rdd.getNumPartitions() for frame in rows)
+        self.state = self.state.coalesce(tasks).persist()
 
     def _at(self, values: np.ndarray, kind: str, node: str, k: str) -> str:
         """Entry of ``values`` (tree by node) for a row's model, an output and a node, in SQL."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -308,8 +308,13 @@ def each_fold(
     for k in range(folds):
         fold = fold_of(train, recipe, kernel, k)
         yield fold
-        for rows in fold[:2]:
-            rows.unpersist()
+        _let_go([fold])
+
+
+def _let_go(folds: Iterable[Fold]) -> None:
+    for vectors, held, _ in folds:
+        vectors.unpersist()
+        held.unpersist()
 
 
 def fit_together(
@@ -365,12 +370,12 @@ def cross_validate(
     single = [n for n in names if n not in joint]
     kernel = any(_needs_kernel(alg.resolve(n, recipe.problem_type)) for n in names)
 
-    def run(trial: Trial, vectors: DataFrame, held: DataFrame, shape: alg.TrainShape) -> None:
+    found: dict[str, dict[int, float]] = {n: {} for n in single}
+
+    def run(trial: Trial, k: int, fold: Fold) -> None:
         start = time.time()
         try:
-            trial.scores.append(
-                _fold_score(trial.algorithm, recipe, vectors, held, shape, params)
-            )
+            found[trial.algorithm][k] = _fold_score(trial.algorithm, recipe, *fold, params)
         except Exception as problem:
             trial.error = str(problem).splitlines()[0][:500]
         trial.seconds += time.time() - start
@@ -384,17 +389,22 @@ def cross_validate(
         trial.seconds += time.time() - start
 
     try:
-        for fold in each_fold(train, recipe, kernel, folds) if single else ():
+        # As many folds side by side as the algorithms leave room for.
+        at_once = max(1, parallelism // max(len(single), 1))
+        for first in range(0, folds if single else 0, at_once):
+            numbers = range(first, min(first + at_once, folds))
+            kept = {k: fold_of(train, recipe, kernel, k) for k in numbers}
             open_trials = [trials[n] for n in single if trials[n].error is None]
-            tasks = [lambda t=t, fold=fold: run(t, *fold) for t in open_trials]
+            tasks = [lambda t=t, k=k: run(t, k, kept[k]) for k in kept for t in open_trials]
             _run_trials(train.sparkSession, tasks, parallelism)
+            _let_go(kept.values())
+        for name in single:
+            trials[name].scores = [found[name][k] for k in sorted(found[name])]
         if joint:
-            kept = [fold_of(train, recipe, False, k) for k in range(folds)]
-            _run_trials(
-                train.sparkSession, [lambda n=n: run_joint(trials[n], kept) for n in joint], parallelism
-            )
-            for rows in (rows for fold in kept for rows in fold[:2]):
-                rows.unpersist()
+            every = [fold_of(train, recipe, False, k) for k in range(folds)]
+            tasks = [lambda n=n: run_joint(trials[n], every) for n in joint]
+            _run_trials(train.sparkSession, tasks, parallelism)
+            _let_go(every)
     except Exception as problem:  # a fold nobody can use fails every algorithm
         for t in trials.values():
             t.error = t.error or str(problem).splitlines()[0]
