@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -318,10 +318,9 @@ class _Common(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     classes = Param(Params._dummy(), "classes", "number of classes", TypeConverters.toInt)
 
 
-class SecondOrderBoosting(Estimator, _Common, DefaultParamsReadable, DefaultParamsWritable):
+class SecondOrderBoosting(Estimator, _Common, HasMaxIter, DefaultParamsReadable, DefaultParamsWritable):
     """Estimator of boosted trees grown on both derivatives of the loss."""
 
-    maxIter = Param(Params._dummy(), "maxIter", "rounds", TypeConverters.toInt)
     stepSize = Param(Params._dummy(), "stepSize", "share of each tree", TypeConverters.toFloat)
     maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits", TypeConverters.toInt)
     penalty = Param(Params._dummy(), "penalty", "added to the second derivatives", TypeConverters.toFloat)

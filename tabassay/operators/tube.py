@@ -20,7 +20,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,12 +108,11 @@ class _Common(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     pass
 
 
-class TubeRegression(Estimator, _Common, DefaultParamsReadable, DefaultParamsWritable):
+class TubeRegression(Estimator, _Common, HasMaxIter, DefaultParamsReadable, DefaultParamsWritable):
     """Estimator of a linear model under the epsilon-insensitive loss."""
 
     cost = Param(Params._dummy(), "cost", "weight of the loss, C", TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "half the tube's width", TypeConverters.toFloat)
-    maxIter = Param(Params._dummy(), "maxIter", "steps in all", TypeConverters.toInt)
     fitIntercept = Param(Params._dummy(), "fitIntercept", "with an intercept", TypeConverters.toBoolean)
 
     @keyword_only

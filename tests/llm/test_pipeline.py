@@ -6,7 +6,6 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from test_jaccard_join import LOWER
-from test_jaccard_join import brute as components_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -16,7 +15,7 @@ from tabassay.llm.secret_scan import masked
 def kept_texts(rows):
     """What packing gets: one lettered document of each component, secrets masked."""
     rows = [(i, t) for i, t in rows if any(map(str.isalpha, t or ""))]
-    low = {i: c for i, _, c in components_of(rows)}
+    low = near_copies_of(rows)
     return {i: masked(t) for i, t in rows if low[i] == i}
 
 
@@ -52,9 +51,13 @@ def near_copies_of(rows):
         (a, b) for a, b in itertools.combinations(sets, 2)
         if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     ]
-    for _ in rows:
+    changed = True
+    while changed:
+        changed = False
         for a, b in links:
-            low[a] = low[b] = min(low[a], low[b])
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
     return low
 
 
@@ -65,6 +68,19 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in low if low[i] == i)
 
 
+def test_unique_text_of_a_repeated_id_stays(spark):
+    rows = [
+        (1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text that is unique"),
+        (2, "quite another text that is unique"), (3, None), (3, ""), (3, ""), (None, "a b c d e f"),
+        (None, "a b c d e f"), (4, "A b c d e f"), (4, "g h i j k l"), (5, "G h i j k l"),
+        (5, "g h i j k L"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, corpus_pipeline.one_of_each(spark, docs, None).collect()), key=str)
+    expected = [rows[k] for k in (0, 2, 4, 5, 7, 8, 10)]
+    assert kept == sorted(expected, key=str)
+
+
 def test_near_copies_go(spark):
     """Copies of a five-word similarity of 0.815 and 0.817, of a three-word one of 0.886."""
     rows = []
