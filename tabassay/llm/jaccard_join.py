@@ -5,17 +5,21 @@ class. Hashes fall into groups, and a class is the point of its group counts: th
 coordinate minima of two points add up to a bound on the overlap of their sets.
 
 On the cluster, points are dealt into cells so that linked pairs always share one.
-Two linked sets differ in at most D = (1 - t) / t * (smaller size) hashes, so of D + 1
-coarse groups they agree on one wholly. A set therefore goes into one cell for each of
-its coarse groups, named by the hash of what it holds there, for its own band of sizes
-and, where it could be the larger one, for the bands below. Cells with one class end here.
+Two linked sets differ in at most D = (1 - t) / t * (smaller size) hashes, so of G coarse
+groups they agree wholly on G - D at least. Groups are ranked by what they hold, fullest
+first, and a set goes into the cells of its first D + 1 groups: the fullest group on which
+two sets agree has G - D - 1 others after it, so it is among the first D + 1 of both. With
+a quarter more groups than needed, empty and nearly empty groups, which many sets share,
+name no cells. A cell is named by the hash of what its group holds. Sets go into cells for
+their own band of sizes and, where they could be the larger one, for the bands below.
+Cells with one class end here.
 
 Cells with the same least class are one, their union. In it, classes are first held
-against the least class and the linked ones joined into components, so that many near
-copies need no pairs inside a component. Then an R-tree over the points of every cell
-that still holds several components gives the pairs of different components whose
-bound reaches the overlap they need. Pairs that pass the bound are verified whole.
-Cells of many classes are dealt out as pairs of blocks.
+against the least class, then against drawn ones, and the linked ones joined into components,
+so that many near copies need no pairs inside a component. Then an R-tree over the points of
+every cell (not of the unions) that still holds several components gives the pairs of
+different components whose bound reaches the overlap they need. Pairs that pass the bound are
+verified whole. Cells of many classes are dealt out as pairs of blocks.
 
 Defined results: a text without words, or null, is empty, in no component but its
 own; a row without an id is linked with nothing and its component is null; a repeated
@@ -30,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabassay.llm.components import components
-from tabassay.llm.tables import cut, fresh, small_batches
+from tabassay.llm.tables import cut, fresh, remembered, small_batches
 
 SHINGLE_WORDS = 3
 #: Linked when PERCENT * union <= 100 * intersection.
@@ -44,10 +48,13 @@ PERCENT = 90
 BAND_RATIO = 1.37
 #: Groups whose counts are a point's coordinates; boxes hold sums of so many of them.
 GROUPS, COARSE = 512, 4
-#: Classes of a cell that are one block, and blocks of a cell at most.
-BLOCK, BLOCKS = 256, 64
+#: Classes of a cell that are one block.
+BLOCK = 256
 LEAF = 32
-WORDS_KEPT = 200_000
+#: Classes of a cell that are held against all others before all pairs are searched.
+DRAWN = 3
+#: Words and classes that a worker remembers; beyond it the memory starts anew.
+WORDS_KEPT, CLASSES_KEPT = 200_000, 100_000
 #: Places of a broadcast set of hashes that thins out rows before a join.
 PLACES = 1 << 18
 
@@ -129,13 +136,15 @@ def cells_of(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for own in range(band, -1, -1):
         if own < band and 100 * int(BOUNDS[own]) < percent * n:
             break  # no set of this band is large enough
-        groups = most_apart(int(BOUNDS[own]), percent) + 1
+        kept = most_apart(int(BOUNDS[own]), percent) + 1
+        groups = kept * 5 // 4
         group = ((hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)  # sorted like hashes
-        starts = np.searchsorted(group, np.arange(groups, dtype=np.uint64))
+        starts = np.append(np.searchsorted(group, np.arange(groups, dtype=np.uint64)), n)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(hashes + np.uint64(own + 1)))])
-        held = np.diff(sums[np.append(starts, n)])
+        held = np.diff(sums[starts])
         salt = np.uint64((own + 1) << 40) + np.arange(groups, dtype=np.uint64)
-        names.append(_mix(held ^ _mix(salt)))
+        named = _mix(held ^ _mix(salt))
+        names.append(named[np.lexsort((named, -np.diff(starts)))[:kept]])
     return np.concatenate(names).view(np.int64)
 
 
@@ -246,13 +255,8 @@ class CountTree:
         return query[keep], at[keep]
 
 
-_SHINGLES: dict[int, Shingles] = {}
-
-
 def _shingles(words: int) -> Shingles:
-    if words not in _SHINGLES:
-        _SHINGLES[words] = Shingles(words)
-    return _SHINGLES[words]
+    return remembered(("shingles", words), lambda: Shingles(words))
 
 
 def _class_of(hashes: np.ndarray) -> int | None:
@@ -262,18 +266,32 @@ def _class_of(hashes: np.ndarray) -> int | None:
 
 
 def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id``, ``n``, ``cls``, ``cells`` and ``point`` of rows (id, text)."""
+    """``id``, ``text_key``, ``n``, ``cls``, ``cells`` and ``point`` of rows (id, text).
+
+    A class that a task has described before comes without its cells again, so that a
+    text of many copies leaves few rows in a cell.
+    """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = _shingles(words)
+        dealt: set[int] = set()
         for batch in batches:
             sets = shingles.sets(batch["text"].tolist())
+            classes = [_class_of(s) for s in sets]
+            cells = []
+            for one, own in zip(classes, sets, strict=True):
+                again = one is None or one in dealt
+                cells.append([] if again else cells_of(own, percent))
+                dealt.add(one)
+            if len(dealt) > CLASSES_KEPT:
+                dealt.clear()
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
+                    "text_key": batch["text_key"],
                     "n": [len(s) for s in sets],
-                    "cls": pd.Series([_class_of(s) for s in sets], dtype="Int64"),
-                    "cells": [cells_of(s, percent) if len(s) else [] for s in sets],
+                    "cls": pd.Series(classes, dtype="Int64"),
+                    "cells": cells,
                     "point": [point_of(s) if len(s) else None for s in sets],
                 }
             )
@@ -281,29 +299,31 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     kinds = T.StructType(
         [
             T.StructField("id", docs.schema["id"].dataType),
+            T.StructField("text_key", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("cls", T.LongType()),
             T.StructField("cells", T.ArrayType(T.LongType())),
             T.StructField("point", T.BinaryType()),
         ]
     )
-    return docs.mapInPandas(describe, kinds)
+    keyed = docs.select("id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInPandas(describe, kinds)
 
 
-def _thinned(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose id may be in ``ids`` (left_semi), or is surely not (left_anti).
+def _thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be in ``wanted``.
 
     The broadcast side is a set of hash places of fixed size, so that the join with the
-    ids themselves shuffles few rows and never depends on how many ids there are.
+    keys themselves shuffles few rows and never depends on how many keys there are.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(PLACES)).cast("int")
-    places = ids.select(place.alias("place")).distinct()
-    return docs.withColumn("place", place).join(F.broadcast(places), "place", how).drop("place")
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int")
+    places = F.broadcast(wanted.select(place.alias("place")).distinct())
+    return rows.withColumn("place", place).join(places, "place", "left_semi").drop("place")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``cls`` and ``hashes`` of the classes in ``wanted`` (cls, id of one text each)."""
-    rows = _thinned(docs, wanted, "left_semi").join(wanted, "id")
+    rows = _thinned(docs, wanted, "id").join(wanted, "id")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = _shingles(words)
@@ -434,23 +454,48 @@ def _near_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
-def similar_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = SHINGLE_WORDS,
-    percent: int = PERCENT,
-) -> DataFrame:
-    """Id, ``n_shingles`` and ``component_id`` (least id reachable by links) of every row."""
-    small_batches(docs.sparkSession, 250)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(shingle_sets(docs, words, percent))
-    known = rows.filter(F.col("cls").isNotNull() & F.col("id").isNotNull())
+def _parted(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """``cell``, ``cls`` and ``part`` of the cells whose classes stand in several components."""
+    parts = components(links).toDF("cls", "part")
+    parted = cells.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    several = (
+        parted.groupBy("cell")
+        .agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("cls").alias("held"))
+        .filter("p != q AND held > 2")  # the least class itself is held against all
+    )
+    return cut(parted.join(several.select("cell"), "cell"))
 
+
+def _center_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of a few classes of each cell, drawn by hashes, with all of other components.
+
+    They ask a few pairs for each row, and leave few components of a cell of many near
+    copies, whose pairs grow with the square.
+    """
+    drawn = [F.min_by(F.struct("cls", "part"), F.xxhash64("cls", F.lit(k))) for k in range(DRAWN)]
+    centers = members.groupBy("cell").agg(F.array_distinct(F.array(*drawn)).alias("centers"))
+    asked = members.join(centers.select("cell", F.explode("centers").alias("center")), "cell")
+    asked = asked.filter(F.col("part") != F.col("center.part"))
+    center = F.col("center.cls")
+    stars = asked.select(F.least("cls", center).alias("a"), F.greatest("cls", center).alias("b"))
+    return stars.distinct()
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``id``, ``text_key``, ``n``, ``part`` and ``component`` of rows (id, text).
+
+    ``part`` names the component by one of its classes, as one id may stand in several
+    components. It is null for rows without an id or words; their component is their id.
+    """
+    # Rows without an id must not stand for a class.
+    nameless = shingle_sets(docs.filter("id IS NULL"), words, percent)
+    rows = cut(shingle_sets(docs.filter("id IS NOT NULL"), words, percent))
+    known = rows.filter(F.col("cls").isNotNull())
+
+    # One shuffle by cell gives every class the least one that shares a cell with it.
     dealt = known.select("cls", F.explode("cells").alias("cell"))
-    shared = dealt.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    shared = shared.filter("low != high").select("cell", "low")
-    stars = dealt.join(shared, "cell").filter("cls != low").select("low", "cls").distinct()
+    low = F.min("cls").over(Window.partitionBy("cell"))
+    stars = dealt.withColumn("low", low).filter("cls != low").select("low", "cls").distinct()
     stars = cut(stars.toDF("a", "b"))
     cells = stars.toDF("cell", "cls").union(stars.select("a", "a").distinct().toDF("cell", "cls"))
 
@@ -467,19 +512,27 @@ def similar_components(
         return cut(_verified(pairs, _sets_of(docs, wanted, words), percent))
 
     links = verified(_near_stars(stars, classes, percent))
-    parts = components(links).toDF("cls", "part")
-
-    parted = cells.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    members = _parted(cells, links)
+    drawn = verified(_near_stars(_center_pairs(members), classes, percent))
+    links = cut(links.union(drawn))
+    members = _parted(cells, links)
+
+    # All pairs are searched in the cells that sets share, not in their unions.
+    left = cut(members.select("cls", "part").distinct())
+    described = _thinned(known.select("cls", "cells").filter(F.size("cells") > 0), left, "cls")
+    own = described.join(left, "cls").groupBy("cls")
+    own = own.agg(F.first("part").alias("part"), F.first("cells").alias("cells"))
+    shared = own.select("cls", "part", F.explode("cells").alias("cell"))
     several = (
-        parted.groupBy("cell")
+        shared.groupBy("cell")
         .agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("cls").alias("held"))
-        .filter("p != q AND held > 2")  # the least class itself is held against all
-        .select("cell", F.least(F.ceil(F.col("held") / BLOCK), F.lit(BLOCKS)).alias("blocks"))
+        .filter("p != q AND held > 2")
+        .select("cell", F.ceil(F.col("held") / BLOCK).alias("blocks"))
     )
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asked = (
-        parted.join(several, "cell").withColumn("block", block).withColumn("other", other)
+        shared.join(several, "cell").withColumn("block", block).withColumn("other", other)
         .join(classes.select("cls", "n", "point"), "cls")
         .select(
             "cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
@@ -492,10 +545,26 @@ def similar_components(
     ids = known.groupBy("cls").agg(F.min("id").alias("low"))
     ids = ids.join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     least = ids.groupBy("part").agg(F.min("low").alias("component"))
-    of_class = ids.join(least, "part").select("cls", "component")
-    found = known.select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component")
-    alone = rows.filter(F.col("cls").isNull() | F.col("id").isNull()).select("id", "n", "id")
-    return found.union(alone).toDF(id_col, "n_shingles", "component_id")
+    of_class = ids.join(least, "part").select("cls", "part", "component")
+    columns = ["id", "text_key", "n", "part"]
+    found = known.select("id", "text_key", "n", "cls").join(of_class, "cls")
+    alone = rows.filter(F.col("cls").isNull()).unionByName(nameless)
+    alone = alone.withColumn("part", F.lit(None).cast("long"))
+    return found.select(*columns, "component").union(alone.select(*columns, "id"))
+
+
+def similar_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = SHINGLE_WORDS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """Id, ``n_shingles`` and ``component_id`` (least id reachable by links) of every row."""
+    small_batches(docs.sparkSession, 250)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _components(docs, words, percent).select("id", "n", "component")
+    return found.toDF(id_col, "n_shingles", "component_id")
 
 
 def keep_one_of_each(
@@ -507,21 +576,33 @@ def keep_one_of_each(
 ) -> DataFrame:
     """``docs`` with one document of each component, the one of least id.
 
-    Rows equal in id and text are one document; rows without an id all stay.
+    Rows equal in id and text are one document. Where the least id stands on several
+    texts of its component, the text of the least hash stays; its texts in other
+    components are judged there. Texts without words all stay, and so do rows without
+    an id, copies too: they can neither be linked nor stand for a component.
     """
-    found = cut(similar_components(docs, id_col, text_col, words, percent))
-    found = found.toDF("id", "n", "component")
-    repeated = found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1")
-    dropped = found.filter("id != component").select("id").distinct()
-    id_, place = fresh(docs, "id"), fresh(docs, "place")
-    touched = cut(dropped.union(repeated.select("id")).distinct())
+    small_batches(docs.sparkSession, 250)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = cut(_components(texts, words, percent)).filter("id IS NOT NULL")
+    linked = found.filter("part IS NOT NULL")
+    least = linked.filter("id = component")
+    first = least.groupBy("part").agg(F.min("text_key").alias("first"))
+    later = least.join(first, "part").filter("text_key != first")
+    dropped = linked.filter("id != component").select("id", "text_key")
+    dropped = dropped.union(later.select("id", "text_key")).distinct()
+    repeated = found.groupBy("id").count().filter("count > 1")
+    id_, key_, place = fresh(docs, "id"), fresh(docs, "text_key"), fresh(docs, "place")
+    dropped = cut(dropped)
+    touched = dropped.select("id").union(repeated.select("id"))
     hashed = F.pmod(F.xxhash64(id_col), F.lit(PLACES)).cast("int")
     places = touched.select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).cast("int").alias(place))
+    places = cut(places.distinct())
     marked = docs.withColumn(place, hashed)
-    untouched = marked.join(F.broadcast(places.distinct()), place, "left_anti")
-    maybe = marked.join(F.broadcast(places.distinct()), place, "left_semi")
-    gone = cut(dropped).select(F.col("id").alias(id_))
+    untouched = marked.join(F.broadcast(places), place, "left_anti")
+    maybe = marked.join(F.broadcast(places), place, "left_semi")
+    gone = dropped.toDF(id_, key_)
     missing = maybe.filter(F.col(id_col).isNull())
     rest = maybe.filter(F.col(id_col).isNotNull())
-    rest = rest.join(gone, rest[id_col] == gone[id_], "left_anti").dropDuplicates([id_col, text_col])
+    same = (rest[id_col] == gone[id_]) & (F.xxhash64(rest[text_col]) == gone[key_])
+    rest = rest.join(gone, same, "left_anti").dropDuplicates([id_col, text_col])
     return untouched.union(missing).union(rest).select(*docs.columns)
