@@ -5,7 +5,9 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tabassay.operators.boosting import BoostedTrees, SecondOrderBoosting, derivatives
+from tabassay.operators.boosting import (
+    BoostedTrees, SecondOrderBoosting, Settings, _Growth, derivatives,
+)
 
 
 def derived(objective, margins, y):
@@ -138,3 +140,15 @@ def test_derivatives(spark, objective, label, classes):
     g, h = derived(objective, np.array(margins), np.ones(2))
     assert np.allclose([[x["g"] for x in r["d"]] for r in found], g)
     assert np.allclose([[x["h"] for x in r["d"]] for r in found], np.maximum(h, 1e-16))
+
+
+@pytest.mark.parametrize("objective,label,classes", OBJECTIVES)
+def test_rows_of_equal_bins_are_one(table, objective, label, classes):
+    _, _, df = table
+    rows = df.select(F.col(label).alias("y"), F.array("a", "b", "c").alias("x"))
+    many = rows.union(rows).union(rows)
+    patterns = rows.select("x", "y") if objective == "softmax" else rows.select("x")
+    for frame, times in ((rows, 1), (many, 3)):
+        state = _Growth([frame], objective, classes, Settings()).state
+        assert state.count() <= patterns.distinct().count()
+        assert state.agg(F.sum("n")).first()[0] == 500 * times
