@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 
-from tabassay.operators.tube import TubeModel, TubeRegression, quasi_newton
+from tabassay.operators.tube import TubeModel, TubeRegression, packed, quasi_newton
 
 
 def dual_descent(x, y, cost, epsilon):
@@ -77,3 +77,14 @@ def test_quasi_newton_finds_the_minimum():
 def test_no_rows(rows):
     with pytest.raises(ValueError):
         TubeRegression(featuresCol="features", labelCol="y").fit(rows[2].filter("a > 1000"))
+
+
+def test_blocks_hold_every_row(rows):
+    x, y, df = rows
+    plain = df.selectExpr("y", "array(a, b, c) AS x")
+    blocks = packed(plain.union(plain)).collect()
+    assert 0 < len(blocks) < len(x)
+    found = np.concatenate([np.frombuffer(b["x"]).reshape(-1, 3) for b in blocks])
+    labels = np.concatenate([np.frombuffer(b["y"]) for b in blocks])
+    assert np.array_equal(np.sort(found, axis=0), np.sort(np.tile(x, (2, 1)), axis=0))
+    assert np.array_equal(np.sort(labels), np.sort(np.tile(y, 2)))
