@@ -315,3 +315,16 @@ def test_running_best_of_a_hot_job(spark):
     for seq, job, score in rows:
         best[job] = max(best.get(job, -1), score)
         assert got[seq] == best[job]
+
+
+def test_training_rows_of_one_task_are_dealt_out(spark):
+    rows = spark.range(60_000, numPartitions=1).select(
+        "id", F.rand(1).alias("x"), (F.col("id") % 2).alias("target")
+    )
+    ready = tr.prepare(rows, "target", "classification", "id", config(cv_folds=3))
+    tasks = ready.train.select(F.spark_partition_id()).distinct().count()
+    assert tasks == 3
+    assert ready.train.count() == ready.train_size == 60_000 - ready.test.count()
+    ready.let_go()
+    few = tr.prepare(rows.limit(500), "target", "classification", "id", config(cv_folds=3))
+    assert few.kept is None
