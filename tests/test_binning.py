@@ -7,8 +7,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
-from tabassay.operators.algorithms import TrainShape, Effort
-from tabassay.operators.binning import WEIGHT, bin_numbers, fit_binned, thresholds, weighted_rows
+from tabassay.operators.algorithms import TrainShape, Effort, estimator
+from tabassay.operators.binning import (
+    BINNED, DRAWS, WEIGHT, bin_numbers, fit_binned, thresholds, weighted_rows, with_draws,
+)
 from tabassay.operators.features import LABEL, VECTOR
 from tabassay.operators.modeling import fit_stages
 
@@ -73,3 +75,39 @@ def test_a_fit_works_on_weighted_rows(rows, tmp_path):
     PipelineModel(fitted).write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     assert np.array_equal(answers(again, rows), answers(PipelineModel(fitted), rows))
+
+
+def test_a_forest_of_many_rows_grows_on_weighted_rows(spark, tmp_path):
+    rows = spark.range(1_200_000, numPartitions=8).select(
+        (F.col("id") % 8).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+        F.when(F.rand(3) < 0.9, (F.col("id") % 8 >= 3)).otherwise(F.rand(4) < 0.5)
+        .cast("double").alias(LABEL),
+    )
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol=VECTOR).transform(rows).persist()
+    shape = TrainShape(1_200_000)
+    effort = Effort(trees=6, tree_depth=4)
+    stages = fit_stages(vectors, "random_forest", "classification", shape, effort)
+    assert len(stages) == 2
+    forest = stages[1]
+    assert forest.getNumTrees == 6 and forest.numClasses == 2
+    plain = estimator("random_forest", "classification", shape, effort).fit(vectors)
+    points = vectors.select(VECTOR).distinct()
+    got = {tuple(r[VECTOR]): r["probability"][1] for r in PipelineModel(stages).transform(points).collect()}
+    want = {tuple(r[VECTOR]): r["probability"][1] for r in plain.transform(points).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k] > 0.5) == (want[k] > 0.5) and 0.0 < got[k] < 1.0 for k in want)
+    # Each tree has a bootstrap of its own, of about as many rows.
+    PipelineModel(stages).save(str(tmp_path / "forest"))
+    again = PipelineModel.load(str(tmp_path / "forest"))
+    assert {tuple(r[VECTOR]): r["probability"][1] for r in again.transform(points).collect()} == got
+    vectors.unpersist()
+
+
+def test_draws_are_poisson_numbers_of_the_weight(spark):
+    flat = spark.range(50).select(
+        F.col("id").cast("double").alias("x"), F.lit(1.0).alias(LABEL), F.lit(400.0).alias(WEIGHT)
+    )
+    table = VectorAssembler(inputCols=["x"], outputCol=BINNED).transform(flat)
+    drawn = np.array([r[DRAWS] for r in with_draws(table, LABEL, 40, 7).collect()])
+    assert abs(drawn.mean() - 400) < 3 and abs(drawn.std() - 20) < 2
+    assert len({tuple(r) for r in drawn.tolist()}) == 50
