@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tabassay.llm.tables import cut
 
+#: Links that are one task, and the least number of tasks.
+TASK_LINKS, LEAST_TASKS = 100_000, 8
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its least neighbour."""
@@ -27,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has two columns of comparable ids; nulls, repeated links, either
     direction and links to oneself are allowed. Alternates star contractions, each a
-    group-by and a join, until the links are stars; every round is cut.
+    group-by and a join, until the links are stars; every round is cut. Few links lie in
+    few tasks, however many partitions a shuffle has, so that rounds leave few small files.
     """
     edges = links.toDF("a", "b").filter("a != b")
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -40,5 +44,7 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = tuple(state)
-        large = _large_star(edges).toDF("u", "v").distinct()
-        edges = cut(_small_star(large).toDF("u", "v").distinct())
+        tasks = max(LEAST_TASKS, -(-state[0] // TASK_LINKS))
+        large = _large_star(edges.coalesce(tasks)).toDF("u", "v").coalesce(tasks).distinct()
+        small = _small_star(large.coalesce(tasks)).toDF("u", "v").coalesce(tasks).distinct()
+        edges = cut(small.coalesce(tasks))

@@ -14,12 +14,12 @@ name no cells. A cell is named by the hash of what its group holds. Sets go into
 their own band of sizes and, where they could be the larger one, for the bands below.
 Cells with one class end here.
 
-Cells with the same least class are one, their union. In it, classes are first held
-against the least class, then against drawn ones, and the linked ones joined into components,
-so that many near copies need no pairs inside a component. Then an R-tree over the points of
-every cell (not of the unions) that still holds several components gives the pairs of
-different components whose bound reaches the overlap they need. Pairs that pass the bound are
-verified whole. Cells of many classes are dealt out as pairs of blocks.
+Every class of a cell is first held against the least one, so that cells of two classes end
+here too. In the others, classes other than the least are held against drawn ones, and the
+linked ones joined into components, so that many near copies need no pairs inside a component.
+Then an R-tree over the points of every cell that still holds several components gives the
+pairs of different components whose bound reaches the overlap they need. Pairs that pass the
+bound are verified whole. Cells of many classes are dealt out as pairs of blocks.
 
 Defined results: a text without words, or null, is empty, in no component but its
 own; a row without an id is linked with nothing and its component is null; a repeated
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,10 @@ LEAF = 32
 DRAWN = 3
 #: Words and classes that a worker remembers; beyond it the memory starts anew.
 WORDS_KEPT, CLASSES_KEPT = 200_000, 100_000
-#: Places of a broadcast set of hashes that thins out rows before a join.
-PLACES = 1 << 18
+#: Bits of a broadcast set of hashes that thins out rows before a join; 64 of them are a word.
+PLACES = 1 << 24
+#: Pairs that a task remembers to have given; beyond it the memory starts anew.
+PAIRS_KEPT = 200_000
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {code: code + 32 for code in range(65, 91)}
@@ -310,15 +312,36 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return keyed.mapInPandas(describe, kinds)
 
 
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PLACES))
+
+
+def _places(wanted: DataFrame, key: str, word: str, bits: str) -> DataFrame:
+    """The set of the hash places of ``key``, as words of 64 bits."""
+    place = wanted.select(_place(key).alias("place"))
+    number, bit = (F.col("place") / 64).cast("int"), (F.col("place") % 64).cast("int")
+    return place.groupBy(number.alias(word)).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(bits)
+    )
+
+
+def _marked(rows: DataFrame, places: DataFrame, key: str, word: str, bits: str) -> DataFrame:
+    """``rows`` and whether their key may be in the set, as a boolean in place of ``bits``."""
+    bit = F.call_function("shiftright", F.col(bits), (_place(key) % 64).cast("int"))
+    held = F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    worded = rows.withColumn(word, (_place(key) / 64).cast("int"))
+    return worded.join(F.broadcast(places), word, "left").withColumn(bits, held).drop(word)
+
+
 def _thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose key may be in ``wanted``.
 
     The broadcast side is a set of hash places of fixed size, so that the join with the
     keys themselves shuffles few rows and never depends on how many keys there are.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int")
-    places = F.broadcast(wanted.select(place.alias("place")).distinct())
-    return rows.withColumn("place", place).join(places, "place", "left_semi").drop("place")
+    places = _places(wanted, key, "place_word", "place_bits")
+    marked = _marked(rows, places, key, "place_word", "place_bits")
+    return marked.filter("place_bits").drop("place_bits")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -430,6 +453,17 @@ def _near_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs from rows (cell, one, two, block, cls, n, point, part)."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Linked sets share many cells; a task gives their pair once.
+        given: set[tuple[int, int]] = set()
+        for pairs in stretches(batches):
+            keys = list(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True))
+            new = [key not in given for key in keys]
+            given.update(keys)
+            if len(given) > PAIRS_KEPT:
+                given.clear()
+            yield pairs.loc[new]
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         for batch in batches:
             keys = batch[["cell", "one", "two"]].to_numpy()
@@ -458,12 +492,8 @@ def _parted(cells: DataFrame, links: DataFrame) -> DataFrame:
     """``cell``, ``cls`` and ``part`` of the cells whose classes stand in several components."""
     parts = components(links).toDF("cls", "part")
     parted = cells.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    several = (
-        parted.groupBy("cell")
-        .agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("cls").alias("held"))
-        .filter("p != q AND held > 2")  # the least class itself is held against all
-    )
-    return cut(parted.join(several.select("cell"), "cell"))
+    several = parted.groupBy("cell").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    return cut(parted.join(several.filter("p != q").select("cell"), "cell"))
 
 
 def _center_pairs(members: DataFrame) -> DataFrame:
@@ -492,15 +522,19 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = cut(shingle_sets(docs.filter("id IS NOT NULL"), words, percent))
     known = rows.filter(F.col("cls").isNotNull())
 
-    # One shuffle by cell gives every class the least one that shares a cell with it.
+    # One shuffle by cell gives every class the least one that shares a cell with it, and
+    # the name of the cell where more than these two do.
     dealt = known.select("cls", F.explode("cells").alias("cell"))
-    low = F.min("cls").over(Window.partitionBy("cell"))
-    stars = dealt.withColumn("low", low).filter("cls != low").select("low", "cls").distinct()
-    stars = cut(stars.toDF("a", "b"))
-    cells = stars.toDF("cell", "cls").union(stars.select("a", "a").distinct().toDF("cell", "cls"))
+    own = Window.partitionBy("cell")
+    shared = dealt.withColumn("low", F.min("cls").over(own)).filter("cls != low")
+    several = F.min("cls").over(own) != F.max("cls").over(own)
+    shared = shared.select("low", "cls", F.when(several, F.col("cell")).alias("cell"))
+    shared = cut(shared.distinct())
+    stars = cut(shared.select("low", "cls").distinct().toDF("a", "b"))
+    cells = shared.filter("cell IS NOT NULL").select("cell", "cls")
 
     classes = cut(
-        known.join(cells.select("cls").distinct(), "cls", "left_semi")
+        known.join(stars.select("a").union(stars.select("b")).distinct().toDF("cls"), "cls", "left_semi")
         .groupBy("cls")
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"))
     )
@@ -515,24 +549,15 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = _parted(cells, links)
     drawn = verified(_near_stars(_center_pairs(members), classes, percent))
     links = cut(links.union(drawn))
-    members = _parted(cells, links)
+    members = _parted(members.select("cell", "cls"), links)
 
-    # All pairs are searched in the cells that sets share, not in their unions.
-    left = cut(members.select("cls", "part").distinct())
-    described = _thinned(known.select("cls", "cells").filter(F.size("cells") > 0), left, "cls")
-    own = described.join(left, "cls").groupBy("cls")
-    own = own.agg(F.first("part").alias("part"), F.first("cells").alias("cells"))
-    shared = own.select("cls", "part", F.explode("cells").alias("cell"))
-    several = (
-        shared.groupBy("cell")
-        .agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("cls").alias("held"))
-        .filter("p != q AND held > 2")
-        .select("cell", F.ceil(F.col("held") / BLOCK).alias("blocks"))
-    )
+    # All pairs, the least class of a cell aside, are searched in what is left.
+    held = members.groupBy("cell").agg(F.count("cls").alias("held"))
+    several = held.select("cell", F.ceil(F.col("held") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asked = (
-        shared.join(several, "cell").withColumn("block", block).withColumn("other", other)
+        members.join(several, "cell").withColumn("block", block).withColumn("other", other)
         .join(classes.select("cls", "n", "point"), "cls")
         .select(
             "cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
@@ -591,18 +616,19 @@ def keep_one_of_each(
     dropped = linked.filter("id != component").select("id", "text_key")
     dropped = dropped.union(later.select("id", "text_key")).distinct()
     repeated = found.groupBy("id").count().filter("count > 1")
-    id_, key_, place = fresh(docs, "id"), fresh(docs, "text_key"), fresh(docs, "place")
+    id_, text_key = fresh(docs, "id"), fresh(docs, "text_key")
+    gone_key = fresh(docs, "gone_key")
+    word, touched = fresh(docs, "place_word"), fresh(docs, "place_bits")
     dropped = cut(dropped)
-    touched = dropped.select("id").union(repeated.select("id"))
-    hashed = F.pmod(F.xxhash64(id_col), F.lit(PLACES)).cast("int")
-    places = touched.select(F.pmod(F.xxhash64("id"), F.lit(PLACES)).cast("int").alias(place))
-    places = cut(places.distinct())
-    marked = docs.withColumn(place, hashed)
-    untouched = marked.join(F.broadcast(places), place, "left_anti")
-    maybe = marked.join(F.broadcast(places), place, "left_semi")
-    gone = dropped.toDF(id_, key_)
+    ids = dropped.select("id").union(repeated.select("id"))
+    places = cut(_places(ids, "id", word, touched))
+    marked = _marked(docs, places, id_col, word, touched)
+    untouched = marked.filter(~F.col(touched)).drop(touched)
+    maybe = marked.filter(F.col(touched)).drop(touched)
+    gone = dropped.toDF(id_, gone_key)
     missing = maybe.filter(F.col(id_col).isNull())
-    rest = maybe.filter(F.col(id_col).isNotNull())
-    same = (rest[id_col] == gone[id_]) & (F.xxhash64(rest[text_col]) == gone[key_])
-    rest = rest.join(gone, same, "left_anti").dropDuplicates([id_col, text_col])
+    rest = maybe.filter(F.col(id_col).isNotNull()).withColumn(text_key, F.xxhash64(text_col))
+    same = (rest[id_col] == gone[id_]) & (rest[text_key] == gone[gone_key])
+    rest = rest.join(gone, same, "left_anti").dropDuplicates([id_col, text_key, text_col])
+    rest = rest.select(*docs.columns)
     return untouched.union(missing).union(rest).select(*docs.columns)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from tabassay.llm import components as components_of
 from tabassay.llm import jaccard_join
 from tabassay.llm.components import components
 from tabassay.llm.jaccard_join import (
@@ -141,3 +142,56 @@ def test_one_of_each_stays(tricky):
 
 def test_query(spark, data, documents):
     check(op4_jaccard_join(spark, data), documents)
+
+
+def test_few_rows_pass_that_are_not_wanted(spark):
+    """A hundred thousand wanted keys among half a million let hardly any other pass."""
+    rows = spark.range(500_000)
+    passed = jaccard_join._thinned(rows, spark.range(100_000), "id")
+    assert passed.columns == ["id"]
+    assert passed.filter("id < 100000").count() == 100_000
+    assert passed.filter("id >= 100000").count() < 10_000
+
+
+def test_least_class_of_a_cell_is_not_searched_again(spark, monkeypatch):
+    """Unlinked texts that share cells: the least of three was held against both others."""
+    asked, search = [], jaccard_join._near_pairs
+
+    def counted(rows, percent):
+        asked.extend(r["count"] for r in rows.groupBy("cell").count().collect())
+        return search(rows, percent)
+
+    monkeypatch.setattr(jaccard_join, "_near_pairs", counted)
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(3):
+        one = list(words)
+        for at in range(3):
+            one[10 + 60 * at + 20 * k] = f"edit{k}"
+        rows.append((k, " ".join(one)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(similar_components(docs), docs)
+    assert asked and set(asked) == {2}
+
+
+def test_few_links_lie_in_few_tasks(spark, monkeypatch):
+    """Every round is cut in a few partitions, however many a shuffle has."""
+    cuts, cut = [], components_of.cut
+
+    def counted(df):
+        out = cut(df)
+        cuts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components_of, "cut", counted)
+    settings = {"shuffle.partitions": "40", "adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(f"spark.sql.{name}") for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+        links = spark.createDataFrame([(k, k + 1) for k in range(30)], "x long, y long")
+        assert {r.component for r in components(links).collect()} == {0}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(f"spark.sql.{name}", value)
+    assert len(cuts) > 2 and max(cuts[1:]) <= components_of.LEAST_TASKS
