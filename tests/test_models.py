@@ -149,6 +149,26 @@ def test_random_search_halves_its_settings(numbers):
     assert all(low <= s["regParam"] <= high for s in drawn) and drawn == alg.drawn_settings("ridge", 50)
 
 
+def test_every_drawn_setting_sees_all_folds(classes):
+    """Without halving none is dropped, and weighted rows that all share give the same scores."""
+    options = config(
+        cv_folds=3, tune_hyperparameters=True, tuning_search_type="random", tuning_iterations=6,
+        tuning_halving=False,
+    )
+    result = tr.train(classes, "target", "decision_tree", "classification", "id", options)
+    rows = result.tuning.collect()
+    drawn = alg.drawn_settings("decision_tree", 6)
+    assert [json.loads(r["settings"]) for r in rows] == drawn and {r["folds"] for r in rows} == {3}
+    assert [r["mean_score"] for r in rows if r["chosen"]] == [max(r["mean_score"] for r in rows)]
+    ready = tr.prepare(classes, "target", "classification", "id", options)
+    recipe = tr._recipe(ready, "classification", None, options)
+    alone = [
+        mod._fold_score("decision_tree", recipe, *fold, drawn[0])
+        for fold in mod.each_fold(ready.train, recipe, False, 3)
+    ]
+    assert rows[0]["mean_score"] == pytest.approx(np.mean(alone), abs=1e-4)
+
+
 def test_boosted_folds_and_model_from_one_run(classes):
     """The joint run gives the scores of folds fitted one by one, and the model of all rows."""
     joint = tr.train(classes, "target", "xgboost", "classification", "id", config(cv_folds=3))
