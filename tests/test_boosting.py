@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabassay.operators.boosting import (
-    BoostedTrees, SecondOrderBoosting, Settings, _Growth, derivatives,
+    BoostedTrees, SecondOrderBoosting, Settings, _Growth, derivatives, slopes,
 )
 
 
@@ -152,3 +152,26 @@ def test_rows_of_equal_bins_are_one(table, objective, label, classes):
         state = _Growth([frame], objective, classes, Settings()).state
         assert state.count() <= patterns.distinct().count()
         assert state.agg(F.sum("n")).first()[0] == 500 * times
+
+
+@pytest.mark.parametrize("objective,label,classes", OBJECTIVES)
+def test_slopes_equal_the_derivatives_in_sql(spark, objective, label, classes):
+    rng = np.random.default_rng(9)
+    margins = rng.normal(0, 30, (20, 3 if objective == "softmax" else 1))
+    y = rng.integers(0, classes, 20).astype(float)
+    df = spark.createDataFrame(list(zip(margins.tolist(), y.tolist())), "m array<double>, y double")
+    found = df.select(derivatives(objective, F.col("m"), F.col("y")).alias("d")).collect()
+    for name, ours in zip("gh", slopes(objective, margins, y), strict=True):
+        assert np.allclose([[x[name] for x in r["d"]] for r in found], ours, rtol=1e-9, atol=1e-18)
+
+
+def test_plans_of_later_rounds_stay_small(table):
+    """The driver keeps plans: none may carry trees, nor grow with the models beside it."""
+    _, _, df = table
+    rows = df.select(F.col("number").alias("y"), F.array("a", "b", "c").alias("x"))
+    texts = []
+    for frames in ([rows], [rows] * 6):
+        growth = _Growth(frames, "squared", 2, Settings(rounds=3, depth=5))
+        growth.fit()
+        texts.append(len(growth.moved._jdf.queryExecution().toString()))
+    assert max(texts) < 20_000
