@@ -4,7 +4,8 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 
-from tabassay.operators.tube import TubeModel, TubeRegression, packed, quasi_newton
+from tabassay.operators.tube import TubeModel, TubeRegression, newton, packed, quasi_newton
+from tabassay.operators import tube
 
 
 def dual_descent(x, y, cost, epsilon):
@@ -88,3 +89,28 @@ def test_blocks_hold_every_row(rows):
     labels = np.concatenate([np.frombuffer(b["y"]) for b in blocks])
     assert np.array_equal(np.sort(found, axis=0), np.sort(np.tile(x, (2, 1)), axis=0))
     assert np.array_equal(np.sort(labels), np.sort(np.tile(y, 2)))
+
+
+def test_newton_needs_few_passes(rows, monkeypatch):
+    """The minimum of the quasi-Newton steps in a fraction of the passes."""
+    _, _, df = rows
+    passes, plain = [], tube._sums
+    monkeypatch.setattr(tube, "_sums", lambda *a: passes.append(a[-1] is not None) or plain(*a))
+    made = TubeRegression(featuresCol="features", labelCol="y", cost=0.5)
+    found = made.fit(df).getOrDefault("weights")
+    assert all(passes) and len(passes) < 80
+    monkeypatch.setattr(tube, "MOST_SQUARED", 0)
+    passes.clear()
+    assert np.allclose(found, made.fit(df).getOrDefault("weights"), atol=5e-3)
+    assert not any(passes)
+
+
+def test_newton_finds_the_minimum():
+    matrix, target = np.array([[5.0, 1.0], [1.0, 0.3]]), np.array([3.0, -4.0])
+    found = newton(
+        lambda p, back: (
+            0.5 * (p - target) @ matrix @ (p - target), matrix @ (p - target), matrix, np.full(2, np.inf)
+        ),
+        np.zeros(2), 3,
+    )
+    assert np.allclose(found, target, atol=1e-6)
