@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tabassay.operators.algorithms import TrainShape, Effort, estimator
 from tabassay.operators.binning import (
-    BINNED, DRAWS, WEIGHT, bin_numbers, fit_binned, thresholds, weighted_rows, with_draws,
+    BINNED, DRAWS, MEANS, WEIGHT, bin_numbers, fit_binned, thresholds, weighted_rows, with_draws,
+    with_drawn_labels,
 )
 from tabassay.operators.features import LABEL, VECTOR
 from tabassay.operators.modeling import fit_stages
@@ -111,3 +112,33 @@ def test_draws_are_poisson_numbers_of_the_weight(spark):
     drawn = np.array([r[DRAWS] for r in with_draws(table, LABEL, 40, 7).collect()])
     assert abs(drawn.mean() - 400) < 3 and abs(drawn.std() - 20) < 2
     assert len({tuple(r) for r in drawn.tolist()}) == 50
+
+
+def test_a_forest_of_numbers_grows_on_drawn_rows(spark, tmp_path):
+    rows = spark.range(1_200_000, numPartitions=8).select(
+        (F.col("id") % 8).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+        (F.col("id") % 8 + F.pow(F.col("id") % 5, 2) + 4 * F.rand(3)).alias(LABEL),
+    )
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol=VECTOR).transform(rows).persist()
+    shape, effort = TrainShape(1_200_000), Effort(trees=6, tree_depth=12)
+    every = {"featureSubsetStrategy": "all"}  # else trees differ by the features they see
+    stages = fit_stages(vectors, "random_forest", "regression", shape, effort, every)
+    assert len(stages) == 2 and stages[1].getNumTrees == 6
+    plain = estimator("random_forest", "regression", shape, effort, **every).fit(vectors)
+    points = vectors.select(VECTOR).distinct()
+    got = {tuple(r[VECTOR]): r["prediction"] for r in PipelineModel(stages).transform(points).collect()}
+    want = {tuple(r[VECTOR]): r["prediction"] for r in plain.transform(points).collect()}
+    assert got.keys() == want.keys() and len(got) == 40
+    assert all(abs(got[k] - want[k]) < 0.1 for k in want)
+    PipelineModel(stages).save(str(tmp_path / "forest"))
+    again = PipelineModel.load(str(tmp_path / "forest"))
+    assert {tuple(r[VECTOR]): r["prediction"] for r in again.transform(points).collect()} == got
+    # The draws of a combination are those of its rows: their number and their mean label vary.
+    numbers = bin_numbers(vectors, VECTOR, 1_200_000, 32, 1)
+    drawn = with_drawn_labels(vectors, numbers, LABEL, 5, 7, 6).collect()
+    times = np.array([r[DRAWS] for r in drawn])
+    sums = np.array([r[MEANS] for r in drawn]) * times
+    whole = vectors.agg(F.sum(LABEL)).first()[0]
+    assert (np.abs(times.sum(axis=0) - 1_200_000) < 6 * 1_200_000**0.5).all()
+    assert (np.abs(sums.sum(axis=0) / whole - 1) < 0.01).all() and len(set(sums.sum(axis=0))) == 5
+    vectors.unpersist()
